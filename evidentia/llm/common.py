@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,9 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")
+        # Shuffle files of finished steps go once the driver's JVM has collected what held them.
+        gc.collect()
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def path(self, name: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import license as licenses
-from evidentia.llm import packing, pii, toxicity, urls, warc
+from evidentia.llm import ngram_join, packing, pii, toxicity, urls, warc
 from evidentia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -41,7 +45,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_license_scan, op4_pii, op5_toxicity, op7_packing, op8_warc, op10_url_filter]
+    own = [op1_license_scan, op4_pii, op5_toxicity, op6_ngram_jaccard, op7_packing, op8_warc, op10_url_filter]
     return {f.__name__: f for f in own}
 
 
