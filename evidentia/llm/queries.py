@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import license as licenses
-from evidentia.llm import decontaminate, ngram_join, packing, pii, toxicity, urls, warc
+from evidentia.llm import ann, decontaminate, ngram_join, packing, pii, toxicity, urls, warc
 from evidentia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,13 +43,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("block")
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
     return urls.filter_urls(table(spark, sf_dir, "pages"), labels)
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_license_scan, op3_decontaminate, op4_pii, op5_toxicity, op6_ngram_jaccard, op7_packing, op8_warc, op10_url_filter]
+    own = [op1_license_scan, op3_decontaminate, op4_pii, op5_toxicity, op6_ngram_jaccard, op7_packing, op8_warc, op9_ann, op10_url_filter]
     return {f.__name__: f for f in own}
 
 
