@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import license as licenses
-from evidentia.llm import ann, decontaminate, ngram_join, packing, pii, toxicity, urls, warc
+from evidentia.llm import ann, decontaminate, ngram_join, packing, pii, quality, toxicity, urls, warc
 from evidentia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.cotrain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +58,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_license_scan, op3_decontaminate, op4_pii, op5_toxicity, op6_ngram_jaccard, op7_packing, op8_warc, op9_ann, op10_url_filter]
+    own = [op1_license_scan, op2_quality, op3_decontaminate, op4_pii, op5_toxicity, op6_ngram_jaccard, op7_packing, op8_warc, op9_ann, op10_url_filter]
     return {f.__name__: f for f in own}
 
 
