@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import packing, pii, toxicity
+from evidentia.llm import decontaminate, ngram_join, packing, pii, toxicity
 from evidentia.llm.common import Scratch, table
 
 
@@ -15,6 +15,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, prefix="_").where(~F.col("_toxic")).select(docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the smallest id."""
+    return ngram_join.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind."""
     return pii.redact(docs)
@@ -25,7 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, with_ids=False)
 
 
-STAGES = [("toxicity", drop_toxic), ("pii", mask_personal), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("ngram_jaccard", drop_near_duplicates), ("decontamination", drop_contaminated), ("pii", mask_personal), ("packing", pack)]
 
 #: The stages hold fitted models and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
