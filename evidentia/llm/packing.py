@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,21 +16,36 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Tokens that are packed together at most (besides one document); a task holds no more than this.
 BLOCK_TOKENS = 512 * CAPACITY
+#: Separators that str.split takes for white space and the vocabulary's splitter does not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Characters that are encoded together, besides one document.
 READ_CHARS = 2_000_000
 #: Weights of a piece's cost: linear layers, and attention over the piece itself.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 
+class Chunks(dict):
+    """Chunk -> index; a new chunk gets the next index and waits in ``new`` for its token ids."""
+
+    def __init__(self):
+        self.new: list[str] = []
+        self.known = 0
+
+    def __missing__(self, chunk: str) -> int:
+        k = self[chunk] = self.known + len(self.new)
+        self.new.append(chunk)
+        return k
+
+
 class ChunkEncoder:
-    """Token ids of whole texts; each distinct chunk between blanks or line ends is encoded once.
+    """Token ids of whole texts; each distinct chunk between white space is encoded once.
 
-    Blanks and line ends never join tokens in this vocabulary (its normaliser folds white space and case, its splitter
-    drops white space), so texts are cut there; other white space stays inside a chunk. ASCII chunks are looked up in
-    lower case and without a final stop or comma, which that splitter parts from letters and digits.
+    White space never joins tokens in this vocabulary (its normaliser folds white space and case, its splitter drops
+    white space), so texts are cut there. ASCII chunks are taken in lower case and without a final stop or comma, which
+    that splitter parts from letters and digits.
     """
 
-    def __init__(self, vocabulary: str, most_chunks: int = 600_000):
+    def __init__(self, vocabulary: str, most_chunks: int = 900_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -37,52 +53,62 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = Chunks()
         self.ids, self.starts, self.counts = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, chunks: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        self.at.update(zip(chunks, range(len(self.counts), len(self.counts) + len(chunks)), strict=True))
-        ends = len(self.ids) + np.cumsum(counts)
-        self.starts, self.counts, self.ids = np.concatenate([self.starts, ends - counts]), np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
-
     def gather(self, which: np.ndarray) -> np.ndarray:
         counts = self.counts[which]
         ends = np.cumsum(counts)
         return self.ids[np.repeat(self.starts[which] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def learn(self, chunks: set[str]) -> None:
-        plain, ends, odd = {}, {}, []
-        for chunk in chunks:
+    def learn(self) -> None:
+        """Token ids for the waiting chunks: encoded together, or made from those of their lower case or stem."""
+        at, first, plain, odd, same, ends = self.at, self.at.known, [], [], [], []
+        for chunk in at.new:  # grows meanwhile
+            k = at[chunk]
             if "<|" in chunk:
-                odd.append(chunk)
+                odd.append((k, chunk))
             elif not chunk.isascii():
-                plain[chunk] = chunk
+                plain.append((k, chunk))
+            elif (low := chunk.lower())[-1] in ".," and low[-2:-1].isalnum():
+                ends.append((k, at[low[:-1]], at[low[-1]]))
+            elif low != chunk:
+                same.append((k, at[low]))
             else:
-                low = chunk.lower()
-                if low[-1] in ".," and low[-2:-1].isalnum():
-                    ends[chunk] = low[:-1], low[-1]
-                else:
-                    plain[chunk] = low
-        if new := list({*plain.values(), *(y for x in ends.values() for y in x)}.difference(self.at)):
-            joined = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1)])
+                plain.append((k, chunk))
+        n = first + len(at.new)
+        self.starts, self.counts = np.concatenate([self.starts, np.zeros(n - first, np.int64)]), np.concatenate([self.counts, np.zeros(n - first, np.int64)])
+        if plain:
+            chunks = [x for _, x in plain]
+            joined = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
             begins = np.fromiter((x[0] for x in joined.offsets), np.int64, len(joined.ids))
-            self.add(new, np.array(joined.ids, "<u4"), np.diff(np.searchsorted(begins, starts)))
-        self.at.update((chunk, self.at[low]) for chunk, low in plain.items())
-        if ends := {k: v for k, v in ends.items() if k not in self.at}:
-            which = np.array([self.at[y] for x in ends.values() for y in x])
-            self.add(list(ends), self.gather(which), self.counts[which].reshape(-1, 2).sum(axis=1))
-        if odd:
-            found = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in odd]
-            self.add(odd, np.array([y for x in found for y in x], "<u4"), np.array([len(x) for x in found]))
+            cuts = np.searchsorted(begins, np.concatenate([[0], np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)]))
+            self.put([k for k, _ in plain], np.array(joined.ids, "<u4"), np.diff(cuts))
+        for k, chunk in odd:
+            own = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4")
+            self.put([k], own, np.array([len(own)]))
+        if same:
+            to, of = np.array(same).T
+            self.starts[to], self.counts[to] = self.starts[of], self.counts[of]
+        if ends:
+            to, stem, stop = np.array(ends).T
+            self.put(to, self.gather(np.stack([stem, stop], axis=1).ravel()), self.counts[stem] + self.counts[stop])
+        at.known, at.new = n, []
+
+    def put(self, to, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.starts[to], self.counts[to] = len(self.ids) + np.cumsum(counts) - counts, counts
+        self.ids = np.concatenate([self.ids, ids])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        every = [[x for x in text.replace("\n", " ").split(" ") if x] for text in texts]
         if len(self.at) > self.most:
             self.clear()
-        if new := set().union(*every).difference(self.at):
-            self.learn(new)
-        return [self.gather(np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))) for chunks in every]
+        every = [[y for y in x.replace("\n", " ").split(" ") if y] if any(c in x for c in SEPARATORS) else x.split() for x in texts]
+        sizes = np.fromiter(map(len, every), np.int64, len(every))
+        which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(every)), np.int64, int(sizes.sum()))
+        if self.at.new:
+            self.learn()
+        ends = np.concatenate([[0], np.cumsum(self.counts[which])])[np.cumsum(sizes)]
+        return np.split(self.gather(which), ends[:-1])
 
 
 ENCODERS: dict[str, ChunkEncoder] = {}
