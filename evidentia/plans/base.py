@@ -130,8 +130,8 @@ best AS (SELECT eid, arg_max(f1, (f1, -gi)) AS bf, arg_max(pr, (f1, -gi)) AS bp,
 facts1 AS (SELECT *, list_transform(pred_facts, lambda s: lower({strip('s')})) AS pf, list_transform(facts, lambda s: lower({strip('s')})) AS gf FROM n1),
 facts2 AS (SELECT *, len(pf) > 0 AND len(gf) > 0 AND pf[1] <> '' AND gf[1] <> '' AS ok, len(list_filter(pf, lambda s: contains(array_to_string(gf, ' '), s))) AS tp, len(list_filter(gf, lambda s: NOT contains(array_to_string(pf, ' '), s))) AS fn FROM facts1),
 facts3 AS (SELECT *, len(pf) - tp AS fp, CASE WHEN ok THEN tp / len(pf) ELSE 0 END AS sp_prec, CASE WHEN ok AND tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS sp_recall FROM facts2),
-s1 AS (SELECT facts3.*, CASE WHEN ok AND fp + fn = 0 THEN 1.0 ELSE 0.0 END AS sp_em, CASE WHEN sp_prec + sp_recall > 0 THEN 2 * sp_prec * sp_recall / (sp_prec + sp_recall) ELSE 0 END AS sp_f1, coalesce(answer, '') <> '' AS some, bf, bp, br FROM facts3 JOIN best ON eid = id),
-s2 AS (SELECT *, CASE WHEN some AND list_contains(ng, np) THEN 1.0 ELSE 0.0 END AS em, CASE WHEN some AND len(list_filter(ng, lambda g: contains(np, g))) > 0 THEN 1.0 ELSE 0.0 END AS hit, CASE WHEN some THEN bf ELSE 0.0 END AS f1, CASE WHEN some THEN bp ELSE 0.0 END AS prec, CASE WHEN some THEN br ELSE 0.0 END AS recall, answer IS NOT NULL AS answer_parsed, len(pred_facts) >= 1 AS facts_parsed FROM s1),
+s1 AS (SELECT facts3.*, CASE WHEN ok AND fp + fn = 0 THEN 1.0::DOUBLE ELSE 0 END AS sp_em, CASE WHEN sp_prec + sp_recall > 0 THEN 2 * sp_prec * sp_recall / (sp_prec + sp_recall) ELSE 0 END AS sp_f1, coalesce(answer, '') <> '' AS filled, bf, bp, br FROM facts3 JOIN best ON eid = id),
+s2 AS (SELECT *, CASE WHEN filled AND list_contains(ng, np) THEN 1.0::DOUBLE ELSE 0 END AS em, CASE WHEN filled AND len(list_filter(ng, lambda g: contains(np, g))) > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit, CASE WHEN filled THEN bf ELSE 0.0 END AS f1, CASE WHEN filled THEN bp ELSE 0.0 END AS prec, CASE WHEN filled THEN br ELSE 0.0 END AS recall, answer IS NOT NULL AS answer_parsed, len(pred_facts) >= 1 AS facts_parsed FROM s1),
 s3 AS (SELECT *, CASE WHEN answer_parsed AND facts_parsed THEN em * sp_em ELSE 0 END AS joint_em, CASE WHEN answer_parsed AND facts_parsed THEN bp * sp_prec ELSE 0 END AS joint_prec, CASE WHEN answer_parsed AND facts_parsed THEN br * sp_recall ELSE 0 END AS joint_recall, coalesce(len(answer), 0) AS answer_len, list_sum(list_transform(answers, lambda g: len(g))) / len(answers) AS gold_answer_len, coalesce(list_sum(list_transform(pred_facts, lambda s: len(s))), 0) AS facts_len, coalesce(len(predict), 0) AS predict_len FROM s2),
 scored AS (SELECT *, CASE WHEN joint_prec + joint_recall > 0 THEN 2 * joint_prec * joint_recall / (joint_prec + joint_recall) ELSE 0 END AS joint_f1 FROM s3)"""
 
@@ -163,7 +163,7 @@ ANSWERS = f"""qa0 AS (SELECT doc_id AS qid, quality = 1 AS has_ans, (n_chars % 1
 qa1 AS (SELECT *, {norm('pred')} AS np, {norm('gold')} AS n0 FROM qa0),
 qa2 AS (SELECT *, CASE WHEN has_ans THEN n0 ELSE '' END AS ng FROM qa1), qa3 AS (SELECT *, {toks('np')} AS pt, {toks('ng')} AS gt FROM qa2),
 qa4 AS (SELECT *, {common('pt', 'gt')} AS c FROM qa3),
-qa AS (SELECT *, CASE WHEN np = ng THEN 1.0 ELSE 0.0 END AS exact, CASE WHEN len(pt) = 0 OR len(gt) = 0 THEN (len(pt) = len(gt))::INT::DOUBLE WHEN c > 0 THEN 2 * (c / len(pt)) * (c / len(gt)) / (c / len(pt) + c / len(gt)) ELSE 0.0 END AS f1 FROM qa4)"""
+qa AS (SELECT *, (np = ng)::INT::DOUBLE AS exact, CASE WHEN len(pt) = 0 OR len(gt) = 0 THEN (len(pt) = len(gt))::INT::DOUBLE WHEN c > 0 THEN 2 * (c / len(pt)) * (c / len(gt)) / (c / len(pt) + c / len(gt)) ELSE 0.0 END AS f1 FROM qa4)"""
 
 
 def method_scores(spark: SparkSession, d: str) -> DataFrame:
