@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def predict(rows: DataFrame, predictor: Callable[[list[str]], list[str | None]], prompt_col: str = "prompt", batch: int = 16, retries: int = 2) -> DataFrame:
     """Rows plus predict. The predictor gets batches of prompts; a blank answer is null; after the retries an exception becomes an "ERROR: ..." text of its batch."""
-    schema = rows.schema.add("predict", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("predict", T.StringType())])
 
     def ask(prompts: list[str]) -> list[str | None]:
         for left in range(retries, -1, -1):

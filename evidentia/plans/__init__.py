@@ -1,6 +1,6 @@
 """The registered queries and their SQL twins."""
 
-from evidentia.plans import base, eval_queries, text_queries
+from evidentia.plans import base, data_queries, eval_queries, text_queries
 
 
 def queries() -> dict[str, base.Query]:
@@ -11,4 +11,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(base.SQL)
 
 
-__all__ = ["base", "eval_queries", "oracle_sql", "queries", "text_queries"]
+__all__ = ["base", "data_queries", "eval_queries", "oracle_sql", "queries", "text_queries"]
