@@ -344,8 +344,8 @@ def z3(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-@query("u3_u4_plugins", f"WITH {TURNS} SELECT id, CASE WHEN len(q) % 7 = 0 THEN NULL ELSE upper(ans) END AS predict, len(string_split({strip('ans')}, ' '))::INT AS tokens FROM turns")
+@query("u3_u4_plugins", f"WITH {TURNS} SELECT id, CASE WHEN len(q) % 7 = 0 THEN NULL ELSE reverse(ans) END AS predict, len(string_split({strip('ans')}, ' '))::INT AS tokens FROM turns")
 def u3(spark: SparkSession, d: str) -> DataFrame:
     rows = turns(spark, d).select("id", F.when(F.length("q") % 7 == 0, " ").otherwise(F.col("ans")).alias("prompt"), "ans")
-    out = plugins.predict(rows, lambda prompts: [p.upper() for p in prompts])
+    out = plugins.predict(rows, lambda prompts: [p[::-1] for p in prompts])
     return out.select("id", "predict", plugins.token_counter(lambda t: len(t.split()))(F.col("ans")).alias("tokens"))
