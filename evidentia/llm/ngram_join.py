@@ -89,8 +89,10 @@ def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """The pairs (a, b) that link: overlaps counted per fragment, summed per pair, 100 * common >= 80 * union."""
     left = pairs.join(parts.select(F.col("c").alias("a"), F.col("n").alias("na"), "fragment", F.col("part").alias("pa")), "a")
     both = left.join(parts.select(F.col("c").alias("b"), F.col("n").alias("nb"), "fragment", F.col("part").alias("pb")), ["b", "fragment"])
-    counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("common"))
-    total = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    counted = both.select("a", "b", "fragment", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("common"))
+    # Once per fragment, should a repeated row have brought its parts twice.
+    once = counted.groupBy("a", "b", "fragment").agg(F.max("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    total = once.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return total.where(100 * F.col("common") >= 80 * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "common")
 
 
@@ -133,16 +135,20 @@ def links(docs: DataFrame, scratch: Scratch, sketch: DataFrame, id_col: str, tex
     classes = scratch.keep(sketch.where("n > 0").groupBy("lo").agg(F.min("_id").alias("_id"), F.max("n").alias("n")), "classes")
     rows = sketch.where("n > 0").select("_id", "lo", F.explode("prefix").alias("h"))
     shared = rows.groupBy("h").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).where("x <> y").select("h")
-    hits = rows.join(shared, "h", "left_semi").groupBy("_id", "lo").agg(F.count("*").alias("k"))
+    hits = rows.select("h", "_id").join(shared, "h", "left_semi").groupBy("_id").agg(F.count("*").alias("k"))
     need = F.expr(f"greatest(1L, ((4 * n + 4) div 5) div {EXTRA})")
-    first = scratch.keep(hits.join(classes, ["_id", "lo"]).where(F.col("k") >= need).select("_id").distinct(), "first")
+    # Repeated rows of an id only add to its count, so none is lost.
+    first = scratch.keep(hits.join(classes, "_id").where(F.col("k") >= need).select("_id").distinct(), "first")
+    scratch.drop("sketch", "classes")
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(first, "_id", "left_semi").dropDuplicates(["_id", "_text"]).select("_text")
-    parts = scratch.keep(fragments(texts).dropDuplicates(["c", "fragment"]), "parts")
-    every = parts.select("c", "n", F.explode("part").alias("h"))
+    parts = scratch.keep(fragments(texts), "parts")
+    every = parts.select("c", F.explode("part").alias("h"))
     df = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     common = scratch.keep(every.join(df, "h"), "common")
-    known = common.groupBy("c").agg(F.count("*").alias("k"), F.max("n").alias("n")).where("k >= (4 * n + 4) div 5").select("c", (F.col("n") - F.col("k")).alias("u"), F.expr("k - (4 * n + 4) div 5 + 1").alias("p"))
+    size = parts.groupBy("c").agg(F.max("n").alias("n"))
+    counted = common.groupBy("c").agg(F.count("*").alias("k")).join(size, "c")
+    known = counted.where("k >= (4 * n + 4) div 5").select("c", "n", (F.col("n") - F.col("k")).alias("u"), F.expr("k - (4 * n + 4) div 5 + 1").alias("p"))
     ranked = common.join(known, "c").withColumn("r", F.expr("row_number() over (partition by c order by df, h)"))
     groups = scratch.keep(ranked.where("r <= p").select("h", "c", "n", "u"), "groups")
     scratch.drop("common")
@@ -162,7 +168,7 @@ def links(docs: DataFrame, scratch: Scratch, sketch: DataFrame, id_col: str, tex
     last = scratch.keep(verified(more, parts), "last")
     found = near.union(last)
     roots = scratch.keep(components(found, scratch, "all"), "all-roots")
-    scratch.drop("parts", "groups", "split", "first", "classes", "hub-roots")
+    scratch.drop("parts", "groups", "split", "first", "hub-roots")
     return found, roots
 
 
@@ -175,14 +181,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = scratch or Scratch(docs.sparkSession, "ngrams")
     sketch = scratch.keep(sketches(docs, id_col, text_col), "sketch")
+    rows = scratch.keep(sketch.select("_id", "hi", "lo", "n"), "keys")
     _, roots = links(docs, scratch, sketch, id_col, text_col)
-    rows = sketch.select("_id", "hi", "lo", "n")
     classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("_id").alias("low")).join(roots.select(F.col("node").alias("lo"), "root"), "lo", "left").withColumn("root", F.coalesce("root", "lo"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     named = classes.join(lows, "root").select("hi", "lo", "component_id")
     alone = rows.where("n = 0").select("_id", "n", F.col("_id").alias("component_id"))
     out = scratch.keep(rows.where("n > 0").join(named, ["hi", "lo"]).select("_id", "n", "component_id").union(alone), "out")
-    scratch.drop("sketch", "near", "last", "all-roots")
+    scratch.drop("keys", "near", "last", "all-roots")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
