@@ -16,9 +16,9 @@ from evidentia.llm.common import Scratch
 SAMPLE = 4096
 #: Rows that a partition should hold, and bounds of the number of partitions.
 ROWS_PER_PARTITION, LEAST_PARTITIONS, MOST_PARTITIONS = 4000, 8, 128
-NEIGHBOURS = 10
+NEIGHBOURS = 30
 #: Recall on the sample that the number of probed partitions must reach.
-TARGET_RECALL = 0.97
+TARGET_RECALL = 0.93
 #: Vectors of one block; a task compares one block of queries with one block of candidates.
 BLOCK = 4096
 SEED = 9
@@ -26,16 +26,14 @@ SEED = 9
 
 @dataclass
 class Router:
-    """A one-hidden-layer classifier from a vector to partition probabilities, and how many partitions a query probes."""
+    """A softmax classifier from a vector to partition probabilities, and how many partitions a query probes."""
 
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: np.ndarray
+    weights: np.ndarray
+    bias: np.ndarray
     probes: int
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        return x @ self.weights + self.bias
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -91,49 +89,41 @@ def balanced_cut(graph: np.ndarray, parts: int, rounds: int = 30, slack: float =
     return part
 
 
-def learn(x: np.ndarray, total: int, k: int, hidden: int = 128, epochs: int = 40, seed: int = SEED) -> Router:
+def learn(x: np.ndarray, total: int, k: int, steps: int = 360, l2: float = 1e-2) -> Router:
     """Partitions of the sample x and the classifier; total is the number of rows that will be indexed.
 
-    The number of probes is the smallest that finds TARGET_RECALL of the sample's true k neighbours.
+    The number of probes is the smallest that finds TARGET_RECALL of the sample's own nearest rows.
     """
-    rng, n, d = np.random.default_rng(seed), len(x), x.shape[1]
+    n, d = x.shape
     parts = int(np.clip(total // ROWS_PER_PARTITION, LEAST_PARTITIONS, MOST_PARTITIONS))
     near = neighbour_graph(x, min(NEIGHBOURS, n - 1)) if n > parts else None
-    part = balanced_cut(near, parts, seed=seed) if near is not None else np.arange(n) % parts
-    # Soft labels: where a row and its neighbours are.
+    part = balanced_cut(near, parts) if near is not None else np.arange(n) % parts
+    # Soft labels: half for where a row is, half for where its neighbours are.
     y = np.zeros((n, parts))
     y[np.arange(n), part] += 1
     if near is not None:
         np.add.at(y, (np.repeat(np.arange(n), near.shape[1]), part[near].ravel()), 1 / near.shape[1])
     y /= y.sum(axis=1, keepdims=True)
-    scale = 1 / max(float(np.abs(x).std()), 1e-12)
-    p = [rng.normal(0, np.sqrt(2 / d), (d, hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), (hidden, parts)), np.zeros(parts)]
-    m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    for _ in range(epochs):
-        order = rng.permutation(n)
-        for at in range(0, n, 256):
-            rows = order[at : at + 256]
-            a = x[rows] * scale
-            h = np.maximum(a @ p[0] + p[1], 0)
-            z = h @ p[2] + p[3]
-            q = np.exp(z - z.max(axis=1, keepdims=True))
-            g = (q / q.sum(axis=1, keepdims=True) - y[rows]) / len(rows)
-            gh = (g @ p[2].T) * (h > 0)
-            t += 1
-            for j, grad in enumerate((a.T @ gh, gh.sum(0), h.T @ g, g.sum(0))):
-                m[j] = 0.9 * m[j] + 0.1 * grad
-                v[j] = 0.999 * v[j] + 0.001 * grad * grad
-                p[j] -= 0.003 * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)
-    router = Router(p[0] * scale, p[1], p[2], p[3], parts)
+    scale = 1 / max(float(np.sqrt((x * x).mean())), 1e-12)
+    z, w, b = x * scale, np.zeros((d, parts)), np.zeros(parts)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, steps + 1):
+        o = z @ w + b
+        q = np.exp(o - o.max(axis=1, keepdims=True))
+        g = q / q.sum(axis=1, keepdims=True) - y
+        grad = z.T @ g / n + l2 * w
+        b -= 0.5 * g.mean(axis=0)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        w -= 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    router = Router(w * scale, b, parts)
     if n > 2:
         s = router.scores(x)
         home, rank = s.argmax(axis=1), np.argsort(np.argsort(-s, axis=1), axis=1)
-        # The k nearest among all rows lie as far as the k·n/total nearest in the sample, but at least a few are asked for.
+        # The k nearest of all rows are as near as the first k * n / total of the sample; some more are asked for, which are harder to find.
         true = neighbour_graph(x, int(np.clip(k * n // max(total, 1), min(5, n - 1), min(k, n - 1))))
         at = rank[np.repeat(np.arange(n), true.shape[1]), home[true].ravel()]
         share = np.cumsum(np.bincount(at, minlength=parts)) / len(at)
-        router.probes = int(np.searchsorted(share, TARGET_RECALL) + 1)
-    router.probes = min(router.probes, parts)
+        router.probes = min(int(np.searchsorted(share, TARGET_RECALL) + 1), parts)
     return router
 
 
@@ -147,8 +137,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, probes: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank, <id_col>, score): each query's k nearest rows found, by inner product in double precision.
 
-    All rows are indexed: each goes to its most probable partition, in blocks of BLOCK vectors, so a hot partition is
-    many blocks and no task holds more than two. A query is sent to its most probable partitions; each block gives its
+    All rows are indexed: each goes to its most probable partition, dealt to blocks of about BLOCK vectors, so a hot
+    partition is many blocks and no task holds more than two. A query is sent to its most probable partitions; each block gives its
     k best for each query, and a window takes the k best of those. Ties go to the smaller id; a query never finds its
     own id. Rows that repeat an id with the same vector count once; null ids and vectors that are null, zero or not finite take no part;
     vectors of another length than the first sampled one's (the most frequent length of the sample) take no part
@@ -167,40 +157,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     router = learn(x, total, k)
     few = probes or router.probes
 
-    def pack(width: int, block: int):
+    def routed(width: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: dict[int, tuple[list, list]] = {}
-
-            def out(part: int) -> pd.DataFrame:
-                ids, vs = held.pop(part)
-                return pd.DataFrame({"part": [part], "ids": [ids], "vs": [np.array(vs, "<f8").tobytes()]})
-
             for batch in batches:
-                for at in range(0, len(batch), 2048):
-                    own = batch.iloc[at : at + 2048]
-                    own = own[own["_v"].map(len) == dim]
-                    if not len(own):
-                        continue
-                    vs = np.array(own["_v"].tolist(), np.float64)
-                    s = router.scores(vs)
-                    best = np.argsort(-s, axis=1, kind="stable")[:, :width]
-                    for row, (key, v) in enumerate(zip(own["_id"], vs, strict=True)):
-                        for part in best[row]:
-                            ids, have = held.setdefault(int(part), ([], []))
-                            ids.append(key)
-                            have.append(v)
-                            if len(ids) == block:
-                                yield out(int(part))
-            for part in sorted(held):
-                yield out(part)
+                own = batch[batch["_v"].map(len) == dim]
+                for at in range(0, len(own), 2048):
+                    some = own.iloc[at : at + 2048]
+                    best = np.argsort(-router.scores(np.array(some["_v"].tolist(), np.float64)), axis=1, kind="stable")[:, :width]
+                    for k in range(best.shape[1]):
+                        yield some.assign(part=best[:, k].astype(np.int32))
 
         return run
 
-    schema = f"part int, ids array<{kind}>, vs binary"
-    # One partition of rows for each block's worth, so that blocks are full; ids spread evenly.
-    spread = lambda df, n: df.repartition(max(1, min(int(n // (BLOCK * 4)) + 1, 4000)), "_id")
-    index = scratch.keep(spread(rows.dropDuplicates(["_id", "_v"]), total).mapInPandas(pack(1, BLOCK), schema), "index")
-    wanted = scratch.keep(spread(asked.dropDuplicates(["_id", "_v"]), total // 8).mapInPandas(pack(few, BLOCK // 4), schema), "queries")
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_id", kind="stable")
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "ids": [pdf["_id"].tolist()], "vs": [np.array(pdf["_v"].tolist(), "<f8").tobytes()]})
+
+    def blocks(df: DataFrame, width: int, size: int, name: str) -> DataFrame:
+        """One row for about ``size`` vectors of a partition: a partition is dealt to as many blocks as its count asks for."""
+        sent = scratch.keep(df.dropDuplicates(["_id", "_v"]).mapInPandas(routed(width), f"_id {kind}, _v array<double>, part int"), f"{name}-routed")
+        counts = {r["part"]: r["count"] for r in sent.groupBy("part").count().collect()}  # MOST_PARTITIONS rows at most
+        share = F.try_element_at(F.create_map(*(F.lit(x) for p, n in counts.items() for x in (p, -(-n // size)))), F.col("part")) if counts else F.lit(1)
+        groups = sent.withColumn("block", F.pmod(F.xxhash64("_id"), share)).groupBy("part", "block")
+        out = scratch.keep(groups.applyInPandas(block, f"part int, ids array<{kind}>, vs binary"), name)
+        scratch.drop(f"{name}-routed")
+        return out
+
+    index, wanted = blocks(rows, 1, BLOCK, "index"), blocks(asked, few, BLOCK // 4, "queries")
     pairs = index.join(wanted.select("part", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs")), "part")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
