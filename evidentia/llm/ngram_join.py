@@ -21,6 +21,8 @@ from evidentia.llm.common import Scratch
 WORDS = 5
 #: Fragments of the global order; a row holds a document's shingles of one of them.
 FRAGMENTS = 4
+#: Cells of each fragment; a class keeps how many of its shingles are in each, which bounds overlaps without reading the sets.
+CELLS = 64
 #: Prefixes hold 1/EXTRA of the shingles more than one common shingle needs, so that more common ones can be asked for.
 EXTRA = 20
 #: Hubs of a candidate group that its members are compared with before components are known.
@@ -64,7 +66,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fragments(docs: DataFrame) -> DataFrame:
-    """Rows (c, n, fragment, part) of documents (_text): the set cut by ranges of the global order."""
+    """Rows (c, n, fragment, part, cells) of documents (_text): the set cut by ranges of the global order, and counts of finer ranges."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges = np.array([(-(1 << 63)) + k * ((1 << 64) // FRAGMENTS) for k in range(1, FRAGMENTS)], dtype=np.int64)
@@ -73,10 +75,12 @@ def fragments(docs: DataFrame) -> DataFrame:
             for text in batch["_text"]:
                 own = shingles(text)
                 c = class_key(own)[1]
-                rows += [(c, len(own), k, part) for k, part in enumerate(np.split(own, np.searchsorted(own, edges)))]
-            yield pd.DataFrame(rows, columns=["c", "n", "fragment", "part"])
+                place = (own.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - (FRAGMENTS * CELLS).bit_length() + 1)
+                cells = np.bincount(place.astype(np.int64), minlength=FRAGMENTS * CELLS).reshape(FRAGMENTS, CELLS).astype(np.int32)
+                rows += [(c, len(own), k, part, cells[k]) for k, part in enumerate(np.split(own, np.searchsorted(own, edges)))]
+            yield pd.DataFrame(rows, columns=["c", "n", "fragment", "part", "cells"])
 
-    return docs.mapInPandas(run, "c long, n long, fragment int, part array<long>")
+    return docs.mapInPandas(run, "c long, n long, fragment int, part array<long>, cells array<int>")
 
 
 def can_link(a: str, b: str) -> Column:
@@ -130,7 +134,7 @@ def links(docs: DataFrame, scratch: Scratch, sketch: DataFrame, id_col: str, tex
     2. For what is left, whole sets: shingles of one class only count against it; the others are ordered by frequency,
        and the second prefix of that order gives candidate groups (classes that share a shingle).
     3. Members of a group are compared with its hubs, the ones with the fewest shingles of their own.
-    4. All pairs of a group across components that bounds allow are compared.
+    4. All pairs of a group across components that bounds on their overlap allow are compared.
     """
     classes = scratch.keep(sketch.where("n > 0").groupBy("lo").agg(F.min("_id").alias("_id"), F.max("n").alias("n")), "classes")
     rows = sketch.where("n > 0").select("_id", "lo", F.explode("prefix").alias("h"))
@@ -161,9 +165,16 @@ def links(docs: DataFrame, scratch: Scratch, sketch: DataFrame, id_col: str, tex
     placed = groups.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("h", "c", "n", "u", F.coalesce("root", "c").alias("root"))
     sizes = placed.groupBy("h", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("h").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("h", F.col("m.root").alias("main"))
-    split = scratch.keep(placed.join(main, "h"), "split")
+    split = placed.join(main, "h")
+    heads = groups.groupBy("c").agg(F.collect_set("h").alias("head"))
+    counts = parts.groupBy("c").agg(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("fragment", "cells"))), lambda x: x["cells"])).alias("cells"))
+    split = scratch.keep(split.join(heads, "c").join(counts, "c"), "split")
     others = split.where("root <> main")
-    across = others.alias("x").join(split.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & can_link("x", "y"))
+    # A pair is taken up at the first shingle its second prefixes share, and only if its cells leave room for enough overlap.
+    first_shared = F.array_min(F.array_intersect("x.head", "y.head")) == F.col("x.h")
+    most = F.aggregate(F.zip_with("x.cells", "y.cells", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    roomy = 9 * most >= 4 * (F.col("x.n") + F.col("y.n"))
+    across = others.alias("x").join(split.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & can_link("x", "y") & first_shared & roomy)
     more = across.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
     last = scratch.keep(verified(more, parts), "last")
     found = near.union(last)
