@@ -50,9 +50,9 @@ def x1(spark: SparkSession, d: str) -> DataFrame:
     return lookups.tag_subset(both, lookups.difference_ids(v, p), "only_first")
 
 
-@query("x2_hard_subset", "SELECT DISTINCT user_id::VARCHAR AS id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 60)")
+@query("x2_hard_subset", "SELECT DISTINCT user_id::VARCHAR AS id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 150)")
 def x2(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("id"), F.when((F.col("event_type") == "purchase") & (F.col("value") > 60), 1.0).otherwise(0.0).alias("f1"))
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("id"), F.when((F.col("event_type") == "purchase") & (F.col("value") > 150), 1.0).otherwise(0.0).alias("f1"))
     return lookups.hard_subset(e, e)
 
 
