@@ -349,3 +349,71 @@ def u3(spark: SparkSession, d: str) -> DataFrame:
     rows = turns(spark, d).select("id", F.when(F.length("q") % 7 == 0, " ").otherwise(F.col("ans")).alias("prompt"), "ans")
     out = plugins.predict(rows, lambda prompts: [p[::-1] for p in prompts])
     return out.select("id", "predict", plugins.token_counter(lambda t: len(t.split()))(F.col("ans")).alias("tokens"))
+
+
+@query("s1_json_documents", "SELECT doc_id, source FROM documents WHERE doc_id % 10 = 0")
+def s1(spark: SparkSession, d: str) -> DataFrame:
+    path, row = scratch(spark, "json"), F.struct("doc_id", "source")
+    # One document for each source, with the rows in a field.
+    docs = table(spark, d, "documents").where("doc_id % 10 = 0").groupBy("source").agg(F.collect_list(row).alias("data"))
+    docs.select("data").write.option("maxRecordsPerFile", 1).json(path)
+    return readers.read_json(spark, path, "data array<struct<doc_id:bigint,source:string>>", "data")
+
+
+@query("s2_bad_lines", "SELECT count(*) FILTER (doc_id % 7 = 0) AS n_bad FROM documents")
+def s2b(spark: SparkSession, d: str) -> DataFrame:
+    path, k = scratch(spark, "lines"), F.col("doc_id")
+    table(spark, d, "documents").select(F.when(k % 7 == 0, "{broken").when(k % 7 == 1, "").otherwise(F.to_json(F.struct(k.alias("id")))).alias("value")).write.text(path)
+    return readers.bad_lines(spark, path, "id bigint")
+
+
+@query("s7_parquet", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def s7(spark: SparkSession, d: str) -> DataFrame:
+    return readers.read_parquet(spark, f"{d}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("s8_run_folders", f"WITH {TURNS} SELECT id, model AS model_name, prompt_type, dataset, 8::INT AS noise, true AS answerable, '20250102030405' AS run_ts, ans AS predict FROM turns")
+def s8(spark: SparkSession, d: str) -> DataFrame:
+    root, t = scratch(spark, "runs"), turns(spark, d)
+    rows = t.select("id", F.col("q").alias("query"), F.col("ans").alias("predict"), "model", "prompt_type", "dataset")
+    for model, prompt, dataset in sorted({tuple(r) for r in rows.select("model", "prompt_type", "dataset").distinct().collect()}):  # a handful of runs
+        folder = f"{root}/{model}/seed_1/tpr_0.5/prompt_{prompt}/{dataset}-noise_8-answerable/20250102030405"
+        own = (F.col("model") == model) & (F.col("prompt_type") == prompt) & (F.col("dataset") == dataset)
+        rows.where(own).select("id", "query", "predict").write.option("maxRecordsPerFile", 1).json(folder)
+        meta = rows.where(own).limit(1).select(F.struct(F.col("model").alias("model_name"), "prompt_type", "dataset").alias("info"))
+        meta.coalesce(1).write.json(f"{folder}-meta")
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        store = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in store.listStatus(hadoop.Path(f"{folder}-meta")):
+            if f.getPath().getName().startswith("part-"):
+                store.rename(f.getPath(), hadoop.Path(f"{folder}/metadata.json"))
+        store.delete(hadoop.Path(f"{folder}-meta"), True)
+    return readers.read_run_folder(spark, root).select("id", "model_name", "prompt_type", "dataset", "noise", "answerable", "run_ts", "predict")
+
+
+@query("s11_abstract_store", "SELECT source AS pmid, arg_max(lang, doc_id) AS title FROM documents WHERE doc_id % 3 <> 0 GROUP BY source")
+def s11(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "abstracts")
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("pmid"), F.col("lang").alias("title"))
+    # The order of lines decides, so they are sorted into one range after another.
+    rows.repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id").select("pmid", "title", F.lit("a").alias("abstract")).write.json(path)
+    return readers.read_abstract_store(spark, path).select("pmid", "title")
+
+
+@query("s13_squad", "SELECT doc_id::VARCHAR AS qid, doc_id % 2 = 0 AS has_ans, CASE WHEN doc_id % 5 <> 0 THEN lang END AS pred, CASE WHEN doc_id % 3 = 0 THEN 0.25 ELSE 0 END::DOUBLE AS na_prob FROM documents")
+def s13(spark: SparkSession, d: str) -> DataFrame:
+    path, k, docs = scratch(spark, "squad"), F.col("doc_id"), table(spark, d, "documents")
+    answers = F.when(k % 2 == 0, F.array(F.struct(F.col("source").alias("text")))).otherwise(F.expr("cast(array() as array<struct<text:string>>)"))
+    qas = docs.groupBy("source").agg(F.collect_list(F.struct(k.cast("string").alias("id"), answers.alias("answers"))).alias("qas"))
+    qas.select(F.array(F.struct(F.array(F.struct("qas")).alias("paragraphs"))).alias("data")).write.option("maxRecordsPerFile", 1).json(path)
+    preds = docs.where("doc_id % 5 <> 0").select(k.cast("string").alias("qid"), F.col("lang").alias("text"))
+    probs = docs.where("doc_id % 3 = 0").select(k.cast("string").alias("qid"), F.lit(0.25).alias("p"))
+    return readers.read_squad(spark, path, preds, probs).select("qid", "has_ans", "pred", "na_prob")
+
+
+@query("c8_locate_across", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents), q AS (SELECT item_id AS text_id, string_split(text, chr(10))[1] AS q FROM benchmark) SELECT text_id, min(doc_id) AS para, arg_min(k, (doc_id, k))::INT AS sent_id FROM q JOIN l ON contains(l.s, trim(q.q)) WHERE len(string_split(trim(q.q), ' ')) > 3 GROUP BY text_id")
+def c8b(spark: SparkSession, d: str) -> DataFrame:
+    sents = table(spark, d, "documents").select(F.col("doc_id").alias("para"), F.posexplode(F.split("text", "\n")).alias("sent_id", "sentence"))
+    texts = table(spark, d, "benchmark").select(F.col("item_id").alias("text_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("text"))
+    long = F.size(F.split(F.trim("text"), " ")) > 3
+    return retrieval.locate_across(texts.where(long), sents)

@@ -109,7 +109,7 @@ def read_eval_summaries(spark: SparkSession, root: str) -> DataFrame:
 def read_abstract_store(spark: SparkSession, path: str) -> DataFrame:
     """Pmid, title, abstract; rows without a pmid are dropped, of repeated ones the last line stays."""
     schema = f"pmid string, title string, abstract string, {CORRUPT} string"
-    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(path).select("*", F.monotonically_increasing_id().alias("_pos"))
+    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(path).select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_pos"))
     return last_by_key(raw.where(F.col(CORRUPT).isNull() & F.col("pmid").isNotNull()), ["pmid"], "_pos").select("pmid", "title", "abstract")
 
 
