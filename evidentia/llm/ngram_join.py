@@ -212,3 +212,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     some = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return some.select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+
+
+def oracle() -> str:
+    """The same groups as DuckDB SQL: all pairs that share a shingle are counted, components by recursion (for small tables)."""
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    g AS (SELECT doc_id, CASE WHEN len(w) >= {WORDS} THEN list_transform(range(1, len(w) - {WORDS} + 2), lambda k: array_to_string(w[k : k + {WORDS} - 1], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+    n AS (SELECT doc_id, len(list_distinct(s)) AS n FROM g), s AS (SELECT DISTINCT doc_id, unnest(s) AS h FROM g),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, ways.b FROM reach JOIN ways ON ways.a = reach.b)
+    SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(reach.b) AS component_id FROM n JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n"""

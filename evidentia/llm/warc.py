@@ -213,3 +213,11 @@ def round_trip(pages: DataFrame, version: int = 2, id_col: str = "page_id", url_
     where = jvm.org.apache.hadoop.fs.Path(scratch.path("archives"))
     where.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).mkdirs(where)
     return read(pages, scratch.path("archives"), id_col)
+
+
+def oracle() -> str:
+    """The query's columns as DuckDB SQL."""
+    return f"""
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+    f AS (SELECT *, CASE WHEN n >= {LEAST_REVISIT_BYTES} THEN min(page_id) OVER (PARTITION BY d) END AS first FROM p)
+    SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM f"""
