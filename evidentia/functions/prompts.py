@@ -15,7 +15,7 @@ SYSTEM: dict[str, str] = {
     "cot": "Think step by step, then write one line that starts with 'Answer:'.",
     "ircot": "Reason over the context one step at a time, then write one line that starts with 'Answer:'.",
     "deepseek": "Reason between <|think|> and </|think|>, quote evidence between <|EVIDENCE|> and </|EVIDENCE|>, answer between <|answer|> and </|answer|>.",
-    "copypaste": "Reason between <|think|> and </|think|>, copying each supporting sentence word for word between <|EVIDENCE|> and </|EVIDENCE|>; answer between <|answer|> and </|answer|>.",
+    "copy_evidence": "Reason between <|think|> and </|think|>, copying each supporting sentence word for word between <|EVIDENCE|> and </|EVIDENCE|>; answer between <|answer|> and </|answer|>.",
     "find_facts": "List the sentences of the context that support the answer, each between <|EVIDENCE|> and </|EVIDENCE|>.",
 }
 RAG_TYPES = ["rag", "rag_rep_2", "rag_rep_q", "rag_qcq", "rag_qcq2", "rag_q_int_q", "rag_q_int2_q", "rag_q_int_docs_q", "rag_decompressed", "rag_decompressed_rep_q"]
@@ -97,6 +97,6 @@ def judge_prompt(question: Column, context: Column, facts: Column, answers: Colu
 
 
 def legacy_prompt(kind: str, question: Column, context: Column) -> Column:
-    """The older layouts direct, reasoning, reasoning_with_copypaste and reasoning_with_copypaste_old: question after context, one line each."""
-    ask = {"direct": "Answer:", "reasoning": "Reason, then answer.", "reasoning_with_copypaste": "Reason with copied evidence, then answer.", "reasoning_with_copypaste_old": "Reason with copied evidence, then answer between tags."}[kind]
+    """The older layouts direct, reasoning, reasoning_with_evidence and reasoning_with_evidence_old: question after context, one line each."""
+    ask = {"direct": "Answer:", "reasoning": "Reason, then answer.", "reasoning_with_evidence": "Reason with copied evidence, then answer.", "reasoning_with_evidence_old": "Reason with copied evidence, then answer between tags."}[kind]
     return F.concat(F.lit("Context: "), context, F.lit("\nQuestion: "), question, F.lit("\n" + ask))

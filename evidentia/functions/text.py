@@ -91,7 +91,7 @@ def safe_question(c: Column, most: int = 100) -> Column:
 
 
 #: Canonical dataset names.
-DATASETS = ["CopyPaste", "FaithEval", "HotpotQA", "MultiRC", "MuSiQue", "PopQA", "PubMedQA", "Qasper", "2WikiMultiHopQA", "ConFiQA"]
+DATASETS = ["Mixture", "FaithEval", "HotpotQA", "MultiRC", "MuSiQue", "PopQA", "PubMedQA", "Qasper", "2WikiMultiHopQA", "ConFiQA"]
 
 
 def dataset_name(c: Column) -> Column:

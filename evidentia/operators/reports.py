@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evidentia.functions.metrics import answer_scores, best_f1, failed, joint_scores, row_lengths, supporting_fact_scores
 from evidentia.functions.text import extract_answer, extract_answer_tagged, extract_evidence, noise_coordinate, relative_delta
 
-DEFAULT_TAGGED = frozenset({"copypaste", "deepseek", "find_facts"})
+DEFAULT_TAGGED = frozenset({"copy_evidence", "deepseek", "find_facts"})
 
 
 def parsed(predictions: DataFrame, tagged_types: frozenset[str] = DEFAULT_TAGGED) -> DataFrame:

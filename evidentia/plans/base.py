@@ -67,13 +67,13 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("conv_id")
     return asked.join(said, ["conv_id", "turn"]).select(
         (k * 1000 + F.col("turn")).cast("string").alias("id"), "conv_id", F.concat(F.lit("set"), (k % 3).cast("string")).alias("dataset"), F.concat(F.lit("m"), (k % 2).cast("string")).alias("model"),
-        F.when(k % 2 == 0, "copypaste").otherwise("rag").alias("prompt_type"), F.expr("cast(case conv_id % 5 when 0 then 0 when 1 then 1 when 2 then 2 when 3 then 4 else 8 end as int)").alias("noise"), (k % 7 == 0).alias("gold_removed"), "q", "t",
+        F.when(k % 2 == 0, "copy_evidence").otherwise("rag").alias("prompt_type"), F.expr("cast(case conv_id % 5 when 0 then 0 when 1 then 1 when 2 then 2 when 3 then 4 else 8 end as int)").alias("noise"), (k % 7 == 0).alias("gold_removed"), "q", "t",
         F.get(F.split("t", "\n"), F.lit(0)).alias("line"), F.array_join(F.slice(F.split(F.trim(F.regexp_replace("t", r"\s+", " ")), " "), 1, 3), " ").alias("ans"),
     )
 
 
 TURNS = f"""turns AS (SELECT (u.conv_id * 1000 + u.turn)::VARCHAR AS id, u.conv_id, 'set' || (u.conv_id % 3) AS dataset, 'm' || (u.conv_id % 2) AS model,
-  CASE WHEN u.conv_id % 2 = 0 THEN 'copypaste' ELSE 'rag' END AS prompt_type, (CASE u.conv_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 ELSE 8 END)::INT AS noise, u.conv_id % 7 = 0 AS gold_removed,
+  CASE WHEN u.conv_id % 2 = 0 THEN 'copy_evidence' ELSE 'rag' END AS prompt_type, (CASE u.conv_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 ELSE 8 END)::INT AS noise, u.conv_id % 7 = 0 AS gold_removed,
   u.text AS q, a.text AS t, string_split(a.text, chr(10))[1] AS line, array_to_string(string_split({squeeze('a.text')}, ' ')[1:3], ' ') AS ans
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' AND u.role = 'user')"""
 
@@ -117,7 +117,7 @@ PARSED = f"""{PREDICTIONS}, raw AS (SELECT *, {SPANS} AS pred_facts, regexp_extr
 lined AS (SELECT *, regexp_replace(lines[-1], '</?\\|answer\\|>', '', 'g') AS x FROM raw),
 parsed AS (SELECT * EXCLUDE (lines, x), CASE WHEN len(lines) = 0 THEN NULL ELSE regexp_replace({NO_EV}, '[<>]', '', 'g') END AS line_answer,
   {strip("regexp_extract(predict, '<\\|answer\\|>((?s:.*?))</\\|answer\\|>', 1)")} AS tag_answer FROM lined),
-answered AS (SELECT *, CASE WHEN prompt_type = 'copypaste' THEN tag_answer ELSE line_answer END AS answer FROM parsed)"""
+answered AS (SELECT *, CASE WHEN prompt_type = 'copy_evidence' THEN tag_answer ELSE line_answer END AS answer FROM parsed)"""
 
 GOLD = "list_transform(answers, lambda g: {n})".replace("{n}", norm("g"))
 CLOSED = "('yes', 'no', 'noanswer', 'maybe')"

@@ -15,7 +15,7 @@ LANGS = ["de", "en", "es", "fr"]
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return reports.scored(reports.parsed(predictions(spark, d), frozenset({"copypaste"})))
+    return reports.scored(reports.parsed(predictions(spark, d), frozenset({"copy_evidence"})))
 
 
 def r6(*cols: str) -> str:
@@ -33,7 +33,7 @@ def m1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m3_hit_answer", f"WITH {SCORED} SELECT id, answers[list_position(list_transform(ng, lambda g: contains({norm("coalesce(answer, '')")}, g)), true)] AS hit_gold FROM scored")
 def m3(spark: SparkSession, d: str) -> DataFrame:
-    p = reports.parsed(predictions(spark, d), frozenset({"copypaste"}))
+    p = reports.parsed(predictions(spark, d), frozenset({"copy_evidence"}))
     return p.select("id", M.hit_answer(F.col("answer"), F.col("answers")).alias("hit_gold"))
 
 
