@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,53 +31,64 @@ def summary(scored: DataFrame) -> DataFrame:
     return every.union(named).select("slice", (100 * F.col("e") / F.col("total")).alias("exact"), (100 * F.col("f") / F.col("total")).alias("f1"), "total")
 
 
-def precision_recall(scored: DataFrame, score: str) -> DataFrame:
-    """(na_prob, precision, recall), one point for each distinct na_prob. score: a column, or "oracle" for has_ans itself.
+SCORES = ("exact", "f1", "oracle")
+#: Ranges of the ordering column over which running sums are spread.
+RANGES = 64
+
+
+def _gain(score: str) -> Column:
+    return F.col("has_ans").cast("double") if score == "oracle" else F.when(F.col("has_ans"), F.col(score)).otherwise(0.0)
+
+
+def _points(scored: DataFrame, scores: tuple[str, ...]) -> DataFrame:
+    """Per na_prob: tp, running tp of each score, running count and the number of answerable rows.
 
-    Counts are pre-aggregated by na_prob, so the running sums see one row for each distinct probability. Those are
-    ranged over partitions and only each range's total crosses between them.
+    Counts are pre-aggregated by na_prob, so the running sums see one row for each distinct probability.
     """
-    value = F.col("has_ans").cast("double") if score == "oracle" else F.when(F.col("has_ans"), F.col(score)).otherwise(0.0)
-    steps = scored.groupBy("na_prob").agg(F.sum(value).alias("tp"), F.count("*").alias("n"), F.sum(F.col("has_ans").cast("long")).alias("pos"))
-    run = running(steps, ["na_prob"], {"tp": "run_tp", "n": "run_n"})
+    steps = scored.groupBy("na_prob").agg(*(F.sum(_gain(x)).alias(f"tp_{x}") for x in scores), F.count("*").alias("n"), F.sum(F.col("has_ans").cast("long")).alias("pos"))
+    run = running(steps, ["na_prob"], {f"tp_{x}": f"run_{x}" for x in scores} | {"n": "run_n"})
     total = steps.agg(F.sum("pos").alias("all_pos")).where("all_pos > 0")  # one row
-    return run.crossJoin(F.broadcast(total)).select("na_prob", (F.col("run_tp") / F.col("run_n")).alias("precision"), (F.col("run_tp") / F.col("all_pos")).alias("recall"))
+    return run.crossJoin(F.broadcast(total))
 
 
-def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+def precision_recall(scored: DataFrame, score: str) -> DataFrame:
+    """(na_prob, precision, recall), one point for each distinct na_prob. score: a column, or "oracle" for has_ans itself."""
+    return _points(scored, (score,)).select("na_prob", (F.col(f"run_{score}") / F.col("run_n")).alias("precision"), (F.col(f"run_{score}") / F.col("all_pos")).alias("recall"))
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, str], ranges: int = RANGES) -> DataFrame:
     """df plus running sums in the given order, without bringing all rows to one task.
 
-    Rows are sorted into ranges; sums run inside each range, and the totals of the ranges before (one small row each)
-    are added.
+    The first ordering column is cut into ranges at its approximate quantiles (a few numbers that come to the driver);
+    sums run inside each range, and the totals of the ranges before (one small row each) are added. A row's range
+    depends on its value alone, so that both sides agree.
     """
-    part = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    bounds = df.select(F.percentile_approx(order[0], [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    at = F.size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))), lambda b: b < F.col(order[0]))) if bounds else F.lit(0)
+    part = df.withColumn("_part", at)
     inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = part.withColumns({new: F.sum(old).over(inside) for old, new in sums.items()})
     totals = part.groupBy("_part").agg(*(F.sum(old).alias(f"_t_{old}") for old in sums))
-    every = totals.agg(F.array_sort(F.collect_list(F.struct("_part", *(f"_t_{old}" for old in sums)))).alias("_all"))
-    out = local.crossJoin(F.broadcast(every))  # one row: a total for each partition
+    every = totals.agg(F.collect_list(F.struct("_part", *(f"_t_{old}" for old in sums))).alias("_all"))
+    out = local.crossJoin(F.broadcast(every))  # one row with at most ``ranges`` totals
     for old, new in sums.items():
-        before = F.aggregate(F.transform(F.filter("_all", lambda x: x["_part"] < F.col("_part")), _field(f"_t_{old}")), F.lit(0.0), lambda n, x: n + x)
-        out = out.withColumn(new, F.col(new) + before)
+        earlier = F.transform(F.filter("_all", lambda x: x["_part"] < F.col("_part")), _field(f"_t_{old}"))
+        out = out.withColumn(new, F.col(new) + F.aggregate(earlier, F.lit(0.0), lambda n, x: n + x))
     return out.drop("_part", "_all")
 
 
-def _field(name: str):
+def _field(name: str) -> Callable[[Column], Column]:
     return lambda x: x[name].cast("double")
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
-    """(score, ap): area under the precision-recall points, in percent, for exact, f1 and oracle."""
-    out = None
-    for score in ("exact", "f1", "oracle"):
-        points = precision_recall(scored, score)
-        # Points come in order of na_prob, where recall never falls: differences of recall are differences of running sums.
-        value = F.col("has_ans").cast("double") if score == "oracle" else F.when(F.col("has_ans"), F.col(score)).otherwise(0.0)
-        gain = scored.groupBy("na_prob").agg(F.sum(value).alias("tp"))
-        total = scored.agg(F.sum(F.col("has_ans").cast("long")).alias("all_pos")).where("all_pos > 0")
-        one = points.join(gain, "na_prob").crossJoin(F.broadcast(total)).agg((100 * F.sum(F.col("precision") * F.col("tp") / F.col("all_pos"))).alias("ap")).select(F.lit(score).alias("score"), "ap").where("ap is not null")
-        out = one if out is None else out.union(one)
-    return out
+    """(score, ap): area under the precision-recall points, in percent, for exact, f1 and oracle; no rows without answerable ones.
+
+    Points come in order of na_prob, where recall never falls: a step of recall is a step's own share.
+    """
+    area = [(100 * F.sum(F.col(f"run_{x}") / F.col("run_n") * F.col(f"tp_{x}") / F.col("all_pos"))).alias(x) for x in SCORES]
+    one = _points(scored, SCORES).agg(*area)
+    return one.select(F.explode(F.array(*(F.struct(F.lit(x).alias("score"), F.col(x).alias("ap")) for x in SCORES))).alias("s")).select("s.*").where("ap is not null")
 
 
 def best_threshold(scored: DataFrame, score: str) -> DataFrame:
