@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import normalize_answer, strip
+from evidentia.functions.text import let, normalize_answer, strip
 
 #: Answers that only count as a whole.
 CLOSED = ["yes", "no", "noanswer", "maybe"]
@@ -13,17 +13,17 @@ CLOSED = ["yes", "no", "noanswer", "maybe"]
 
 def exact_match(pred: Column, golds: Column) -> Column:
     """M1."""
-    return F.coalesce((pred != "") & F.exists(golds, lambda g: normalize_answer(g) == normalize_answer(pred)), F.lit(False))
+    return F.coalesce((pred != "") & let(normalize_answer(pred), lambda p: F.exists(golds, lambda g: normalize_answer(g) == p)), F.lit(False))
 
 
 def hit(pred: Column, golds: Column) -> Column:
     """M2: some gold's normal form is contained; an empty normal form always is."""
-    return F.coalesce((pred != "") & F.exists(golds, lambda g: normalize_answer(pred).contains(normalize_answer(g))), F.lit(False))
+    return F.coalesce((pred != "") & let(normalize_answer(pred), lambda p: F.exists(golds, lambda g: p.contains(normalize_answer(g)))), F.lit(False))
 
 
 def hit_answer(pred: Column, golds: Column) -> Column:
     """M3: the first gold, as written, whose normal form is contained; else null."""
-    return F.get(F.filter(golds, lambda g: normalize_answer(F.coalesce(pred, F.lit(""))).contains(normalize_answer(g))), F.lit(0))
+    return let(normalize_answer(F.coalesce(pred, F.lit(""))), lambda p: F.get(F.filter(golds, lambda g: p.contains(normalize_answer(g))), F.lit(0)))
 
 
 def words(c: Column) -> Column:
@@ -34,7 +34,7 @@ def words(c: Column) -> Column:
 def overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays."""
     count = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
+    return let(a, lambda x: let(b, lambda y: F.aggregate(F.array_distinct(x), F.lit(0), lambda n, t: n + F.least(count(x, t), count(y, t)))))
 
 
 def f1_of(common: Column, n_pred: Column, n_gold: Column) -> Column:
@@ -45,20 +45,33 @@ def f1_of(common: Column, n_pred: Column, n_gold: Column) -> Column:
     return F.struct(F.when(some, 2 * p * r / (p + r)).otherwise(zero).alias("f1"), F.when(some, p).otherwise(zero).alias("precision"), F.when(some, r).otherwise(zero).alias("recall"))
 
 
-def token_f1(pred: Column, gold: Column) -> Column:
-    """M4: struct(f1, precision, recall) of normalised tokens; zeros where one side is a closed answer and they differ."""
-    p, g = normalize_answer(F.coalesce(pred, F.lit(""))), normalize_answer(F.coalesce(gold, F.lit("")))
+def normal_f1(p: Column, g: Column) -> Column:
+    """M4 on normal forms."""
     closed = (p.isin(CLOSED) | g.isin(CLOSED)) & (p != g)
     return f1_of(F.when(closed, 0).otherwise(overlap(words(p), words(g))), F.size(words(p)), F.size(words(g)))
 
 
-def best_f1(pred: Column, golds: Column) -> Column:
-    """M5: the triple with the highest F1 over golds, the first on ties; zeros without golds."""
+def token_f1(pred: Column, gold: Column) -> Column:
+    """M4: struct(f1, precision, recall) of normalised tokens; zeros where one side is a closed answer and they differ."""
+    return normal_f1(normalize_answer(F.coalesce(pred, F.lit(""))), normalize_answer(F.coalesce(gold, F.lit(""))))
+
+
+def best_normal_f1(p: Column, golds: Column) -> Column:
+    """M5 on normal forms. Table operators normalise once, in a column of its own, since lambdas compute what they hold for each gold."""
     zero = F.struct(F.lit(0.0).alias("f1"), F.lit(0.0).alias("precision"), F.lit(0.0).alias("recall"))
-    each = F.transform(golds, lambda g: token_f1(pred, g))
+    each = F.transform(golds, lambda g: normal_f1(p, g))
     return F.coalesce(F.aggregate(each, zero, lambda a, b: F.when(b["f1"] > a["f1"], b).otherwise(a)), zero)
 
 
+def normal_golds(golds: Column) -> Column:
+    return F.transform(golds, lambda g: normalize_answer(F.coalesce(g, F.lit(""))))
+
+
+def best_f1(pred: Column, golds: Column) -> Column:
+    """M5: the triple with the highest F1 over golds, the first on ties; zeros without golds."""
+    return let(normalize_answer(F.coalesce(pred, F.lit(""))), lambda p: best_normal_f1(p, normal_golds(golds)))
+
+
 def answer_scores(pred: Column, golds: Column) -> Column:
     """M6: struct(em, hit, f1); zeros where the prediction is empty."""
     some = F.coalesce(pred, F.lit("")) != ""
@@ -73,10 +86,9 @@ def supporting_fact_scores(preds: Column, golds: Column) -> Column:
     """M7: struct(em, f1, precision, recall) of facts by containment, lower-cased and trimmed; zeros where either list is empty or starts blank."""
     p, g = F.transform(preds, lambda x: F.lower(strip(x))), F.transform(golds, lambda x: F.lower(strip(x)))
     usable = F.coalesce((F.size(preds) > 0) & (F.size(golds) > 0) & (strip(F.get(preds, F.lit(0))) != "") & (strip(F.get(golds, F.lit(0))) != ""), F.lit(False))
-    all_g, all_p = F.array_join(g, " "), F.array_join(p, " ")
-    tp = F.size(F.filter(p, lambda x: all_g.contains(x)))
+    tp = let(F.array_join(g, " "), lambda every: F.size(F.filter(p, lambda x: every.contains(x))))
     fp = F.size(p) - tp
-    fn = F.size(F.filter(g, lambda x: ~all_p.contains(x)))
+    fn = let(F.array_join(p, " "), lambda every: F.size(F.filter(g, lambda x: ~every.contains(x))))
     prec, rec = F.try_divide(tp, tp + fp), F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0))
     zero = lambda c: F.when(usable, c).otherwise(0.0)
@@ -103,17 +115,18 @@ def open_golds(golds: Column) -> Column:
 
 def open_exact(pred: Column, golds: Column) -> Column:
     """M9: 1.0 where the normal forms are equal, an empty one included."""
-    return F.when(F.exists(open_golds(golds), lambda g: normalize_answer(g) == normalize_answer(pred)), 1.0).otherwise(0.0)
+    same = let(normalize_answer(pred), lambda p: F.exists(open_golds(golds), lambda g: normalize_answer(g) == p))
+    return F.when(same, 1.0).otherwise(0.0)
 
 
 def open_f1(pred: Column, golds: Column) -> Column:
     """M9: best token F1; where a side has no tokens, 1 if neither has, else 0."""
-    def one(g: Column) -> Column:
-        a, b = words(normalize_answer(pred)), words(normalize_answer(g))
+    def one(a: Column, b: Column) -> Column:
         empty = (F.size(a) == 0) | (F.size(b) == 0)
         return F.when(empty, (F.size(a) == F.size(b)).cast("double")).otherwise(f1_of(overlap(a, b), F.size(a), F.size(b))["f1"])
 
-    return F.array_max(F.transform(open_golds(golds), one))
+    each = lambda a: F.transform(open_golds(golds), lambda g: let(words(normalize_answer(g)), lambda b: one(a, b)))
+    return F.array_max(let(words(normalize_answer(pred)), each))
 
 
 def strict_copy(pred: Column, gold: Column, spans: Column, context: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evidentia.functions.metrics import best_f1, exact_match, hit_answer, supporting_fact_scores
-from evidentia.functions.text import clean_text, normalize_answer, strip
+from evidentia.functions.text import clean_text, let, normalize_answer, strip
 
 #: Tag styles: the tags whose balance is checked, and patterns of think, answer and evidence with their content as group 1.
 STYLES = {
@@ -87,12 +87,15 @@ def copy_hits(preds: Column, golds: Column) -> Column:
     """Distinct gold facts (arrays of sentences) that are the first to contain a predicted fact at least as long as their shortest sentence."""
     joined = F.transform(golds, lambda g: normalize_answer(F.array_join(g, " ")))
     short = F.transform(golds, lambda g: F.array_min(F.transform(g, F.length)))
-    at = F.when(F.size(golds) > 0, F.sequence(F.lit(0), F.greatest(F.size(golds), F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
-    first = lambda p: F.get(F.filter(at, lambda k: normalize_answer(p).contains(F.get(joined, k))), F.lit(0))
-    # As with answers, the gold's normal form is looked for in the prediction's, and the first one found counts.
-    hits = F.transform(preds, lambda p: F.struct(first(p).alias("k"), F.length(p).alias("n")))
-    good = F.filter(hits, lambda h: h["k"].isNotNull() & (h["n"] >= F.coalesce(F.get(short, h["k"]), F.lit(0))))
-    return F.size(F.array_distinct(F.transform(good, lambda h: h["k"])))
+
+    def distinct_hits(every: Column, least: Column) -> Column:
+        # As with answers, the gold's normal form is looked for in the prediction's, and the first one found counts.
+        first = lambda p: let(normalize_answer(p), lambda n: F.array_position(F.transform(every, lambda g: n.contains(g)), True))
+        hits = F.transform(preds, lambda p: F.struct(first(p).cast("int").alias("k"), F.length(p).alias("n")))
+        good = F.filter(hits, lambda h: (h["k"] > 0) & (h["n"] >= F.coalesce(F.get(least, h["k"] - 1), F.lit(0))))
+        return F.size(F.array_distinct(F.transform(good, lambda h: h["k"])))
+
+    return let(joined, lambda every: let(short, lambda least: distinct_hits(every, least)))
 
 
 def copy_f1(preds: Column, golds: Column, eps: float = EPS) -> Column:

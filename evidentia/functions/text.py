@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ TAGGED_ANSWER = r"(?s)<\|answer\|>(.*?)</\|answer\|>"
 ANSWER_LINE = r"(?d)Answer:\s*([^\n]+)(?:\n|$)"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for each row: what a lambda holds is otherwise computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -189,14 +196,12 @@ def locate(text: Column, title: Column, sents: Column) -> Column:
 
 def maximal(c: Column) -> Column:
     """Distinct strings that no other of the array contains, longest first (then in order of text)."""
-    d = F.array_distinct(c)
-    return by_length(F.filter(d, lambda x: ~F.exists(d, lambda y: (y != x) & y.contains(x))), longest=True)
+    return let(F.array_distinct(c), lambda d: by_length(F.filter(d, lambda x: ~F.exists(d, lambda y: (y != x) & y.contains(x))), longest=True))
 
 
 def minimal(c: Column) -> Column:
     """Distinct strings that contain no other of the array, shortest first (then in order of text)."""
-    d = F.array_distinct(c)
-    return by_length(F.filter(d, lambda x: ~F.exists(d, lambda y: (y != x) & x.contains(y))), longest=False)
+    return let(F.array_distinct(c), lambda d: by_length(F.filter(d, lambda x: ~F.exists(d, lambda y: (y != x) & x.contains(y))), longest=False))
 
 
 def by_length(c: Column, longest: bool) -> Column:

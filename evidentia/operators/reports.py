@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentia.functions.metrics import answer_scores, best_f1, failed, joint_scores, row_lengths, supporting_fact_scores
-from evidentia.functions.text import extract_answer, extract_answer_tagged, extract_evidence, noise_coordinate, relative_delta
+from evidentia.functions.metrics import best_normal_f1, failed, joint_scores, normal_golds, row_lengths, supporting_fact_scores
+from evidentia.functions.text import extract_answer, extract_answer_tagged, extract_evidence, noise_coordinate, normalize_answer, relative_delta
 
 DEFAULT_TAGGED = frozenset({"copy_evidence", "deepseek", "find_facts"})
 
@@ -20,13 +20,14 @@ def parsed(predictions: DataFrame, tagged_types: frozenset[str] = DEFAULT_TAGGED
 
 def scored(rows: DataFrame, legacy_unpack: bool = False) -> DataFrame:
     """rows (answer, pred_facts, answers, facts, predict) plus every row metric, once each."""
-    ans, sp = best_f1(F.col("answer"), F.col("answers")), supporting_fact_scores(F.col("pred_facts"), F.col("facts"))
-    out = rows.withColumns({"_a": answer_scores(F.col("answer"), F.col("answers")), "_b": ans, "_s": sp, "_l": row_lengths(F.col("answer"), F.col("answers"), F.col("pred_facts"), F.col("predict"))})
-    both = F.col("_l.answer_parsed") & F.col("_l.facts_parsed")
-    some = F.coalesce(F.col("answer"), F.lit("")) != ""
-    out = out.withColumn("_j", joint_scores(F.col("_a.em"), F.col("_b"), F.col("_s"), both, legacy_unpack))
+    answer, golds = F.col("answer"), F.col("answers")
+    normal = rows.withColumns({"_p": normalize_answer(F.coalesce(answer, F.lit(""))), "_g": normal_golds(golds), "_s": supporting_fact_scores(F.col("pred_facts"), F.col("facts")), "_l": row_lengths(answer, golds, F.col("pred_facts"), F.col("predict"))})
+    some = F.coalesce(answer, F.lit("")) != ""
+    one = lambda c: F.when(F.coalesce(some & c, F.lit(False)), 1.0).otherwise(0.0)
+    out = normal.withColumns({"_b": best_normal_f1(F.col("_p"), F.col("_g")), "_em": one(F.array_contains("_g", F.col("_p"))), "_hit": one(F.exists("_g", lambda g: F.col("_p").contains(g)))})
+    out = out.withColumn("_j", joint_scores(F.col("_em"), F.col("_b"), F.col("_s"), F.col("_l.answer_parsed") & F.col("_l.facts_parsed"), legacy_unpack))
     return out.select(
-        *rows.columns, F.col("_a.em").alias("em"), F.col("_a.hit").alias("hit"), F.col("_a.f1").alias("f1"), F.when(some, F.col("_b.precision")).otherwise(0.0).alias("prec"), F.when(some, F.col("_b.recall")).otherwise(0.0).alias("recall"),
+        *rows.columns, F.col("_em").alias("em"), F.col("_hit").alias("hit"), *(F.when(some, F.col(f"_b.{m}")).otherwise(0.0).alias(n) for m, n in (("f1", "f1"), ("precision", "prec"), ("recall", "recall"))),
         *(F.col(f"_s.{m}").alias(f"sp_{n}") for m, n in (("em", "em"), ("f1", "f1"), ("precision", "prec"), ("recall", "recall"))),
         *(F.col(f"_j.{m}").alias(f"joint_{n}") for m, n in (("em", "em"), ("f1", "f1"), ("precision", "prec"), ("recall", "recall"))), "_l.*",
     )
