@@ -16,27 +16,32 @@ from evidentia.llm.common import labelled_sample
 #: Bound of the labelled sample that the classifier is fitted to, and the share of it that is held out for the threshold.
 MAX_LABELLED = 12_000
 HELD_OUT = 0.25
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+#: Beginnings of words that are features beside the words themselves, so that compounds and inflections share them.
+BEGINNINGS = (4, 5, 6, 7)
 GRADES = 4
 LEAST_DF = 4
+#: Words enter the regression if their log-odds differ by so many deviations; telling words, which grade binary labels, by so many.
+ENTER_Z, SURE_Z = 3.0, 4.0
 SEED = 17
 WORD = re.compile(r"[^\W\d_]+")
 
 
 class Buckets(dict):
-    """Word -> hash bucket, remembered for each worker up to a bound."""
+    """Word -> hash buckets of it and its beginnings, remembered for each worker up to a bound."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 60_000:
             self.clear()
-        k = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
-        return k
+        parts = [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+        found = self[word] = tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in parts)
+        return found
 
 
 def features(text: str, buckets: Buckets) -> np.ndarray:
-    """The distinct buckets of the whole text's lower-cased words."""
-    words = set(WORD.findall(text.lower()))
-    return np.unique(np.fromiter(map(buckets.__getitem__, words), np.int32, len(words)))
+    """The distinct buckets of the whole text's lower-cased words and their beginnings."""
+    found = set().union(*map(buckets.__getitem__, set(WORD.findall(text.lower()))))
+    return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
 class Model:
@@ -49,7 +54,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.cuts[None, :], -40, 40)))
 
 
-def ordinal_fit(rows: np.ndarray, cols: np.ndarray, n: int, grade: np.ndarray, grades: int = GRADES, rounds: int = 120, l2: float = 2e-4, rate: float = 0.08) -> Model:
+def ordinal_fit(rows: np.ndarray, cols: np.ndarray, n: int, grade: np.ndarray, grades: int = GRADES, rounds: int = 250, l2: float = 2e-4, rate: float = 0.08) -> Model:
     """Maximum likelihood by Adam. Thresholds stay ordered: each is the one before plus a positive step."""
     w, c = np.zeros(BUCKETS), np.concatenate([[2.0], np.zeros(grades - 2)])
     share = np.array([max((grade > k).mean(), 1e-3) for k in range(grades - 1)])
@@ -80,19 +85,23 @@ def ordinal_fit(rows: np.ndarray, cols: np.ndarray, n: int, grade: np.ndarray, g
     return Model(np.where(keep, w, 0), c[0] + np.concatenate([[0], np.cumsum(np.log1p(np.exp(c[1:])))]))
 
 
+def telling(toxic: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """For each bucket, by how many standard deviations its log-odds in toxic rows differ from those in clean ones."""
+    n1, n0 = max(toxic.sum(), 1), max((toxic == 0).sum(), 1)
+    a = np.bincount(cols, weights=toxic[rows], minlength=BUCKETS) + 0.5
+    b = np.bincount(cols, weights=1.0 - toxic[rows], minlength=BUCKETS) + 0.5
+    return (np.log(a / (n1 - a + 1)) - np.log(b / (n0 - b + 1))) / np.sqrt(1 / a + 1 / b)
+
+
 def graded(toxic: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Severity grades from a binary label: 0 for clean; toxic rows are split in thirds by how many telling words they hold.
 
-    Telling words are those whose share in toxic rows is raised beyond chance (log-odds over its deviation above 4).
+    Telling words are those whose share in toxic rows is raised beyond chance (log-odds over its deviation above SURE_Z).
     Tables with graded labels (0, 1, 2, 3) are used as they are.
     """
     if toxic.max(initial=0) > 1:
         return np.clip(toxic, 0, GRADES - 1)
-    n1, n0 = max(toxic.sum(), 1), max((toxic == 0).sum(), 1)
-    a = np.bincount(cols, weights=toxic[rows], minlength=BUCKETS) + 0.5
-    b = np.bincount(cols, weights=1.0 - toxic[rows], minlength=BUCKETS) + 0.5
-    z = (np.log(a / (n1 - a + 1)) - np.log(b / (n0 - b + 1))) / np.sqrt(1 / a + 1 / b)
-    hits = np.bincount(rows, weights=(z[cols] > 4).astype(float), minlength=len(toxic))
+    hits = np.bincount(rows, weights=(telling(toxic, rows, cols)[cols] > SURE_Z).astype(float), minlength=len(toxic))
     own = hits[toxic == 1]
     if not len(own):
         return toxic
@@ -103,7 +112,7 @@ def graded(toxic: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, seed: int = SEED) -> Model | None:
     """Fits to at most max_labelled labelled documents (those with the smallest hashes of their ids); None without both classes.
 
-    Words of fewer than LEAST_DF sampled documents are left out. The threshold on P(grade > 0) is the one with the best
+    Words of fewer than LEAST_DF sampled documents, and words that do not tell classes apart (ENTER_Z), are left out. The threshold on P(grade > 0) is the one with the best
     F1 on the held-out share. Only the sample's feature buckets come to the driver.
     """
     sample = labelled_sample(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")), "_id", ["_y"], max_labelled, seed)
@@ -128,6 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = np.repeat(np.arange(len(train)), [len(each[k]) for k in train])
     cols = np.concatenate([each[k] for k in train])
     often = np.bincount(cols, minlength=BUCKETS) >= min(LEAST_DF, max(1, len(train) // 50))
+    often &= np.abs(telling((y[train] > 0).astype(np.int64), rows, cols)) > ENTER_Z
     rows, cols = rows[often[cols]], cols[often[cols]]
     model = ordinal_fit(rows, cols, len(train), graded(y[train], rows, cols))
     test = np.flatnonzero(held) if held.any() else train
@@ -148,7 +158,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", prefix:
     @F.pandas_udf("struct<expected_severity:double,p_toxic:double,grade:int,toxic:boolean>")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         buckets = Buckets()
-        for text in texts:
+        for text in texts:  # one Arrow batch at a time
             if model is None:
                 yield pd.DataFrame({"expected_severity": np.zeros(len(text)), "p_toxic": 0.0, "grade": 0, "toxic": False})
                 continue
