@@ -209,6 +209,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                         yield flush()
         if held:
             yield flush()
+        encode.clear()  # the worker may serve other jobs next
 
     return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).mapInPandas(run, schema)
 
