@@ -20,7 +20,7 @@ NEIGHBOURS = 30
 #: Recall on the sample that the number of probed partitions must reach.
 TARGET_RECALL = 0.93
 #: Vectors of one block; a task compares one block of queries with one block of candidates.
-BLOCK = 4096
+BLOCK = 8192
 SEED = 9
 
 
