@@ -48,7 +48,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     hits = seeds.join(F.broadcast(index) if few else index, "_h")
     start = F.greatest(F.col("_d"), F.lit(0))
     window = F.array_join(F.slice("_w", start + 1, F.greatest(F.col("_n") - F.greatest(-F.col("_d"), F.lit(0)), F.lit(0))), " ")
-    laid = hits.withColumn("_d", F.col("_i") - F.col("_p")).groupBy("_id", "_t", "_item", "_n", "_d").agg(F.min(window).alias("_near"))
+    # The window is cut out first, so that what is sorted and grouped holds no whole texts.
+    near = hits.withColumn("_d", F.col("_i") - F.col("_p")).select("_id", "_t", "_item", "_n", "_d", window.alias("_near"))
+    laid = near.groupBy("_id", "_t", "_item", "_n", "_d").agg(F.min("_near").alias("_near"))
     own = F.slice("_its", F.greatest(-F.col("_d"), F.lit(0)) + 1, F.size("_its"))
     equal = F.zip_with(own, F.split("_near", " "), lambda a, b: F.coalesce((a == b).cast("int"), F.lit(-2)))
     # Kadane's best stretch: (running score, best). -2 marks places where one of the two texts has ended.
