@@ -46,6 +46,13 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique((h ^ (h >> np.uint64(29))).view(np.int64))
 
 
+def in_slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """Arrow batches in smaller ones, so that a worker holds the sets of few documents at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def class_key(own: np.ndarray) -> tuple[int, int]:
     """128 bits of the whole set, as two signed longs: documents with equal sets are one class."""
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), ">i8").tolist())
@@ -56,7 +63,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [shingles(t) for t in batch["_text"]]
             keys = [class_key(s) for s in sets]
             prefix = [s[: len(s) - (4 * len(s) + 4) // 5 + max(1, len(s) // EXTRA)] for s in sets]
@@ -70,7 +77,7 @@ def fragments(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges = np.array([(-(1 << 63)) + k * ((1 << 64) // FRAGMENTS) for k in range(1, FRAGMENTS)], dtype=np.int64)
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for text in batch["_text"]:
                 own = shingles(text)
