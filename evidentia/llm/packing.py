@@ -16,6 +16,8 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Tokens that are packed together at most (besides one document); a task holds no more than this.
 BLOCK_TOKENS = 512 * CAPACITY
+#: Chunks that a worker remembers from one task to the next.
+KEPT_CHUNKS = 200_000
 #: Separators that str.split takes for white space and the vocabulary's splitter does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Characters that are encoded together, besides one document.
@@ -56,6 +58,15 @@ class ChunkEncoder:
         self.at = Chunks()
         self.ids, self.starts, self.counts = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def trim(self, chunks: int = KEPT_CHUNKS) -> None:
+        """Keeps the chunks met first, which are the frequent ones."""
+        if self.at.known > chunks:
+            kept = Chunks()
+            kept.update((c, k) for c, k in self.at.items() if k < chunks)
+            kept.known = chunks
+            self.at, self.starts, self.counts = kept, self.starts[:chunks].copy(), self.counts[:chunks].copy()
+            self.ids = self.ids[: int((self.starts + self.counts).max(initial=0))].copy()
+
     def gather(self, which: np.ndarray) -> np.ndarray:
         counts = self.counts[which]
         ends = np.cumsum(counts)
@@ -209,7 +220,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                         yield flush()
         if held:
             yield flush()
-        encode.clear()  # the worker may serve other jobs next
+        encode.trim()  # the worker may serve other jobs next
 
     return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).mapInPandas(run, schema)
 

@@ -72,3 +72,12 @@ def test_costs_are_even():
 @pytest.mark.parametrize("text", [t for t in TEXTS if t])
 def test_chunks_equal_the_tokenizer(text):
     assert [x.tolist() for x in packing.ChunkEncoder(packing.VOCABULARY)([text, text])] == [reference(text)[:-1]] * 2
+
+
+def test_a_trimmed_cache_gives_the_same():
+    encode = packing.ChunkEncoder(packing.VOCABULARY)
+    texts = ["The quick brown. fox, jumps Over it. " + " ".join(f"w{k}x," for k in range(300)), "other Words here. w3x, W4X é"]
+    first = [x.tolist() for x in encode(texts)]
+    for n in (50, 7, 0):
+        encode.trim(n)
+        assert encode.at.known == n and [x.tolist() for x in encode(texts)] == first
