@@ -27,6 +27,8 @@ CELLS = 64
 EXTRA = 20
 #: Hubs of a candidate group that its members are compared with before components are known.
 HUBS = 2
+#: A component whose links are counted is cut into blocks of about so many classes and shingles; a task compares two blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 17
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -130,8 +132,74 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return at
 
 
-def links(docs: DataFrame, scratch: Scratch, sketch: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(links, roots): pairs (a, b, common) of linked classes that connect every component, and (node, root) of all linked classes.
+def overlap(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Common shingles of every set on the left with every set on the right."""
+    a, b = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    _, col = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    ca, cb = col[: len(a)], col[len(a) :]
+    na, nb = np.bincount(ca, minlength=len(col)), np.bincount(cb, minlength=len(col))
+    out = np.zeros((len(left), len(right)), np.int64)
+    # Shingles of many sets by matrix products, a few columns at a time; the others pair by pair.
+    dense = np.flatnonzero(na * nb * 16 >= len(left) * len(right))
+    for at in range(0, len(dense), 1024):
+        place = np.full(len(col), -1)
+        place[dense[at : at + 1024]] = np.arange(len(dense[at : at + 1024]))
+        x, y = (np.zeros((k, min(1024, len(dense) - at)), np.float32) for k in (len(left), len(right)))
+        x[a[place[ca] >= 0], place[ca][place[ca] >= 0]] = 1
+        y[b[place[cb] >= 0], place[cb][place[cb] >= 0]] = 1
+        out += np.rint(x @ y.T).astype(np.int64)
+    rest = (na > 0) & (nb > 0)
+    rest[dense] = False
+    a, ca = a[rest[ca]], ca[rest[ca]]
+    order = np.argsort(cb, kind="stable")
+    b, first = b[order], np.concatenate([[0], np.cumsum(nb)])
+    for at in range(0, len(a), 4096):
+        many = nb[ca[at : at + 4096]]
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        np.add.at(out, (np.repeat(a[at : at + 4096], many), b[np.repeat(first[ca[at : at + 4096]], many) + step]), 1)
+    return out
+
+
+def block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """(c, linked): documents that each class of two blocks links with in the other one (or its own, where they are one block)."""
+    i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+    rows = rows.drop_duplicates(["c", "fragment"]).sort_values(["c", "fragment"])
+    sides = [rows[rows["block"] == k] for k in (i, j)]
+    one = [side.drop_duplicates("c") for side in sides]
+    if not len(one[0]) or not len(one[1]):
+        return pd.DataFrame({"c": np.zeros(0, np.int64), "linked": np.zeros(0, np.int64)})
+    common = np.zeros((len(one[0]), len(one[1])), np.int64)
+    for k in range(FRAGMENTS):
+        common += overlap(*(list(side.loc[side["fragment"] == k, "part"]) for side in sides))
+    na, nb = one[0]["n"].to_numpy()[:, None], one[1]["n"].to_numpy()[None, :]
+    linked = 100 * common >= 80 * (na + nb - common)
+    if i == j:
+        np.fill_diagonal(linked, False)
+    out = [(one[0]["c"], linked @ one[1]["size"].to_numpy())] + ([(one[1]["c"], linked.T @ one[0]["size"].to_numpy())] if i != j else [])
+    return pd.DataFrame({"c": np.concatenate([c for c, _ in out]), "linked": np.concatenate([x for _, x in out])})
+
+
+def link_counts(roots: DataFrame, parts: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(c, linked): for each class of a component, the documents of all other classes that it links with.
+
+    Linked classes are in one component, so every pair of a component is compared, no pair of two. Components are cut
+    into blocks by a hash, as many as their counted classes and shingles ask for, and each two blocks are a task of their
+    own: overlaps per fragment, summed per pair. A component of two classes is one link.
+    """
+    own = roots.select(F.col("node").alias("c"), "root").join(sizes, "c")
+    cut = own.groupBy("root").agg(F.count("*").alias("classes"), F.sum("size").alias("all"), F.sum("n").alias("shingles"))
+    cut = cut.withColumn("blocks", F.greatest(F.ceil(F.col("classes") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
+    placed = scratch.keep(own.join(cut, "root").withColumn("block", F.expr("cast(pmod(xxhash64(c), blocks) as int)")), "placed")
+    two = placed.where("classes = 2").select("c", (F.col("all") - F.col("size")).alias("linked"))
+    more = placed.where("classes > 2").select("c", "root", "size", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = more.select("c", "root", "size", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(parts.select("c", "n", "fragment", "part"), "c")
+    found = dealt.groupBy("root", "i", "j").applyInPandas(block_links, "c long, linked long")
+    return two.union(found).groupBy("c").agg(F.sum("linked").alias("linked"))
+
+
+def links(docs: DataFrame, scratch: Scratch, sketch: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, roots, parts): pairs (a, b, common) of linked classes that connect every component, (node, root) of all linked
+    classes, and the fragments of all classes that may link. Not all links: ``link_counts`` compares the pairs left out.
 
     Pairs whose classes are already connected are not compared, so a group of near copies costs its size times a few
     hubs. No pair that could connect two components is left out:
@@ -186,28 +254,37 @@ def links(docs: DataFrame, scratch: Scratch, sketch: DataFrame, id_col: str, tex
     last = scratch.keep(verified(more, parts), "last")
     found = near.union(last)
     roots = scratch.keep(components(found, scratch, "all"), "all-roots")
-    scratch.drop("parts", "groups", "split", "first", "hub-roots")
-    return found, roots
+    scratch.drop("groups", "split", "first", "hub-roots")
+    return found, roots, parts
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, with_links: bool = False) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (the smallest id reachable by links, its own included).
 
+    with_links adds n_links, the other rows whose sets have a Jaccard similarity of 0.8 at least, copies included.
     Documents with the same set are one class (128-bit keys; candidates carry 64 of them). Texts with fewer than five
     words are one shingle; without words or text a document is empty, linked with nothing. Repeated rows each get a row;
-    rows with a null id take the component of their class, or null; other columns are ignored; an empty table gives no rows.
+    rows with a null id take the component of their class, or null (then only their copies count as links); other
+    columns are ignored; an empty table gives no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession, "ngrams")
     sketch = scratch.keep(sketches(docs, id_col, text_col), "sketch")
     rows = scratch.keep(sketch.select("_id", "hi", "lo", "n"), "keys")
-    _, roots = links(docs, scratch, sketch, id_col, text_col)
-    classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("_id").alias("low")).join(roots.select(F.col("node").alias("lo"), "root"), "lo", "left").withColumn("root", F.coalesce("root", "lo"))
+    _, roots, parts = links(docs, scratch, sketch, id_col, text_col)
+    classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("_id").alias("low"), F.count("*").alias("size")).join(roots.select(F.col("node").alias("lo"), "root"), "lo", "left").withColumn("root", F.coalesce("root", "lo"))
+    n_links = F.lit(None).cast("long")
+    if with_links:
+        sizes = rows.where("n > 0").groupBy(F.col("lo").alias("c")).agg(F.count("*").alias("size"), F.max("n").alias("n"))
+        counts = scratch.keep(link_counts(roots, parts, sizes, scratch), "counts")
+        classes = classes.join(counts.select(F.col("c").alias("lo"), "linked"), "lo", "left")
+        n_links = F.col("size") - 1 + F.coalesce("linked", F.lit(0))
+    scratch.drop("parts", "placed")
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classes.join(lows, "root").select("hi", "lo", "component_id")
-    alone = rows.where("n = 0").select("_id", "n", F.col("_id").alias("component_id"))
-    out = scratch.keep(rows.where("n > 0").join(named, ["hi", "lo"]).select("_id", "n", "component_id").union(alone), "out")
-    scratch.drop("keys", "near", "last", "all-roots")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    named = classes.join(lows, "root").select("hi", "lo", "component_id", n_links.alias("n_links"))
+    alone = rows.where("n = 0").select("_id", "n", F.col("_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    out = scratch.keep(rows.where("n > 0").join(named, ["hi", "lo"]).select("_id", "n", "component_id", "n_links").union(alone), "out")
+    scratch.drop("keys", "near", "last", "all-roots", "counts")
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *(["n_links"] if with_links else []))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

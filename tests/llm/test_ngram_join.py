@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from evidentia.llm import ngram_join
@@ -82,3 +83,24 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101), (100, 102)], "a long, b long")
     got = dict(tuple(r) for r in ngram_join.components(edges, Scratch(spark, "t"), "c").collect())
     assert got == {k: 0 for k in range(51)} | {100: 100, 101: 100, 102: 100}
+
+
+@pytest.mark.parametrize("block", [512, 5])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = corpus(3)
+    rows += [(5000 + k, t) for k, (_, t) in enumerate(rows[:40])]
+    sets = [shingle_set(t) for _, t in rows]
+    near = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = {doc: sum(near(sets[k], s) for s in sets) - bool(sets[k]) for k, (doc, _) in enumerate(rows)}
+    df = spark.createDataFrame([(k, t, 0, "x") for k, t in rows], DOCS)
+    got = ngram_join.near_duplicates(df, with_links=True).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and len(got) == len(rows) and max(want.values()) > 5
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_force(rows)
+
+
+def test_overlap():
+    r = random.Random(4)
+    sets = [np.unique(np.array([r.randrange(v) for _ in range(r.randint(0, 60))], dtype=np.int64)) for v in (50, 400, 3000) for _ in range(20)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[10:]] for a in sets[:45]]
+    assert ngram_join.overlap(sets[:45], sets[10:]).tolist() == want
