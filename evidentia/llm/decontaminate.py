@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed masks over token positions: 1 is hashed, 0 is ignored. Every third or every fourth token may differ and a mask still fits.
+#: Fixed masks over token positions: 1 is hashed, 0 is ignored. Every fourth token (or fewer) may differ and one of MASKS still
+#: fits; where every third one does, it is the one of THIRDS, which the SQL twin does not have.
 MASKS = ["110111", "1101011", "10110011"]
+THIRDS = ["11011011"]
 #: An overlap scores 1 for each equal token and -1 for each substituted one; it counts from this score (or the item's tokens, if fewer).
 LEAST_SCORE = 10
+#: An overlap also counts if all but one in so many of the item's tokens are equal. That is less than LEAST_SCORE asks for up to
+#: PLAIN_BELOW tokens; such items are also looked for by plain seeds: one piece more than tokens may differ, so one is whole.
+EACH, PLAIN_BELOW = 6, 14
 #: A seed index is broadcast up to so many seeds (two numbers and a hash each); beyond that the join shuffles.
 BROADCAST_SEEDS = 300_000
 
@@ -20,13 +25,29 @@ def tokens(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " ")), " ")
 
 
-def seed_hashes(words: Column, at: Column) -> Column:
+def seed_hashes(words: Column, at: Column) -> list[Column]:
     """One hash for each mask laid at a position. Positions past the end add nothing; verification sorts those out."""
-    return F.array(*(F.xxhash64(F.lit(k), *(F.get(words, at + j) for j, c in enumerate(mask) if c == "1")) for k, mask in enumerate(MASKS)))
+    return [F.xxhash64(F.lit(k), *(F.get(words, at + j) for j, c in enumerate(mask) if c == "1")) for k, mask in enumerate(MASKS + THIRDS)]
 
 
-def positions(words: Column) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.size(words) - len(MASKS[0]), F.lit(0)))
+def plain_hash(words: Column, at: Column, length: int) -> Column:
+    """The hash of so many tokens in a row."""
+    return F.xxhash64(F.lit(-length), *(F.get(words, at + j) for j in range(length)))
+
+
+def positions(words: Column, least: int = len(MASKS[0])) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.size(words) - least, F.lit(0)))
+
+
+def plain_seeds(items: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Rows (_item, _n, _p, _h) for the pieces of items (_item, _its) of fewer than PLAIN_BELOW tokens, and the lengths that occur."""
+    size = lambda n: n // (n // EACH + 1)
+    short = items.where(F.size("_its") < PLAIN_BELOW).select("_item", "_its", F.size("_its").alias("_n"))
+    lengths = sorted({size(r[0]) for r in short.select("_n").distinct().collect()})
+    length = F.expr(f"cast(_n div (_n div {EACH} + 1) as int)")
+    pieces = short.select("_item", "_its", "_n", length.alias("_l"), F.explode(F.expr(f"transform(sequence(0, cast(_n div {EACH} as int)), k -> cast(k * (_n div (_n div {EACH} + 1)) as int))")).alias("_p"))
+    chosen = F.coalesce(*(F.when(F.col("_l") == k, plain_hash(F.col("_its"), F.col("_p"), k)) for k in lengths), F.lit(None).cast("long"))
+    return pieces.select("_item", "_n", "_p", chosen.alias("_h")), lengths
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_score: int = LEAST_SCORE) -> DataFrame:
@@ -35,16 +56,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     Seeds at every position of every whole text are probed against the benchmark's seeds; hits become
     (document, item, diagonal), pre-aggregated where they arise with the window of tokens around them; there the best
     stretch of equal and substituted tokens is scored. The best diagonal of each pair is returned, if its score
-    suffices. Null and empty texts overlap with nothing; items of fewer tokens than the shortest mask are not looked
-    for; repeated rows give one result; null ids are kept as null; other columns are ignored; empty tables give no rows.
+    suffices or, for a short item, enough of its tokens are equal (all of them below EACH). Null and empty texts overlap
+    with nothing; repeated rows give one result; null ids are kept as null; other columns are ignored; empty tables give no rows.
     """
-    items = benchmark.select(F.col(item_col).alias("_item"), tokens(F.col(item_text_col)).alias("_its")).where(F.size("_its") >= len(MASKS[0])).dropDuplicates(["_item", "_its"])
-    spread = items.select("_item", "_its", F.explode_outer(positions(F.col("_its"))).alias("_p"))
-    index = spread.select("_item", F.size("_its").alias("_n"), "_p", F.explode(seed_hashes(F.col("_its"), F.col("_p"))).alias("_h")).distinct()
+    items = benchmark.select(F.col(item_col).alias("_item"), tokens(F.col(item_text_col)).alias("_its")).where(F.get("_its", F.lit(0)) != "").dropDuplicates(["_item", "_its"])
+    spread = items.where(F.size("_its") >= len(MASKS[0])).select("_item", "_its", F.explode_outer(positions(F.col("_its"))).alias("_p"))
+    index = spread.select("_item", F.size("_its").alias("_n"), "_p", F.explode(F.array(*seed_hashes(F.col("_its"), F.col("_p")))).alias("_h"))
+    plain, lengths = plain_seeds(items)
+    index = index.union(plain).distinct()
     few = index.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     # explode_outer: a plain explode would make the optimizer test the array first and so split every text twice.
     split = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), tokens(F.col(text_col)).alias("_w"))
-    seeds = split.select("*", F.explode_outer(positions(F.col("_w"))).alias("_i")).select("*", F.explode(seed_hashes(F.col("_w"), F.col("_i"))).alias("_h"))
+    at = split.select("*", F.explode_outer(positions(F.col("_w"), min([len(MASKS[0]), *lengths]))).alias("_i"))
+    hashes = F.array(*seed_hashes(F.col("_w"), F.col("_i")), *(plain_hash(F.col("_w"), F.col("_i"), k) for k in lengths))
+    seeds = at.select("*", F.explode(hashes).alias("_h"))
     hits = seeds.join(F.broadcast(index) if few else index, "_h")
     start = F.greatest(F.col("_d"), F.lit(0))
     window = F.array_join(F.slice("_w", start + 1, F.greatest(F.col("_n") - F.greatest(-F.col("_d"), F.lit(0)), F.lit(0))), " ")
@@ -53,11 +78,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     laid = near.groupBy("_id", "_t", "_item", "_n", "_d").agg(F.min("_near").alias("_near"))
     own = F.slice("_its", F.greatest(-F.col("_d"), F.lit(0)) + 1, F.size("_its"))
     equal = F.zip_with(own, F.split("_near", " "), lambda a, b: F.coalesce((a == b).cast("int"), F.lit(-2)))
-    # Kadane's best stretch: (running score, best). -2 marks places where one of the two texts has ended.
-    best = F.aggregate(equal, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), lambda s, e: F.struct(F.greatest(s["now"] + F.when(e == 1, 1).when(e == 0, -1).otherwise(0), F.lit(0)).alias("now"), F.greatest(s["best"], s["now"] + F.when(e == 1, 1).otherwise(0)).alias("best")))["best"]
+    # Kadane's best stretch: (running score, best), and all equal tokens. -2 marks places where one of the two texts has ended.
+    start_at = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("same"))
+    sums = F.aggregate(equal, start_at, lambda s, e: F.struct(F.greatest(s["now"] + F.when(e == 1, 1).when(e == 0, -1).otherwise(0), F.lit(0)).alias("now"), F.greatest(s["best"], s["now"] + F.when(e == 1, 1).otherwise(0)).alias("best"), (s["same"] + F.when(e == 1, 1).otherwise(0)).alias("same")))
     texts = items.select("_item", F.size("_its").alias("_n"), "_its")
-    scored = laid.join(F.broadcast(texts) if few else texts, ["_item", "_n"]).select("_id", "_item", "_n", "_d", best.alias("_score"))
-    kept = scored.where(F.col("_score") >= F.least(F.lit(least_score), F.col("_n")))
+    scored = laid.join(F.broadcast(texts) if few else texts, ["_item", "_n"]).select("_id", "_item", "_n", "_d", sums.alias("_s")).select("_id", "_item", "_n", "_d", F.col("_s.best").alias("_score"), F.col("_s.same").alias("_same"))
+    kept = scored.where((F.col("_score") >= F.least(F.lit(least_score), F.col("_n"))) | ((F.col("_n") < PLAIN_BELOW) & (F.col("_same") >= F.col("_n") - F.floor(F.col("_n") / EACH))))
     top = kept.groupBy("_id", "_item", "_n").agg(F.max(F.struct("_score", (-F.col("_d")).alias("_d"))).alias("_m"))
     return top.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), F.col("_m._score").cast("long").alias("score"), F.col("_n").cast("long").alias("item_tokens"), (-F.col("_m._d")).cast("long").alias("offset"))
 

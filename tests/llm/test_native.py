@@ -57,3 +57,34 @@ def test_shuffled_index_gives_the_same(spark, monkeypatch):
     want = decontaminate.overlaps(docs, bench).collect()
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 1)
     assert decontaminate.overlaps(docs, bench).collect() == want and want[0].score == 20
+
+
+def seedless(doc, item):
+    """Whether some diagonal of the two token lists passes verification."""
+    n = len(item)
+    for d in range(-n, len(doc)):
+        now = best = same = 0
+        for k in range(max(0, -d), min(n, len(doc) - d)):
+            equal = item[k] == doc[k + d]
+            now, same = max(0, now + (1 if equal else -1)), same + equal
+            best = max(best, now)
+        if best >= min(decontaminate.LEAST_SCORE, n) or n < decontaminate.PLAIN_BELOW and same >= n - n // decontaminate.EACH:
+            return True
+    return False
+
+
+def test_all_that_verification_accepts_is_found(spark):
+    r = random.Random(5)
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in [*range(1, 15), 60]}
+    filler = lambda: [f"f{r.randrange(3000)}" for _ in range(r.randint(0, 9))]
+    docs = []
+    for period in range(2, 13):
+        docs += [[w if k % period != phase else "zzz" for k, w in enumerate(items[60])] for phase in range(period)]
+    for n in range(1, 15):
+        docs += [items[n]] + [[w if k not in (a, b) else "zzz" for k, w in enumerate(items[n])] for a in range(n) for b in range(a, n)]
+    docs = [filler() + d + filler() for d in docs] + [[]]
+    want = {(k, n) for k, d in enumerate(docs) for n, item in items.items() if seedless(d, item)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] + [(0, ""), (-1, None)], "item_id long, text string")
+    out = decontaminate.overlaps(spark.createDataFrame([(k, " ".join(d), "", 1) for k, d in enumerate(docs)], DOCS), bench)
+    assert {(x.doc_id, x.item_id) for x in out.collect()} == want
+    assert {(k, 60) for k in range(2, 5)} <= want
