@@ -28,7 +28,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Candidate spans of the method: patterns that alone prove nothing.
 CANDIDATES = {
-    "secret": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_=-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])"),
     "contact": re.compile(r"(?<![A-Za-z0-9._%+@-])(?:[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9.-]{1,64} ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z]{2,12}|\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4})(?![A-Za-z0-9@-])"),
 }
 #: Words that the gazetteer labeler looks for just before a span, and words around it that speak of contact or access.

@@ -58,3 +58,21 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert got[0] == 'plain words here and token = "<secret>" mail <email> end'
     assert got[99] is None and got[100] == "nothing at all" and got[200] == rows[-1][1]
     assert not re.search("[0-9]{8}", got[5])
+
+
+FORMS = {"token=%s": "0123456789abcdef0123456789abcdef01234567", "API_KEY=%s": "QWxhZGRpbjpvcGVuIHNlc2FtZTEyMzQ1Njc4OQ==", 'secret = "%s"': "aB3dE6gH9k" * 30, "export AWS_SECRET_ACCESS_KEY_1=%s": "wJa1rXUtn2FEMI7K3MDENG9bPx4RfiCYEX5AMPL8"}
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_usual_forms_of_keys_are_candidates(form):
+    text = f"see {form % FORMS[form]} there"
+    assert FORMS[form] in [text[a:b] for kind, a, b, _ in pii.candidates(text, pii.base_spans(text)) if kind == "secret"]
+
+
+def test_usual_forms_of_keys_are_redacted(spark):
+    rows = [(10 * k + j, f"words before {form % key} words after", "b", 1) for k in range(20) for j, (form, key) in enumerate(FORMS.items())]
+    rows += [(1000 + k, "justaverylongwordwithoutanydigits here", "", 0) for k in range(80)]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, DOCS)).collect()}
+    for j, form in enumerate(FORMS):
+        assert got[j] == f"words before {form % '<secret>'} words after"
+    assert got[1000] == rows[-1][1]
