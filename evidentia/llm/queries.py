@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark), licenses.published_digests(spark))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
