@@ -2,12 +2,19 @@
 
 Base spans (email, ip, card, phone) follow fixed patterns and always stay. The method adds spans of other kinds
 (``secret``: keys and tokens; ``contact``: addresses and numbers in spelled-out or local forms).
+
+Labelers vote for, against or not at all. How far each is to be trusted is estimated by expectation-maximisation from how
+they agree over the whole corpus. The labels that follow train the final classifier, which does not see the votes: it reads
+the span itself (length, entropy, classes of characters) and what stands around it, so it also decides where labelers abstain.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,19 +94,41 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, int, int, in
     return regex, named, context, 2 if sum(c.isdigit() for c in span) == 10 or regex else 1
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
-    """Candidate spans outside base spans, with their votes as a string of digits."""
-    taken = sorted((a, b) for _, a, b in base)
-    starts = np.array([a for a, _ in taken]) if taken else None
-    out = []
+#: Features of a span for the final classifier and how many values each has; together they bound what is counted.
+FEATURES = {"length": 6, "entropy": 5, "digits": 5, "upper": 3, "signs": 3, "runs": 3, "before": 4, "after": 2, "line": 2}
+WORD_BEFORE = re.compile(r"[A-Za-z][A-Za-z0-9_-]*(?=[\s\"'=:>(]*$)")
+
+
+def shape(text: str, start: int, end: int) -> tuple[int, ...]:
+    """The values of FEATURES for a span."""
+    span, before = text[start:end], text[max(0, start - NEAR) : start]
+    n = end - start
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(span).values())
+    digits, upper, signs = (sum(map(f, span)) / n for f in (str.isdigit, str.isupper, lambda c: not c.isalnum()))
+    runs = sum(x.isalpha() and x.isascii() and (x.islower() or x.isupper() or x.istitle()) for x in re.split(r"[^A-Za-z]+", span) if len(x) > 3)
+    named = WORD_BEFORE.search(before)
+    assigned = 2 if before.rstrip(" \"'")[-1:] in ("=", ":") else 1 if before[-1:] in ("\"", "'") else 0
+    return (
+        min(5, int(math.log2(n / 8) * 2) if n > 8 else 0), min(4, int(entropy)), min(4, int(digits * 8)), 0 if upper < 0.05 else 1 if upper < 0.8 else 2, 0 if not signs else 1 if signs < 0.15 else 2, min(2, runs),
+        min(3, assigned + (any(x in named[0].lower() for x in GAZETTEER) if named else 0)), int(text[end : end + 1] in ("\"", "'")), int("\n" not in before and start - NEAR > 0),
+    )
+
+
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str, str]]:
+    """(kind, start, end, votes, shape) of candidate spans outside base spans; votes and shape are strings of digits."""
+    edges: list[list[int]] = []  # base spans as disjoint intervals
+    for a, b in sorted((a, b) for _, a, b in base):
+        if edges and a <= edges[-1][1]:
+            edges[-1][1] = max(edges[-1][1], b)
+        else:
+            edges.append([a, b])
+    starts, out = [a for a, _ in edges], []
     for kind, pattern in CANDIDATES.items():
         for m in pattern.finditer(text):
             a, b = m.span()
-            if starts is not None:
-                k = int(np.searchsorted(starts, b)) - 1
-                if k >= 0 and max(y for _, y in taken[: k + 1][-3:]) > a:
-                    continue
-            out.append((kind, a, b, "".join(map(str, votes(kind, text, a, b)))))
+            k = bisect_left(starts, b) - 1
+            if k < 0 or edges[k][1] <= a:
+                out.append((kind, a, b, "".join(map(str, votes(kind, text, a, b))), "".join(map(str, shape(text, a, b)))))
     return out
 
 
@@ -127,34 +156,45 @@ def reliabilities(patterns: list[tuple[str, str, int]], rounds: int = ROUNDS, pr
     return out
 
 
-def fit(patterns: list[tuple[str, str, int]], steps: int = 300) -> dict[tuple[str, str], float]:
-    """The final span classifier: logistic regression on kind and votes, fitted to EM's probabilities, as a table of its outputs."""
-    if not patterns:
-        return {}
-    target = reliabilities(patterns)
-    keys = sorted(target)
-    count = {(k, v): n for k, v, n in patterns}
-    x = np.array([[1.0, *(k == a for a in ADDED), *(float(c == w) for c in v for w in "12")] for k, v in keys])
-    y, w = np.array([target[k] for k in keys]), np.array([count[k] for k in keys], dtype=float)
-    w /= w.sum()
-    beta = np.zeros(x.shape[1])
-    for _ in range(steps):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-x @ beta))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(beta)), x.T @ (w * (y - p)) - 1e-4 * beta)
-        beta += step
-        if np.abs(step).max() < 1e-9:
-            break
-    return dict(zip(keys, (1 / (1 + np.exp(-x @ beta))).tolist(), strict=True))
+def fit(patterns: list[tuple[str, str, str, int]], steps: int = 100, l2: float = 1e-3) -> dict[tuple[str, str], float]:
+    """The final span classifier as a table of its outputs: P(personal) for each (kind, shape).
+
+    patterns are (kind, votes, shape, count) over the corpus. EM on the votes gives each pattern its label; logistic
+    regression on the shape's values, one for each kind, learns the labels with the counts as weights.
+    """
+    out: dict[tuple[str, str], float] = {}
+    for kind in sorted({k for k, *_ in patterns}):
+        own = [(v, s, n) for k, v, s, n in patterns if k == kind]
+        by_votes: Counter[str] = Counter()
+        for v, _, n in own:
+            by_votes[v] += n
+        label = reliabilities([(kind, v, n) for v, n in by_votes.items()])
+        shapes = sorted({s for _, s, _ in own})
+        at = {s: k for k, s in enumerate(shapes)}
+        x = np.concatenate([np.ones((len(shapes), 1)), *(np.array([[float(s[j] == str(c)) for c in range(width)] for s in shapes]) for j, width in enumerate(FEATURES.values()))], axis=1)
+        good, n = np.zeros(len(shapes)), np.zeros(len(shapes))
+        for v, s, c in own:
+            good[at[s]] += c * label[kind, v]
+            n[at[s]] += c
+        y, w, beta = good / n, n / n.sum(), np.zeros(x.shape[1])
+        for _ in range(steps):  # Newton steps with a small ridge
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            step = np.linalg.solve((x * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + l2 * np.eye(len(beta)), x.T @ (w * (y - p)) - l2 * beta)
+            beta += np.clip(step, -4, 4)
+            if np.abs(step).max() < 1e-8:
+                break
+        out |= {(kind, s): float(v) for s, v in zip(shapes, 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))), strict=True)}
+    return out
 
 
 SPAN = "struct<kind:string,start:int,end:int>"
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, scratch: Scratch | None = None) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Per row of docs: its id, base (array of base spans) and added (array of the method's spans with probabilities).
 
     One pass over the texts writes base and candidate spans (never texts) to the shared folder; the counts of vote
-    patterns over all documents (at most 3^4 for each kind, whatever the corpus) go to the driver, where EM and the
+    and shape patterns over all documents (bounded by the number of values each can have, whatever the corpus) go to the driver, where EM and the
     classifier are fitted; a second pass over the spans alone applies the result. Null text counts as empty; repeated
     rows and null ids are kept; other columns are ignored; an empty table gives no rows.
     """
@@ -167,23 +207,23 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_t
             for text in batch["_text"]:
                 own = base_spans(text)
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
-                found.append([{"kind": k, "start": a, "end": b, "votes": v} for k, a, b, v in candidates(text, own)])
+                found.append([{"kind": k, "start": a, "end": b, "votes": v, "shape": s} for k, a, b, v, s in candidates(text, own)])
             yield pd.DataFrame({"_id": batch["_id"], "base": base, "found": found})
 
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    spans = scratch.keep(texts.mapInPandas(run, f"_id {kind}, base array<{SPAN}>, found array<struct<kind:string,start:int,end:int,votes:string>>"), "spans")
-    patterns = spans.select(F.explode("found").alias("f")).groupBy("f.kind", "f.votes").count().collect()
+    spans = scratch.keep(texts.mapInPandas(run, f"_id {kind}, base array<{SPAN}>, found array<struct<kind:string,start:int,end:int,votes:string,shape:string>>"), "spans")
+    patterns = spans.select(F.explode("found").alias("f")).groupBy("f.kind", "f.votes", "f.shape").count().collect()
     model = fit([tuple(r) for r in patterns])
     return spans.select(F.col("_id").alias(id_col), "base", decide(F.col("found"), model).alias("added"))
 
 
 def decide(found: Column, model: dict[tuple[str, str], float]) -> Column:
-    """The candidates whose pattern the model takes for personal, with p."""
-    good = {f"{k}:{v}": p for (k, v), p in model.items() if p >= KEEP_FROM}
+    """The candidates whose shape the model takes for personal, with p."""
+    good = {f"{k}:{s}": p for (k, s), p in model.items() if p >= KEEP_FROM}
     if not good:
         return F.expr("cast(array() as array<struct<kind:string,start:int,end:int,p:double>>)")
     table = F.create_map(*(F.lit(x) for pair in sorted(good.items()) for x in pair))
-    p = lambda f: F.try_element_at(table, F.concat_ws(":", f["kind"], f["votes"]))
+    p = lambda f: F.try_element_at(table, F.concat_ws(":", f["kind"], f["shape"]))
     return F.transform(F.filter(found, lambda f: p(f).isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end"), p(f).alias("p")))
 
 
@@ -211,11 +251,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     def candidates_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(k, v) for text in batch["_text"] for k, _, _, v in candidates(text, base_spans(text))]
-            yield pd.DataFrame(found, columns=["kind", "votes"])
+            found = Counter((k, v, s) for text in batch["_text"] for k, _, _, v, s in candidates(text, base_spans(text)))
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["kind", "votes", "shape", "n"])
 
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_text"))
-    patterns = texts.mapInPandas(candidates_only, "kind string, votes string").groupBy("kind", "votes").count().collect()
+    patterns = texts.mapInPandas(candidates_only, "kind string, votes string, shape string, n long").groupBy("kind", "votes", "shape").agg(F.sum("n").alias("n")).collect()
     model = fit([tuple(r) for r in patterns])
     good = {k for k, p in model.items() if p >= KEEP_FROM}
 
@@ -223,7 +263,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         if not text:
             return text
         base = base_spans(text)
-        spans = base + [(k, a, b) for k, a, b, v in candidates(text, base) if (k, v) in good]
+        spans = base + [(k, a, b) for k, a, b, _, s in candidates(text, base) if (k, s) in good]
         if not spans:
             return text
         out, at = [], 0

@@ -62,14 +62,14 @@ def test_run_equals_the_plain_version(spark):
     common = {w for x in items for w in x}
     # Only documents that share many words with the items can reach the score; the rest is skipped for speed alone.
     clean = {k: t for k, t in clean.items() if sum(w in common for w in words(t)) < decontaminate.LEAST_SCORE or not contaminated(t, items)}
-    found = Counter((kind, v) for t in clean.values() for kind, _, _, v in pii.candidates(t, pii.base_spans(t)))
+    found = Counter((kind, v, s) for t in clean.values() for kind, _, _, v, s in pii.candidates(t, pii.base_spans(t)))
     good = {k for k, p in pii.fit([(*k, n) for k, n in found.items()]).items() if p >= pii.KEEP_FROM}
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     want = {}
     for k, t in clean.items():
         base = pii.base_spans(t)
         out, at = "", 0
-        for kind, a, b in sorted(base + [(kind, a, b) for kind, a, b, v in pii.candidates(t, base) if (kind, v) in good], key=lambda s: (s[1], -s[2])):
+        for kind, a, b in sorted(base + [(kind, a, b) for kind, a, b, _, shape in pii.candidates(t, base) if (kind, shape) in good], key=lambda s: (s[1], -s[2])):
             if a >= at:
                 out, at = out + t[at:a] + f"<{kind}>", b
         want[k] = np.array([*tokenizer.encode(out + t[at:], add_special_tokens=False).ids, 2], "<u4")
