@@ -53,8 +53,8 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return urls.filter_urls(table(spark, sf_dir, "pages"), labels)
+    # The tables label documents, not pages: the rules' verdicts are the labels.
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Query]:

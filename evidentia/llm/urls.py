@@ -11,16 +11,19 @@ from evidentia.llm.common import Scratch
 #: The rules of the query's contract, (verdict, host, path prefix).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
-#: Segments of a path that get a level of the tree each; what lies deeper is one last segment.
-LEVELS = 4
-#: A branch point with more distinct segments than this, whose segments have fewer pages each than MEAN_PAGES, is variable.
-MOST_CHILDREN, MEAN_PAGES = 8, 20
-#: Two-sided 95 % of the normal distribution: branches that differ from their siblings by less are merged.
-SIMILAR_Z = 1.96
-#: Smoothing: a template counts its parent's rate as so many labelled pages; it is rejected from this smoothed share of bad pages.
+#: A branch point with more distinct segments than MOST_CHILDREN, of which at least a share of LIGHT_SHARE have less than
+#: 1/LIGHT_PART of its pages each, is variable: its segments become a wildcard.
+MOST_CHILDREN, LIGHT_PART, LIGHT_SHARE = 8, 50, 0.9
+#: Branches are merged unless their shares of bad pages differ beyond the 95 % of a two-sided normal test, or the shares of pages
+#: that end at them beyond Hoeffding's bound at that level.
+SIMILAR_Z, SIMILAR_ALPHA = 1.96, 0.05
+#: Smoothing: a template counts its host's rate as so many labelled pages, a host that of all pages; a template with labelled
+#: pages is rejected from this smoothed share of bad ones.
 PRIOR_PAGES, REJECT_FROM = 4.0, 0.5
 
 WILD = "*"
+#: A merged branch is named by its leader and this sign, which no path segment can hold (shown as "leader|...").
+MERGED = "/+"
 
 
 def host_of(url: Column) -> Column:
@@ -53,63 +56,107 @@ def with_rule(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 
 def segments(path: Column) -> Column:
-    """Path segments with plainly variable ones (numbers, hex, dates, long mixed ids) as wildcards that keep their suffix."""
+    """Path segments, plainly variable ones (numbers, hex, dates, long mixed ids) as wildcards that keep their suffix."""
     cut = F.filter(F.split(path, "/"), lambda s: s != "")
-    deep = F.when(F.size(cut) > LEVELS, F.concat(F.slice(cut, 1, LEVELS - 1), F.array(F.array_join(F.slice(cut, LEVELS, 1 << 20), "/")))).otherwise(cut)
     number = r"^(?:[0-9]+|[0-9a-fA-F]{8,}|[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?|(?=[^/]*[0-9])[A-Za-z0-9_-]{16,})(\.[A-Za-z]{1,5})?$"
-    return F.transform(deep, lambda s: F.when(s.rlike(number), F.concat(F.lit(WILD), F.regexp_extract(s, number, 1))).otherwise(s))
+    return F.transform(cut, lambda s: F.when(s.rlike(number), F.concat(F.lit(WILD), F.regexp_extract(s, number, 1))).otherwise(s))
+
+
+def nodes(tree: DataFrame) -> DataFrame:
+    """(host, raw, level, head, seg, ...): a row for each segment of each path; head is the hash of what precedes it."""
+    heads = F.aggregate("segs", F.array(F.lit(0).cast("long")), lambda acc, s: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), s))))
+    each = tree.withColumn("heads", heads).select("*", F.posexplode("segs").alias("level", "seg"))
+    return each.select("host", "raw", "n", "labelled", "bad", "level", F.get("heads", F.col("level")).alias("head"), "seg", (F.size("segs") == F.col("level") + 1).alias("ends"))
+
+
+def branches(tree: DataFrame) -> DataFrame:
+    """(host, head, seg, n, labelled, bad, ended): counts of every branch of every host's tree, pre-aggregated."""
+    return nodes(tree).groupBy("host", "head", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.sum(F.when(F.col("ends"), F.col("n")).otherwise(0)).alias("ended"))
+
+
+def rewritten(tree: DataFrame, change: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """tree with the first segment of each path that change (host, head, seg, new) names replaced; column changed says where."""
+    hits = nodes(tree).join(change, ["host", "head", "seg"]).groupBy("host", "raw").agg(F.min(F.struct("level", "new")).alias("hit"))
+    joined = tree.join(hits, ["host", "raw"], "left")
+    at = F.col("hit.level")
+    segs = F.when(at.isNotNull(), F.transform("segs", lambda s, k: F.when(k == at, F.col("hit.new")).otherwise(s))).otherwise(F.col("segs"))
+    return scratch.keep(joined.select("host", "raw", "n", "labelled", "bad", segs.alias("segs"), at.isNotNull().alias("changed")), name)
+
+
+def variable(tree: DataFrame) -> DataFrame:
+    """(host, head, seg, new): all segments of variable branch points (one that is a wildcard already waits for the others)."""
+    own = branches(tree)
+    total = own.groupBy("host", "head").agg(F.sum("n").alias("pages"))
+    light = own.join(total, ["host", "head"]).groupBy("host", "head").agg(F.count("*").alias("kids"), F.sum((F.col("n") * LIGHT_PART <= F.col("pages")).cast("int")).alias("light"), F.max("pages").alias("pages"))
+    # Few pages cannot show small shares; there, most segments must have a single page.
+    single = own.groupBy("host", "head").agg(F.sum((F.col("n") == 1).cast("int")).alias("single"))
+    wide = light.join(single, ["host", "head"]).where((F.col("kids") > MOST_CHILDREN) & (F.greatest("light", "single") >= LIGHT_SHARE * F.col("kids")))
+    return own.join(wide.select("host", "head"), ["host", "head"]).select("host", "head", "seg", F.lit(WILD).alias("new"))
+
+
+def similar(tree: DataFrame) -> DataFrame:
+    """(host, head, seg, new): branches to be merged with a leader among their siblings, and the leaders themselves.
+
+    Siblings fall into three sides: most labelled pages bad, most good, none labelled. The side's leader is its branch
+    with the most pages (ties: the smallest name). Others join it unless they differ from it beyond chance in their share
+    of bad pages or in the share of pages that end at them. A branch point merges once.
+    """
+    own = branches(tree)
+    done = own.groupBy("host", "head").agg(F.max(F.endswith("seg", F.lit(MERGED))).alias("done")).where("not done").select("host", "head")
+    own = own.join(done, ["host", "head"]).withColumn("side", F.when(F.col("labelled") == 0, 2).when(2 * F.col("bad") >= F.col("labelled"), 1).otherwise(0))
+    lead = own.groupBy("host", "head", "side").agg(F.max_by(F.struct("seg", "n", "labelled", "bad", "ended"), F.struct("n", F.col("seg"))).alias("l"), F.count("*").alias("kids")).where("kids > 1")
+    pair = own.join(lead, ["host", "head", "side"]).where(F.col("seg") != F.col("l.seg"))
+    one = F.lit(1)
+    rate = (F.col("bad") + F.col("l.bad")) / F.greatest(F.col("labelled") + F.col("l.labelled"), one)
+    deviation = F.sqrt(rate * (1 - rate) * (1 / F.greatest("labelled", one) + 1 / F.greatest(F.col("l.labelled"), one)))
+    apart = F.abs(F.col("bad") / F.greatest("labelled", one) - F.col("l.bad") / F.greatest(F.col("l.labelled"), one)) > SIMILAR_Z * deviation
+    bound = (1 / F.sqrt("n") + 1 / F.sqrt("l.n")) * F.sqrt(F.log(F.lit(2 / SIMILAR_ALPHA)) / 2)
+    shaped = F.abs(F.col("ended") / F.col("n") - F.col("l.ended") / F.col("l.n")) <= bound
+    joined = pair.where(~apart & shaped).select("host", "head", "seg", F.concat("l.seg", F.lit(MERGED)).alias("new"), F.col("l.seg").alias("to"))
+    return joined.select("host", "head", "seg", "new").union(joined.select("host", "head", F.col("to").alias("seg"), "new").distinct())
 
 
 def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, template, parent, n, bad, labelled): distinct templates of pages (host, segs, bad) after generalising the tree level by level.
+    """(host, raw, segs, n, labelled, bad): distinct paths (host, segs, bad) of pages with the template each has in its host's tree.
 
-    At each level a node's children are counted; where there are many and each has few pages, they become one wildcard.
-    Work is on distinct (host, path template) rows, pre-aggregated; a hot host is only a count. Each level is written,
-    so that the plan does not double from level to level.
+    Every level of every path is a branch point. A round takes the shallowest change of each path, since deeper branch
+    points depend on it; rounds end when nothing changes, so there are as many as changes on one path, whatever the
+    depth. First variable branch points become wildcards, then similar branches merge, top down. Work is on distinct
+    (host, path) rows and pre-aggregated counts; each round is written and only a yes or no comes to the driver.
     """
-    tree = pages.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumn("raw", F.col("segs"))
-    tree = scratch.keep(tree, "tree-0")
-    for level in range(1, LEVELS + 1):
-        head, seg = F.slice("segs", 1, level - 1), F.get("segs", F.lit(level - 1))
-        node = tree.where(F.size("segs") >= level).groupBy("host", head.alias("head"), seg.alias("seg")).agg(F.sum("n").alias("n"))
-        kids = node.groupBy("host", "head").agg(F.count("*").alias("kids"), F.sum("n").alias("pages"))
-        wide = kids.where((F.col("kids") > MOST_CHILDREN) & (F.col("pages") < MEAN_PAGES * F.col("kids"))).select(F.col("host").alias("_h"), F.col("head").alias("_p"))
-        tree = tree.join(wide, (tree["host"] == F.col("_h")) & (head == F.col("_p")) & (F.size("segs") >= level), "left")
-        wild = F.concat(head, F.array(F.lit(WILD)), F.slice("segs", level + 1, 1 << 20))
-        tree = scratch.keep(tree.withColumn("segs", F.when(F.col("_h").isNotNull(), wild).otherwise(F.col("segs"))).drop("_h", "_p"), f"tree-{level}")
-        scratch.drop(f"tree-{level - 1}")
+    tree = pages.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    tree = scratch.keep(tree.select("host", F.col("segs").alias("raw"), "n", "labelled", "bad", "segs", F.lit(True).alias("changed")), "tree-0")
+    step = 0
+    for change in (variable, similar):
+        while True:
+            step += 1
+            tree = rewritten(tree, change(tree), scratch, f"tree-{step}")
+            scratch.drop(f"tree-{step - 1}")
+            if not tree.where("changed").take(1):
+                break
     return tree
 
 
 def judged(tree: DataFrame) -> DataFrame:
-    """Every raw path's template with its smoothed share of bad pages.
+    """(host, segs, labelled, bad_share) of every template: its share of bad pages, smoothed towards its host's, which is smoothed towards that of all pages."""
+    leaf = tree.groupBy("host", "segs").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    hosts = leaf.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
+    base = F.coalesce(F.col("all_bad") / F.nullif(F.col("all_labelled"), F.lit(0)), F.lit(0.0))
+    total = hosts.agg(F.sum("host_labelled").alias("all_labelled"), F.sum("host_bad").alias("all_bad"))
+    host_rate = (F.col("host_bad") + PRIOR_PAGES * base) / (F.col("host_labelled") + PRIOR_PAGES)
+    # total is one row of two numbers.
+    return leaf.join(hosts, "host").crossJoin(F.broadcast(total)).select("host", "segs", "labelled", ((F.col("bad") + PRIOR_PAGES * host_rate) / (F.col("labelled") + PRIOR_PAGES)).alias("bad_share"))
 
-    Sibling branches (same host, same parent) whose share of bad pages does not differ from that of all siblings
-    together beyond chance are merged: they share pooled counts. A branch's share is smoothed towards its host's, the
-    host's towards that of all pages.
-    """
-    at = tree.groupBy("host", F.slice("segs", 1, F.greatest(F.size("segs") - 1, F.lit(0))).alias("parent"), F.col("segs").alias("template"))
-    leaf = at.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    pool = leaf.groupBy("host", "parent").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-    hosts = pool.groupBy("host").agg(F.sum("all_labelled").alias("host_labelled"), F.sum("all_bad").alias("host_bad"))
-    total = hosts.agg(F.sum("host_labelled").alias("labelled"), F.sum("host_bad").alias("bad")).select((F.coalesce(F.col("bad"), F.lit(0)) / F.greatest(F.coalesce(F.col("labelled"), F.lit(0)), F.lit(1))).alias("base"))
-    rate = F.col("all_bad") / F.greatest("all_labelled", F.lit(1))
-    deviation = F.sqrt(rate * (1 - rate) / F.greatest("labelled", F.lit(1)))
-    apart = (F.col("labelled") > 0) & (F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - rate) > SIMILAR_Z * deviation) & (deviation > 0)
-    host_rate = (F.col("host_bad") + PRIOR_PAGES * F.col("base")) / (F.col("host_labelled") + PRIOR_PAGES)
-    k, m = F.when(apart, F.col("bad")).otherwise(F.col("all_bad")), F.when(apart, F.col("labelled")).otherwise(F.col("all_labelled"))
-    # total is one row of one number.
-    return leaf.join(pool, ["host", "parent"]).join(hosts, "host").crossJoin(F.broadcast(total)).select("host", "template", "n", (~apart).alias("merged"), ((k + PRIOR_PAGES * host_rate) / (m + PRIOR_PAGES)).alias("bad_share"))
-
-
-def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", label_col: str = "bad") -> DataFrame:
-    """Per row of pages: id, host, path, rule (or null), verdict (allow or block), template and bad_share.
+
+def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", label_col: str = "bad", scratch: Scratch | None = None) -> DataFrame:
+    """Per row of pages: id, host, path, rule (or null), verdict (allow or block), template, labelled (pages of it) and bad_share.
 
     labels has (id, bad 0/1) for some pages. Pages that a rule decides also count as labelled, by the rule's verdict,
-    where labels says nothing. A fitting rule decides (the longest wins); else the page's template is blocked where its
-    smoothed share of bad pages reaches REJECT_FROM. Null urls and urls without :// have empty host and path and form a
-    host of their own; repeated rows are judged alike; null ids are kept and count as unlabelled; no labels at all: all
-    pages without a rule are allowed unless rules' verdicts speak against the template.
+    where labels says nothing. A fitting rule decides (the longest wins); else the page's template is blocked where it has
+    labelled pages and their smoothed share of bad ones reaches REJECT_FROM; a template without labelled pages is allowed.
+    Null urls and urls without :// have empty host and path and form a host of their own; repeated rows are judged
+    alike; null ids are kept and count as unlabelled; a page with several labels counts as bad if one says so; other
+    columns are ignored, also those named like results; an empty table gives no rows.
     """
     base = with_rule(pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")), rules).withColumn("segs", segments(F.col("path")))
     if labels is not None:
@@ -118,13 +165,12 @@ def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules: list[t
     else:
         base = base.withColumn("_bad", F.lit(None).cast("long"))
     base = base.withColumn("bad", F.coalesce("_bad", F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0)))
-    tree = templates(base, Scratch(pages.sparkSession, "urls"))
-    shares = judged(tree).select(F.col("host").alias("_h"), F.col("template").alias("_t"), "bad_share")
-    paths = tree.select("host", "raw", F.col("segs").alias("template")).join(shares, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).select(F.col("host").alias("_h"), F.col("raw").alias("_s"), "template", "bad_share")
-    out = base.join(paths, (F.col("host") == F.col("_h")) & (F.col("segs") == F.col("_s")), "left")
-    learned = F.when(F.col("bad_share") >= REJECT_FROM, "block").otherwise("allow")
-    template = F.concat(F.lit("/"), F.array_join("template", "/"))
-    return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", learned).alias("verdict"), template.alias("template"), F.round("bad_share", 9).alias("bad_share"))
+    tree = templates(base, scratch or Scratch(pages.sparkSession, "urls"))
+    paths = tree.select("host", "raw", "segs").join(judged(tree), ["host", "segs"]).select("host", F.col("raw").alias("segs"), F.col("segs").alias("template"), "labelled", "bad_share")
+    out = base.join(paths, ["host", "segs"], "left")
+    learned = F.when((F.col("labelled") > 0) & (F.col("bad_share") >= REJECT_FROM), "block").otherwise("allow")
+    template = F.concat(F.lit("/"), F.array_join(F.transform("template", lambda s: F.replace(s, F.lit(MERGED), F.lit("|..."))), "/"))
+    return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", learned).alias("verdict"), template.alias("template"), "labelled", F.round("bad_share", 9).alias("bad_share"))
 
 
 def top_templates(judged_pages: DataFrame, k: int = 20) -> DataFrame:

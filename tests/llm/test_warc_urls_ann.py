@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -65,10 +66,109 @@ def test_url_contract(spark):
 def test_templates_generalise_and_reject(spark):
     rows = [(k, f"http://h.org/spam/item{k:05d}x/p.html", "", "", "") for k in range(60)] + [(100 + k, f"http://h.org/news/{k}", "", "", "") for k in range(60)]
     labels = spark.createDataFrame([(k, 1) for k in range(30)] + [(100 + k, 0) for k in range(30)] + [(None, 1)], "page_id long, bad int")
-    got = urls.filter_urls(spark.createDataFrame(rows, PAGES), labels, rules=[]).collect()
-    assert {r.template for r in got} == {"/spam/*/p.html", "/news/*"}
+    out = urls.filter_urls(spark.createDataFrame(rows, PAGES), labels, rules=[])
+    got = out.collect()
     assert {(r.template, r.verdict) for r in got} == {("/spam/*/p.html", "block"), ("/news/*", "allow")}
-    assert urls.top_templates(spark.createDataFrame(got)).count() == 2
+    assert urls.top_templates(spark.createDataFrame(got, out.schema)).count() == 2
+
+
+def test_spam_hosts_and_deep_paths(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    spam = [f"http://win{h}.org/{r.choice(['bonus', 'play'])}/{word()}/a/b/c/{word()}/{word()}?x" for h in range(3) for _ in range(80)]
+    fine = [f"http://ok{h}.org/{r.choice(['wiki', 'blog'])}/{word()}/a/b/c/{word()}" for h in range(3) for _ in range(80)]
+    rows = [(k, u, "", "", "") for k, u in enumerate(spam + fine)]
+    labels = spark.createDataFrame([(k, int(k < len(spam))) for k in range(0, len(rows), 4)], "page_id long, bad int")
+    got = {x.page_id: x for x in urls.filter_urls(spark.createDataFrame(rows, PAGES), labels, rules=[]).collect()}
+    assert all((got[k].verdict == "block") == (k < len(spam)) for k in got)
+    assert all(x.template.endswith("/*/a/b/c/*/*" if x.page_id < len(spam) else "/*/a/b/c/*") for x in got.values()) and len({(x.host, x.template) for x in got.values()}) <= 12
+
+
+def plain_tree(rows):
+    """Templates and shares of (host, segments, bad or None) by a tree in memory, one level after the other, from the top."""
+    paths = {}
+    for host, segs, bad in rows:
+        at = paths.setdefault((host, segs), [0, 0, 0])
+        at[0], at[1], at[2] = at[0] + 1, at[1] + (bad is not None), at[2] + (bad or 0)
+    now = {k: list(k[1]) for k in paths}
+
+    def kids(level):
+        out = {}
+        for k, segs in now.items():
+            if len(segs) > level:
+                n, labelled, bad = paths[k]
+                at = out.setdefault((k[0], tuple(segs[:level])), {}).setdefault(segs[level], [0, 0, 0, 0])
+                for j, x in enumerate((n, labelled, bad, n * (len(segs) == level + 1))):
+                    at[j] += x
+        return out
+
+    def rename(level, names):
+        for k, segs in now.items():
+            if len(segs) > level and (key := (k[0], tuple(segs[:level]), segs[level])) in names:
+                segs[level] = names[key]
+
+    depth = max(map(len, now.values()), default=0)
+    for level in range(depth):
+        names = {}
+        for (host, head), own in kids(level).items():
+            pages = sum(x[0] for x in own.values())
+            light, single = sum(x[0] * urls.LIGHT_PART <= pages for x in own.values()), sum(x[0] == 1 for x in own.values())
+            if len(own) > urls.MOST_CHILDREN and max(light, single) >= urls.LIGHT_SHARE * len(own):
+                names |= {(host, head, s): urls.WILD for s in own}
+        rename(level, names)
+    for level in range(depth):
+        names = {}
+        for (host, head), own in kids(level).items():
+            for side in range(3):
+                group = {s: x for s, x in own.items() if (2 if not x[1] else 1 if 2 * x[2] >= x[1] else 0) == side}
+                if len(group) < 2:
+                    continue
+                lead = max(group, key=lambda s: (group[s][0], s))
+                n, labelled, bad, ended = group[lead]
+                for s, x in group.items():
+                    if s == lead:
+                        continue
+                    rate = (x[2] + bad) / max(x[1] + labelled, 1)
+                    apart = abs(x[2] / max(x[1], 1) - bad / max(labelled, 1)) > urls.SIMILAR_Z * (rate * (1 - rate) * (1 / max(x[1], 1) + 1 / max(labelled, 1))) ** 0.5
+                    bound = (x[0] ** -0.5 + n**-0.5) * (np.log(2 / urls.SIMILAR_ALPHA) / 2) ** 0.5
+                    if not apart and abs(x[3] / x[0] - ended / n) <= bound:
+                        names[host, head, s] = names[host, head, lead] = lead + urls.MERGED
+        rename(level, names)
+    leaf, hosts, total = {}, {}, [0, 0]
+    for k, segs in now.items():
+        for at in (leaf.setdefault((k[0], tuple(segs)), [0, 0]), hosts.setdefault(k[0], [0, 0]), total):
+            at[0] += paths[k][1]
+            at[1] += paths[k][2]
+    base = total[1] / total[0] if total[0] else 0
+    share = {}
+    for k, segs in now.items():
+        labelled, bad = leaf[k[0], tuple(segs)]
+        rate = (hosts[k[0]][1] + urls.PRIOR_PAGES * base) / (hosts[k[0]][0] + urls.PRIOR_PAGES)
+        share[k] = "/" + "/".join(s.replace(urls.MERGED, "|...") for s in segs), labelled, (bad + urls.PRIOR_PAGES * rate) / (labelled + urls.PRIOR_PAGES)
+    return share
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tree_equals_a_plain_one(spark, seed):
+    r = random.Random(seed)
+    word = lambda n: r.choice("abcdefghijklmnop"[:n]) * 3
+    rows = []
+    for k in range(900):
+        host = f"h{r.randrange(3)}.org"
+        tail = r.choice([[], [word(3)], [word(16) + word(16)], [word(16) + word(16), "end"], [word(2), word(16) + word(16), word(16) + word(4), word(2)]])
+        rows.append((k, f"http://{host}/" + "/".join([word(4), *tail, *(["deep"] * r.choice([0, 0, 0, 12]))]), "", "", ""))
+    rows += [(5000, None, "", "", ""), (5001, "http://h0.org", "", "", ""), (None, rows[0][1], "", "", "")]
+    labels = [(k, int(r.random() < (0.8 if "/aaa/" in u or "/bbb" in u else 0.1))) for k, u, *_ in rows[:900] if r.random() < 0.4]
+    known = dict(labels)
+    got = urls.filter_urls(spark.createDataFrame(rows, PAGES), spark.createDataFrame(labels, "page_id long, bad int"), rules=[]).collect()
+    cut = lambda u: (u.split("/")[2], tuple(x for x in u.split("/")[3:] if x)) if u else ("", ())
+    want = plain_tree([(*cut(u), known.get(k)) for k, u, *_ in rows])
+    by = {k: u for k, u, *_ in rows}
+    assert len(got) == len(rows)
+    for x in got:
+        template, labelled, share = want[cut(by[x.page_id])]
+        assert (x.template, x.labelled, x.verdict) == (template, labelled, "block" if labelled and share >= urls.REJECT_FROM else "allow") and abs(x.bad_share - share) < 1e-8
+    assert {x.verdict for x in got} == {"allow", "block"} and any("|..." in x.template for x in got) and any("*" in x.template for x in got)
 
 
 VECTORS = "vec_id long, embedding array<float>, score string"
