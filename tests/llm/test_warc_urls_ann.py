@@ -1,6 +1,8 @@
+import gzip
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -35,10 +37,70 @@ def test_archives(spark, version):
         assert own and all(r.payload_bytes == len(body) for r in own)
         kind = "revisit" if key in (4, None) else "response"
         assert {(r.record_type, r.refers_to) for r in own} == {(kind, 2 if kind == "revisit" else None)}
-        assert kind == "revisit" or {bytes(r.block) for r in own} == {body}
+        assert {None if r.payload is None else bytes(r.payload) for r in own} == {None if kind == "revisit" else body}
+    assert len({r.record_id for r in got}) == len(rows)
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def strict(blob):
+    """(fields, block) of each record of a .warc.gz file, by the letter of the format."""
+    at = 0
+    while at < len(blob):
+        packer = zlib.decompressobj(31)
+        record = packer.decompress(blob[at:])
+        assert packer.eof
+        at = len(blob) - len(packer.unused_data)
+        head, gap, rest = record.partition(b"\r\n\r\n")
+        first, *lines = head.decode().split("\r\n")
+        assert first == "WARC/1.1" and gap and all(re.fullmatch(r"[A-Za-z-]+: [^\r\n]*", x) for x in lines)
+        f = dict(x.split(": ", 1) for x in lines)
+        assert len(f) == len(lines) and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= set(f)
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", f["WARC-Record-ID"]) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f["WARC-Date"]) and re.fullmatch(r"[a-z]+/[a-z-]+(; [a-z-]+=[A-Za-z0-9-]+)?", f["Content-Type"])
+        n = int(f["Content-Length"])
+        block, tail = rest[:n], rest[n:]
+        assert len(block) == n and tail == b"\r\n\r\n"
+        if f["WARC-Type"] == "warcinfo":
+            assert f["Content-Type"] == "application/warc-fields"
+        else:
+            assert re.match(r"[a-z]+:", f["WARC-Target-URI"])
+        if f["WARC-Type"] in ("response", "revisit"):
+            assert f["Content-Type"] == "application/http; msgtype=response" and block.startswith(b"HTTP/1.") and b"\r\n\r\n" in block
+        if f["WARC-Type"] == "revisit":
+            assert {"WARC-Profile", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date"} <= set(f) and block.endswith(b"\r\n\r\n")
+        if f["WARC-Type"] == "response":
+            assert hashlib.sha256(block.split(b"\r\n\r\n", 1)[1]).hexdigest() == f["WARC-Payload-Digest"].split(":")[1]
+        yield f, block
+
+
+def test_a_strict_reader_takes_the_archives(spark, tmp_path):
+    long, huge = "p" * 120, "é<p>\r\n\r\n" * 400000
+    rows = [("a\r\nX-Evil: 1 %41", "http://x/ y", long), ("", "http://e", long), ("", "http://e", long), (None, None, "q"), (None, None, "q"), ("k", "http://k", huge), ("l", "http://l", huge), ("z", "http://z", None)]
+    df = spark.createDataFrame([(*r, "", "") for r in rows], PAGES.replace("page_id long", "page_id string"))
+    warc.convert(df, f"file://{tmp_path}/out").collect()
+    records = [x for f in sorted((tmp_path / "out").glob("*.warc.gz")) for x in strict(f.read_bytes())]
+    assert len({f["WARC-Record-ID"] for f, _ in records}) == len(records)
+    kinds = [f["WARC-Type"] for f, _ in records if f["WARC-Type"] != "warcinfo"]
+    assert sorted(kinds) == ["response"] * 6 + ["revisit"] * 2 and not any("X-Evil" in f for f, _ in records)
+    back = warc.read(spark, f"file://{tmp_path}/out").collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.refers_to) for r in back), key=repr) == sorted(((k, len((h or "").encode()), "" if k and h == long else "k" if k == "l" else None) for k, _, h in rows), key=repr)
+
+
+def test_existing_archives(spark, tmp_path):
+    page = warc.http_message(b"<html>" + b"x" * 200, "text/html")
+    for n, (version, packed) in enumerate([(1, False), (2, True)]):
+        data = warc.arc_file(version, [("http://a/", "20010203040506", "text/html", page), ("dns:a", "20010203040506", "text/dns", b"20010203 a 1.2.3.4"), ("http://b/", "19991231235959", "text/html", page)])
+        (tmp_path / f"{n}.arc{'.gz' * packed}").write_bytes(gzip.compress(data) if packed else data)
+    warc.convert_archives(spark, f"file://{tmp_path}", f"file://{tmp_path}/out").collect()
+    records = [x for f in (tmp_path / "out").glob("*.warc.gz") for x in strict(f.read_bytes())]
+    assert len({f["WARC-Record-ID"] for f, _ in records}) == len(records)
+    got = {r.key: r for r in warc.read(spark, f"file://{tmp_path}/out", "key").collect()}
+    assert {k: (r.record_type, r.refers_to, r.date) for k, r in got.items()} == {
+        "0.arc#0": ("response", None, "2001-02-03T04:05:06Z"), "0.arc#1": ("resource", None, "2001-02-03T04:05:06Z"), "0.arc#2": ("revisit", "0.arc#0", "1999-12-31T23:59:59Z"),
+        "1.arc.gz#0": ("revisit", "0.arc#0", "2001-02-03T04:05:06Z"), "1.arc.gz#1": ("resource", None, "2001-02-03T04:05:06Z"), "1.arc.gz#2": ("revisit", "0.arc#0", "1999-12-31T23:59:59Z"),
+    }
+    assert bytes(got["0.arc#0"].payload) == page.split(b"\r\n\r\n", 1)[1] and got["0.arc#1"].url == "dns:a"
+
+
 def test_url_contract(spark):
     def host(u):
         return re.sub("[A-Z]", lambda m: m[0].lower(), re.split("[/?#]", u.split("://", 1)[1])[0]) if u and "://" in u else ""
@@ -203,6 +265,14 @@ def test_search_of_little(spark):
     assert [tuple(r) for r in ann.search(two, two.where("vec_id = 0")).collect()] == [(0, 1, 1, 0.0)]
 
 
+def test_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0], ""), (0, [0.0, 2.0], ""), (1, [0.5, 0.0], ""), (1, [9.0, 0.0], ""), (2, [3.0, 0.0], ""), (2, [3.0, 0.0], ""), (3, [0.0, 1.0], "")]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = [tuple(r) for r in ann.search(df, df.where("vec_id = 0"), k=2).collect()]
+    assert sorted(got) == [(0, 1, 1, 9.0), (0, 2, 2, 3.0)]
+    assert ann.recall(ann.search(df, df.where("vec_id = 0"), k=2), df, df.where("vec_id = 0"), k=2) == 1
+
+
 def test_balanced_cut():
     x = np.concatenate([np.random.default_rng(k).normal(c, 0.05, (50, 2)) for k, c in enumerate([(1, 0), (0, 1), (-1, 0), (0, -1)])])
     part = ann.balanced_cut(ann.neighbour_graph(x, 10), 4)
