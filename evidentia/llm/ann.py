@@ -134,13 +134,20 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & fine & F.exists(v, lambda c: c != 0)).select(F.col(id_col).alias("_id"), v.cast("array<double>").alias("_v"))
 
 
+def sampled(rows: DataFrame, sample: int) -> tuple[pd.DataFrame, int]:
+    """The rows with the smallest hashes of their ids, at most ``sample`` of them, and the most frequent vector length among them (ties: the smallest)."""
+    got = rows.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id", "_v").limit(sample).toPandas()
+    return got, int(got["_v"].map(len).mode()[0]) if len(got) else 0
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, probes: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank, <id_col>, score): each query's k nearest rows found, by inner product in double precision.
 
     All rows are indexed: each goes to its most probable partition, dealt to blocks of about BLOCK vectors, so a hot
     partition is many blocks and no task holds more than two. A query is sent to its most probable partitions; each block gives its
     k best for each query, and a window takes the k best of those. Ties go to the smaller id; a query never finds its
-    own id. Rows that repeat an id with the same vector count once; null ids and vectors that are null, zero or not finite take no part;
+    own id. Rows that repeat an id with the same vector count once; of several vectors of one id, among candidates or
+    queries, the largest inner product counts; null ids and vectors that are null, zero or not finite take no part;
     vectors of another length than the first sampled one's (the most frequent length of the sample) take no part
     either. Other columns are ignored; empty tables give no rows.
     """
@@ -148,12 +155,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     kind = vectors.select(id_col).schema[0].dataType.simpleString()
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
     total = rows.count()
-    got = rows.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").limit(sample).toPandas()
+    got, dim = sampled(rows, sample)
     if not len(got):
         return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
-    lengths = got["_v"].map(len)
-    dim = int(lengths.mode()[0])
-    x = np.array(got["_v"][lengths == dim].tolist(), np.float64)
+    x = np.array(got["_v"][got["_v"].map(len) == dim].tolist(), np.float64)
     router = learn(x, total, k)
     few = probes or router.probes
 
@@ -193,25 +198,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                 a, q = np.frombuffer(vs, "<f8").reshape(len(ids), dim), np.frombuffer(q_vs, "<f8").reshape(len(q_ids), dim)
                 order = np.argsort(ids, kind="stable")
                 ids, a = ids[order], a[order]
+                extra = len(ids) - len(np.unique(ids))
                 for at in range(0, len(q), 256):
                     s = q[at : at + 256] @ a.T
                     s[q_ids[at : at + 256, None] == ids[None, :]] = -np.inf
-                    top = min(k, s.shape[1])
+                    # As many more as rows repeat ids, so that k ids are left.
+                    top = min(k + extra, s.shape[1])
                     bar = -np.partition(-s, top - 1, axis=1)[:, top - 1]
                     # A little below the k-th best, so that rounding in the matrix product loses no tie; exact scores follow.
                     r, c = np.nonzero((s >= (bar - 1e-9 * (1 + np.abs(bar)))[:, None]) & np.isfinite(s))
                     exact = np.einsum("ij,ij->i", q[at + r], a[c])
                     took = pd.DataFrame({"query_id": q_ids[at + r], "_id": ids[c], "score": exact}).sort_values(["query_id", "score", "_id"], ascending=[True, False, True])
+                    took = took.drop_duplicates(["query_id", "_id"])
                     yield took.groupby("query_id", sort=False).head(k)
 
-    found = pairs.mapInPandas(best, f"query_id {kind}, _id {kind}, score double").dropDuplicates(["query_id", "_id"])
+    found = pairs.mapInPandas(best, f"query_id {kind}, _id {kind}, score double").groupBy("query_id", "_id").agg(F.max("score").alias("score"))
     ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, _id)").cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("_id").alias(id_col), "score")
 
 
 def recall(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
-    """Share of the true k nearest that were found, against brute force on the given (small) query set, in blocks."""
-    asked = usable(queries, id_col, vector_col).toPandas()
+    """Share of the true k nearest that were found, against brute force on the given (small) query set, in blocks.
+
+    Vectors of another length than ``search`` would take are left out, as they are there. Without queries it is 1.
+    """
+    rows = usable(vectors, id_col, vector_col)
+    _, dim = sampled(rows, SAMPLE)
+    asked = usable(queries, id_col, vector_col).where(F.size("_v") == dim).toPandas()
+    if not len(asked):
+        return 1.0
     q, q_ids = np.array(asked["_v"].tolist(), np.float64), asked["_id"].to_numpy()
     kind = vectors.select(id_col).schema[0].dataType.simpleString()
 
@@ -222,11 +237,11 @@ def recall(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 20
                 continue
             s = q @ a.T
             s[q_ids[:, None] == ids[None, :]] = -np.inf
-            c = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            c = np.argsort(-s, axis=1, kind="stable")[:, : k + len(ids) - len(np.unique(ids))]
             r = np.repeat(np.arange(len(q)), c.shape[1])
             yield pd.DataFrame({"query_id": q_ids[r], "_id": ids[c.ravel()], "score": s[r, c.ravel()]})
 
-    true = usable(vectors, id_col, vector_col).mapInPandas(run, f"query_id {kind}, _id {kind}, score double")
-    true = true.where("score > -1e300").withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, _id)")).where(F.col("rank") <= k)
+    true = rows.where(F.size("_v") == dim).dropDuplicates(["_id", "_v"]).mapInPandas(run, f"query_id {kind}, _id {kind}, score double")
+    true = true.where("score > -1e300").groupBy("query_id", "_id").agg(F.max("score").alias("score")).withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, _id)")).where(F.col("rank") <= k)
     hit = true.join(found.select("query_id", F.col(id_col).alias("_id")).distinct(), ["query_id", "_id"], "left_semi").count()
     return hit / max(true.count(), 1)
