@@ -29,14 +29,24 @@ def tokens(text: Column) -> Column:
 
 
 def seed_hashes(words: Column, at: Column) -> list[Column]:
-    """One hash for each mask laid at a position; null where the mask does not lie inside the text."""
-    laid = lambda k, mask: F.xxhash64(F.lit(k), *(F.get(words, at + j) for j, c in enumerate(mask) if c == "1"))
-    return [F.when((at >= 0) & (at + len(mask) <= F.size(words)), laid(k, mask)) for k, mask in enumerate(MASKS)]
+    """One hash for each mask laid at a position, of the tokens that are there; see ``inside``."""
+    return [F.xxhash64(F.lit(k), *(F.get(words, at + j) for j, c in enumerate(mask) if c == "1")) for k, mask in enumerate(MASKS)]
 
 
 def plain_hash(words: Column, at: Column, length: int) -> Column:
-    """The hash of so many tokens in a row; null where they do not lie inside the text."""
-    return F.when(at + length <= F.size(words), F.xxhash64(F.lit(-length), *(F.get(words, at + j) for j in range(length))))
+    """The hash of so many tokens in a row."""
+    return F.xxhash64(F.lit(-length), *(F.get(words, at + j) for j in range(length)))
+
+
+def inside(at: Column, which: Column, words: Column) -> Column:
+    """Whether a mask laid at a position ends inside the text. Asked of hits, not of all seeds: a seed that runs past the end has
+    the hash of fewer tokens, and generated code with a test for each hash would be too long to be compiled."""
+    return at + F.get(F.array(*(F.lit(len(m)) for m in MASKS)), which) <= F.size(words)
+
+
+def run_before(words: Column, at: Column, which: Column) -> Column:
+    """The hash of all tokens from the one before a mask to the mask's last but one; null at the beginning and for plain seeds."""
+    return F.when((at > 0) & (which >= 0), F.xxhash64(F.slice(words, at, F.get(F.array(*(F.lit(len(m)) for m in MASKS)), which))))
 
 
 def positions(words: Column, least: int = len(MASKS[0])) -> Column:
@@ -72,8 +82,8 @@ def scored_diagonals(docs: DataFrame, benchmark: DataFrame, id_col: str, text_co
     """(_id, _t, _item, _n, _d, _score): the diagonals that count, of each text (by its hash _t)."""
     items = benchmark.select(F.col(item_col).alias("_item"), tokens(F.col(item_text_col)).alias("_its")).where(F.get("_its", F.lit(0)) != "").dropDuplicates(["_item", "_its"])
     spread = items.where(F.size("_its") >= len(MASKS[0])).select("_item", "_its", F.explode_outer(positions(F.col("_its"))).alias("_p"))
-    index = spread.select("_item", F.size("_its").alias("_n"), "_p", F.posexplode(F.array(*seed_hashes(F.col("_its"), F.col("_p")))).alias("_k", "_h"), F.array(*seed_hashes(F.col("_its"), F.col("_p") - 1)).alias("_befores"))
-    index = index.where("_h is not null").select("_item", "_n", "_p", "_h", "_k", F.get("_befores", F.col("_k")).alias("_before"))
+    index = spread.select("_item", "_its", F.size("_its").alias("_n"), "_p", F.posexplode(F.array(*seed_hashes(F.col("_its"), F.col("_p")))).alias("_k", "_h"))
+    index = index.where(inside(F.col("_p"), F.col("_k"), F.col("_its"))).select("_item", "_n", "_p", "_h", "_k", run_before(F.col("_its"), F.col("_p"), F.col("_k")).alias("_before"))
     plain, lengths = plain_seeds(items)
     index = index.union(plain).distinct()
     few = index.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
@@ -81,11 +91,10 @@ def scored_diagonals(docs: DataFrame, benchmark: DataFrame, id_col: str, text_co
     split = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), tokens(F.col(text_col)).alias("_w"))
     at = split.select("*", F.explode_outer(positions(F.col("_w"), min([len(MASKS[0]), *lengths]))).alias("_i"))
     hashes = F.array(*seed_hashes(F.col("_w"), F.col("_i")), *(plain_hash(F.col("_w"), F.col("_i"), k) for k in lengths))
-    seeds = at.select("*", F.explode(hashes).alias("_h")).where("_h is not null")
-    hits = seeds.join(F.broadcast(index) if few else index, "_h")
-    # Where the same mask also fits one token before on both sides, that hit speaks for this one: a whole copy is one hit a mask.
-    before = F.get(F.array(*seed_hashes(F.col("_w"), F.col("_i") - 1)), F.col("_k"))
-    hits = hits.where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(before))
+    seeds = at.select("*", F.explode(hashes).alias("_h"))
+    hits = seeds.join(F.broadcast(index) if few else index, "_h").where((F.col("_k") < 0) | inside(F.col("_i"), F.col("_k"), F.col("_w")))
+    # Where all tokens from the one before on are equal, the hit of the same mask there speaks for this one: a whole copy is one hit a mask.
+    hits = hits.where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(run_before(F.col("_w"), F.col("_i"), F.col("_k"))))
     start = F.greatest(F.col("_d"), F.lit(0))
     window = F.array_join(F.slice("_w", start + 1, F.greatest(F.col("_n") - F.greatest(-F.col("_d"), F.lit(0)), F.lit(0))), " ")
     # The window is cut out first, so that what is sorted and grouped holds no whole texts.
