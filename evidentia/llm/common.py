@@ -56,6 +56,14 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def labelled_sample(labels: DataFrame, id_col: str, value_cols: list[str], max_rows: int, seed: int) -> DataFrame:
     """At most max_rows labelled rows, one for each id, those with the smallest hash of the id: a fixed, bounded sample."""
     one = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(*(F.max(c).alias(c) for c in value_cols))

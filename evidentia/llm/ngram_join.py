@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import Scratch
+from evidentia.llm.common import Scratch, free_name
 
 WORDS = 5
 #: Fragments of the global order; a row holds a document's shingles of one of them.
@@ -25,6 +25,8 @@ FRAGMENTS = 4
 CELLS = 64
 #: Prefixes hold 1/EXTRA of the shingles more than one common shingle needs, so that more common ones can be asked for.
 EXTRA = 20
+#: A pair of classes is taken up at the first shingle that the beginnings of so many of their second prefixes share (at any, if none).
+HEAD = 64
 #: Hubs of a candidate group that its members are compared with before components are known.
 HUBS = 2
 #: A component whose links are counted is cut into blocks of about so many classes and shingles; a task compares two blocks.
@@ -60,8 +62,13 @@ def class_key(own: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), ">i8").tolist())
 
 
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text, _r): _r names a row by its id and text, so rows without an id and ids with several texts are told apart."""
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("_r"))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, the class key (hi, lo), n, and the prefix of the set in hash order."""
+    """Per row: id, a hash of id and text that names the row, the class key (hi, lo), n, and the prefix of the set in hash order."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,9 +76,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sets = [shingles(t) for t in batch["_text"]]
             keys = [class_key(s) for s in sets]
             prefix = [s[: len(s) - (4 * len(s) + 4) // 5 + max(1, len(s) // EXTRA)] for s in sets]
-            yield pd.DataFrame({"_id": batch["_id"], "hi": [k[0] for k in keys], "lo": [k[1] for k in keys], "n": [len(s) for s in sets], "prefix": prefix})
+            yield pd.DataFrame({"_id": batch["_id"], "_r": batch["_r"], "hi": [k[0] for k in keys], "lo": [k[1] for k in keys], "n": [len(s) for s in sets], "prefix": prefix})
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"_id {kind}, hi long, lo long, n long, prefix array<long>")
+    return named(docs, id_col, text_col).mapInPandas(run, f"_id {kind}, _r long, hi long, lo long, n long, prefix array<long>")
 
 
 def fragments(docs: DataFrame) -> DataFrame:
@@ -211,16 +218,18 @@ def links(docs: DataFrame, scratch: Scratch, sketch: DataFrame, id_col: str, tex
     3. Members of a group are compared with its hubs, the ones with the fewest shingles of their own.
     4. All pairs of a group across components that bounds on their overlap allow are compared.
     """
-    classes = scratch.keep(sketch.where("n > 0").groupBy("lo").agg(F.min("_id").alias("_id"), F.max("n").alias("n")), "classes")
-    rows = sketch.where("n > 0").select("_id", "lo", F.explode("prefix").alias("h"))
+    # One row speaks for each class, one with an id if there is any.
+    one = F.min(F.struct(F.col("_id").isNull().alias("none"), "_r")).alias("one")
+    classes = scratch.keep(sketch.where("n > 0").groupBy("lo").agg(one, F.max("n").alias("n")).select("lo", F.col("one._r").alias("_r"), "n"), "classes")
+    rows = sketch.where("n > 0").select("_r", "lo", F.explode("prefix").alias("h"))
     shared = rows.groupBy("h").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).where("x <> y").select("h")
-    hits = rows.select("h", "_id").join(shared, "h", "left_semi").groupBy("_id").agg(F.count("*").alias("k"))
+    hits = rows.select("h", "_r").join(shared, "h", "left_semi").groupBy("_r").agg(F.count("*").alias("k"))
     need = F.expr(f"greatest(1L, ((4 * n + 4) div 5) div {EXTRA})")
-    # Repeated rows of an id only add to its count, so none is lost.
-    first = scratch.keep(hits.join(classes, "_id").where(F.col("k") >= need).select("_id").distinct(), "first")
+    # Repeated rows only add to their count, so none is lost.
+    first = scratch.keep(hits.join(classes, "_r").where(F.col("k") >= need).select("_r").distinct(), "first")
     scratch.drop("sketch", "classes")
 
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(first, "_id", "left_semi").dropDuplicates(["_id", "_text"]).select("_text")
+    texts = named(docs, id_col, text_col).select("_r", "_text").join(first, "_r", "left_semi").dropDuplicates(["_r", "_text"]).select("_text")
     parts = scratch.keep(fragments(texts), "parts")
     every = parts.select("c", F.explode("part").alias("h"))
     df = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
@@ -229,7 +238,7 @@ def links(docs: DataFrame, scratch: Scratch, sketch: DataFrame, id_col: str, tex
     counted = common.groupBy("c").agg(F.count("*").alias("k")).join(size, "c")
     known = counted.where("k >= (4 * n + 4) div 5").select("c", "n", (F.col("n") - F.col("k")).alias("u"), F.expr("k - (4 * n + 4) div 5 + 1").alias("p"))
     ranked = common.join(known, "c").withColumn("r", F.expr("row_number() over (partition by c order by df, h)"))
-    groups = scratch.keep(ranked.where("r <= p").select("h", "c", "n", "u"), "groups")
+    groups = scratch.keep(ranked.where("r <= p").select("h", "c", "n", "u", "r"), "groups")
     scratch.drop("common")
 
     hubs = groups.select("h", "c", "n", "u", F.expr("row_number() over (partition by h order by u / n, c)").alias("r")).where(F.col("r") <= HUBS)
@@ -241,12 +250,13 @@ def links(docs: DataFrame, scratch: Scratch, sketch: DataFrame, id_col: str, tex
     sizes = placed.groupBy("h", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("h").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("h", F.col("m.root").alias("main"))
     split = placed.join(main, "h")
-    heads = groups.groupBy("c").agg(F.collect_set("h").alias("head"))
+    heads = groups.where(F.col("r") <= HEAD).groupBy("c").agg(F.collect_set("h").alias("head"))
     counts = parts.groupBy("c").agg(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("fragment", "cells"))), lambda x: x["cells"])).alias("cells"))
     split = scratch.keep(split.join(heads, "c").join(counts, "c"), "split")
     others = split.where("root <> main")
-    # A pair is taken up at the first shingle its second prefixes share, and only if its cells leave room for enough overlap.
-    first_shared = F.array_min(F.array_intersect("x.head", "y.head")) == F.col("x.h")
+    # A pair is taken up at the first shingle the beginnings of its second prefixes share, or wherever it is met if they
+    # share none (the rows are made distinct), and only if its cells leave room for enough overlap.
+    first_shared = F.coalesce(F.array_min(F.array_intersect("x.head", "y.head")) == F.col("x.h"), F.lit(True))
     most = F.aggregate(F.zip_with("x.cells", "y.cells", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
     roomy = 9 * most >= 4 * (F.col("x.n") + F.col("y.n"))
     across = others.alias("x").join(split.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & can_link("x", "y") & first_shared & roomy)
@@ -258,20 +268,30 @@ def links(docs: DataFrame, scratch: Scratch, sketch: DataFrame, id_col: str, tex
     return found, roots, parts
 
 
+def classes_of(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, roots, parts): a key for each row, and (hi, lo, low, size, root) for each class of equal sets.
+
+    low is the class's smallest row (none, _id, _r), those without an id last; root is shared by linked classes.
+    """
+    sketch = scratch.keep(sketches(docs, id_col, text_col), "sketch")
+    rows = scratch.keep(sketch.select("_id", "_r", "hi", "lo", "n"), "keys")
+    _, roots, parts = links(docs, scratch, sketch, id_col, text_col)
+    low = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_r")).alias("low")
+    classes = rows.where("n > 0").groupBy("hi", "lo").agg(low, F.count("*").alias("size"))
+    return rows, classes.join(roots.select(F.col("node").alias("lo"), "root"), "lo", "left").withColumn("root", F.coalesce("root", "lo")), roots, parts
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, with_links: bool = False) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (the smallest id reachable by links, its own included).
 
     with_links adds n_links, the other rows whose sets have a Jaccard similarity of 0.8 at least, copies included.
     Documents with the same set are one class (128-bit keys; candidates carry 64 of them). Texts with fewer than five
     words are one shingle; without words or text a document is empty, linked with nothing. Repeated rows each get a row;
-    rows with a null id take the component of their class, or null (then only their copies count as links); other
+    rows without an id link like others and take the smallest id of their component, or null where it has none; other
     columns are ignored; an empty table gives no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession, "ngrams")
-    sketch = scratch.keep(sketches(docs, id_col, text_col), "sketch")
-    rows = scratch.keep(sketch.select("_id", "hi", "lo", "n"), "keys")
-    _, roots, parts = links(docs, scratch, sketch, id_col, text_col)
-    classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("_id").alias("low"), F.count("*").alias("size")).join(roots.select(F.col("node").alias("lo"), "root"), "lo", "left").withColumn("root", F.coalesce("root", "lo"))
+    rows, classes, roots, parts = classes_of(docs, id_col, text_col, scratch)
     n_links = F.lit(None).cast("long")
     if with_links:
         sizes = rows.where("n > 0").groupBy(F.col("lo").alias("c")).agg(F.count("*").alias("size"), F.max("n").alias("n"))
@@ -279,23 +299,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes = classes.join(counts.select(F.col("c").alias("lo"), "linked"), "lo", "left")
         n_links = F.col("size") - 1 + F.coalesce("linked", F.lit(0))
     scratch.drop("parts", "placed")
-    lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classes.join(lows, "root").select("hi", "lo", "component_id", n_links.alias("n_links"))
+    lows = classes.groupBy("root").agg(F.min("low").alias("least"))
+    found = classes.join(lows, "root").select("hi", "lo", F.col("least._id").alias("component_id"), n_links.alias("n_links"))
     alone = rows.where("n = 0").select("_id", "n", F.col("_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    out = scratch.keep(rows.where("n > 0").join(named, ["hi", "lo"]).select("_id", "n", "component_id", "n_links").union(alone), "out")
+    out = scratch.keep(rows.where("n > 0").join(found, ["hi", "lo"]).select("_id", "n", "component_id", "n_links").union(alone), "out")
     scratch.drop("keys", "near", "last", "all-roots", "counts")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *(["n_links"] if with_links else []))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate group: the one with the smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """docs with one row of each near-duplicate group: the one with the smallest id; a group without ids keeps one row too.
 
-    Repeated rows of an id count as copies of one another where their texts are linked. Rows without an id stay.
+    Rows are judged by their own text: an id that repeats with texts that are not linked keeps both. Texts without words
+    link with nothing, and all their rows stay. Columns stay as they are.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    some = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return some.select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+    scratch = scratch or Scratch(docs.sparkSession, "ngrams")
+    _, classes, _, _ = classes_of(docs, id_col, text_col, scratch)
+    name = free_name(docs, "_r")
+    kept = scratch.keep(classes.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low._r").alias(name)), "kept")
+    scratch.drop("keys", "near", "last", "all-roots", "parts")
+    worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    some = docs.where(worded).withColumn(name, F.xxhash64(id_col, text_col)).join(kept, name, "left_semi").dropDuplicates([name])
+    return some.select(docs.columns).union(docs.where(~worded))
 
 
 def oracle() -> str:

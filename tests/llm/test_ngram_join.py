@@ -72,11 +72,62 @@ def test_repeated_rows_null_ids_and_empty(spark):
     assert got == sorted([(3, 3, 3), (5, 3, 3), (5, 3, 3), (9, 0, 9), (None, 0, None), (None, 3, 3)], key=repr)
     kept = ngram_join.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([3, 9, None, None], key=repr)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([3, 9, None], key=repr)
     empty = spark.createDataFrame([], DOCS)
     assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
 
 
+def chain(n=3, length=60):
+    """Texts of which each is linked with the next, but not with those after it."""
+    words = [f"c{k}" for k in range(length)]
+    out = []
+    for k in range(n):
+        out.append(" ".join(words))
+        words[7 * k + 3] = f"x{k}"
+    return out
+
+
+def test_a_row_without_id_is_a_bridge(spark):
+    a, b, c = chain(3, 50)
+    sets = [shingle_set(t) for t in (a, b, c)]
+    linked = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    assert linked(sets[0], sets[1]) and linked(sets[1], sets[2]) and not linked(sets[0], sets[2])
+    df = spark.createDataFrame([(1, a, 0, ""), (None, b, 0, ""), (2, c, 0, "")], DOCS)
+    assert sorted(((r.doc_id, r.component_id, r.n_links) for r in ngram_join.near_duplicates(df, with_links=True).collect()), key=repr) == sorted([(1, 1, 1), (None, 1, 2), (2, 1, 1)], key=repr)
+    assert [r.doc_id for r in ngram_join.keep_one(df).collect()] == [1]
+
+
+def test_keep_one_judges_rows_by_their_text(spark):
+    a, b, _ = chain()
+    other = " ".join(f"o{k}" for k in range(30))
+    names = "doc_id long, text string, _r long, _text string"
+    rows = [(7, a, 1, "p"), (7, other, 2, "p"), (7, a, 3, "p"), (8, b, 4, ""), (None, other, 5, ""), (None, "q w e r t y", 6, ""), (None, "q w e r t y", 7, ""), (None, "", 8, ""), (None, "", 9, ""), (4, " \n", 10, None)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, names))
+    assert kept.columns == ["doc_id", "text", "_r", "_text"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(7, a), (7, other), (None, "q w e r t y"), (None, ""), (None, ""), (4, " \n")], key=repr)
+
+
+def test_long_near_copies(spark):
+    r = random.Random(9)
+    words = [f"v{r.randrange(20000)}" for _ in range(30000)]
+    rows = []
+    for k in range(6):
+        own = list(words)
+        for _ in range(200 * k):
+            own[r.randrange(len(own))] = f"y{k}"
+        rows.append((k, " ".join(own)))
+    rows += [(50, " ".join(f"v{r.randrange(20000)}" for _ in range(30000))), (51, "the " * 90000)]
+    df = spark.createDataFrame([(k, t, 0, "x") for k, t in rows], DOCS)
+    assert sorted(tuple(r) for r in ngram_join.near_duplicates(df).collect()) == brute_force(rows)
+
+
+def test_pairs_beyond_the_heads_are_found(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HEAD", 1)
+    rows = corpus(5)
+    df = spark.createDataFrame([(k, t, 0, "x") for k, t in rows], DOCS)
+    assert sorted(tuple(r) for r in ngram_join.near_duplicates(df).collect()) == brute_force(rows)
+
+
 def test_components_of_a_chain(spark):
     from evidentia.llm.common import Scratch
 
