@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import labelled_sample
+from evidentia.llm.common import free_name, labelled_sample
 
 #: Bound of the labelled sample that the classifier is fitted to, and the share of it that is held out for the threshold.
 MAX_LABELLED = 12_000
@@ -44,6 +44,27 @@ def features(text: str, buckets: Buckets) -> np.ndarray:
     return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
+class Weighted(dict):
+    """Word -> those of its buckets that have a weight, remembered for each worker up to a bound. Most words have none."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights, self.buckets = weights, Buckets()
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        parts = self.buckets.__missing__(word)
+        self.buckets.clear()
+        found = self[word] = tuple(k for k in parts if self.weights[k])
+        return found
+
+    def score(self, text: str) -> float:
+        """The sum of the weights of the text's distinct buckets."""
+        found = set().union(*filter(None, map(self.__getitem__, set(WORD.findall(text.lower())))))
+        return float(self.weights[sorted(found)].sum(dtype=np.float64)) if found else 0.0
+
+
 class Model:
     """P(grade > k) = sigmoid(w·x - b_k) with one w for all ordered thresholds b_1 < b_2 < ..."""
 
@@ -124,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     # The sample has max_labelled rows of two numbers at most: a bounded broadcast.
-    got = texts.join(F.broadcast(sample), "_id").select("_id", F.col("_y").cast("long").alias("_y"), "_text").mapInPandas(run, "_id string, _y long, x binary").toPandas()
+    own = texts.join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))  # a repeated id comes once
+    got = own.select("_id", F.col("_y").cast("long").alias("_y"), "_text").mapInPandas(run, "_id string, _y long, x binary").toPandas()
     got = got.drop_duplicates("_id").sort_values("_id", ignore_index=True)
     y = got["_y"].to_numpy(np.int64) if len(got) else np.zeros(0, np.int64)
     if not len(y) or y.min() == y.max():
@@ -157,16 +179,17 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", prefix:
 
     @F.pandas_udf("struct<expected_severity:double,p_toxic:double,grade:int,toxic:boolean>")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        buckets = Buckets()
+        weighted = Weighted(model.weights) if model else None
         for text in texts:  # one Arrow batch at a time
             if model is None:
                 yield pd.DataFrame({"expected_severity": np.zeros(len(text)), "p_toxic": 0.0, "grade": 0, "toxic": False})
                 continue
-            s = np.array([model.weights[features(t, buckets)].sum(dtype=np.float64) if t else -40.0 for t in text])
+            s = np.array([weighted.score(t) if t else -40.0 for t in text])
             up = model.above(s)
             p = -np.diff(np.concatenate([np.ones((len(s), 1)), up, np.zeros((len(s), 1))], axis=1), axis=1)
             yield pd.DataFrame({"expected_severity": up.sum(axis=1), "p_toxic": up[:, 0], "grade": p.argmax(axis=1).astype(np.int32), "toxic": up[:, 0] >= model.threshold})
 
     plain = docs.drop(*(prefix + c for c in ("expected_severity", "p_toxic", "grade", "toxic")))
-    out = plain.withColumn("_scored", scored(F.col(text_col)))
-    return out.select(*plain.columns, *(F.col(f"_scored.{c}").alias(prefix + c) for c in ("expected_severity", "p_toxic", "grade", "toxic")))
+    name = free_name(plain, "_scored")
+    out = plain.withColumn(name, scored(F.col(text_col)))
+    return out.select(*plain.columns, *(F.col(f"{name}.{c}").alias(prefix + c) for c in ("expected_severity", "p_toxic", "grade", "toxic")))
