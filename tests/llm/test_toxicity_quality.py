@@ -67,3 +67,51 @@ def test_without_labels(spark, n):
 
 def test_graded_labels_are_used():
     assert toxicity.graded(np.array([0, 2, 9]), np.zeros(0, int), np.zeros(0, int)).tolist() == [0, 2, 3]
+
+
+def test_rounds_hand_over_both_classes(spark):
+    from evidentia.llm.common import Scratch
+
+    rows, labels = corpus(3000)
+    docs = spark.createDataFrame(rows + [(9000 + k, *rows[0][1:]) for k in range(400)], DOCS)
+    some = spark.createDataFrame(labels[:700], LABELS)
+    scratch = Scratch(spark, "t")
+    features = scratch.keep(quality.features(docs, "doc_id", "text", "lang", "source", "n_chars"), "f")
+    model = quality.fit(features, some, "doc_id", "quality", 600, 3, 5, scratch)
+    print(model.handed, model.accuracy, model.majority)
+    assert all(n > 0 for step in model.handed for counts in step.values() for n in counts), model.handed
+    # What was handed over left the pool: all rounds together hand over no more than there is, and copies come once.
+    assert all(sum(sum(step[v]) for step in model.handed) <= features.select("x", "m").distinct().count() for v in "xm")
+    assert model.accuracy > 0.97 > model.majority
+
+
+def test_sums_over_tasks_equal_plain_ones(spark):
+    rng = np.random.default_rng(2)
+    x, m, y = rng.normal(size=(300, 4)).astype(np.float16), rng.normal(size=(300, 3)).astype(np.float16), rng.integers(-1, 2, (300, 2))
+    pool = spark.createDataFrame([(a.tobytes(), b.tobytes(), int(p), int(q)) for a, b, (p, q) in zip(x, m, y, strict=True)], "x binary, m binary, yx int, ym int").repartition(7)
+    beta, weight = {"x": rng.normal(size=4), "m": rng.normal(size=3)}, {"x": {0: 0.5, 1: 2.0}, "m": {0: 1.0, 1: 0.25}}
+    got = quality.added(pool, beta, weight)
+    for v, a, said in (("x", x, y[:, 1]), ("m", m, y[:, 0])):
+        a, said = a[said >= 0].astype(float), said[said >= 0]
+        p, w = 1 / (1 + np.exp(-a @ beta[v])), np.where(said, weight[v][1], weight[v][0])
+        assert np.allclose(got[v][0], a.T @ (w * (said - p)), atol=1e-6) and np.allclose(got[v][1], (a * (w * p * (1 - p))[:, None]).T @ a, atol=1e-6)
+
+
+def test_weighted_scores_equal_plain_ones():
+    rng = np.random.default_rng(1)
+    weights = np.where(rng.random(toxicity.BUCKETS) < 0.2, rng.normal(size=toxicity.BUCKETS), 0).astype(np.float32)
+    weighted, buckets = toxicity.Weighted(weights), toxicity.Buckets()
+    for text in ("", "Some words, someone's WORDS again", "Überaus längliche Wörter " * 30, " ".join(f"w{chr(97 + k % 26)}{k}x" * 2 for k in range(500))):
+        assert abs(weighted.score(text) - weights[toxicity.features(text, buckets)].sum(dtype=np.float64)) < 1e-9
+
+
+def test_columns_of_the_same_name_stay(spark):
+    docs = spark.createDataFrame([(1, "x", "mine", 5)], "doc_id long, text string, _scored string, n long")
+    got = toxicity.score(docs, None, prefix="_").collect()[0]
+    assert got["_scored"] == "mine" and got["_toxic"] is False
+
+
+def test_repeated_ids_come_once(spark):
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows + [rows[7]] * 500, DOCS)
+    assert toxicity.fit(docs, spark.createDataFrame(labels, LABELS)).threshold == toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)).threshold
