@@ -185,7 +185,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     columns = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
+    schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -201,7 +201,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             for doc, start, n, at, offset in pieces:
                 key, ids = held[doc]
                 part = ids[start : start + n]
-                rows.append((key, start, n, zlib.crc32(part.tobytes()), len(ids), high + sequences + at, offset) + ((part.tolist(),) if with_ids else ()))
+                rows.append((key, start, n, zlib.crc32(part.tobytes()), len(ids), high + sequences + at, offset) + ((part.view(np.int32),) if with_ids else ()))
             sequences += max((p[3] for p in pieces), default=-1) + 1
             held.clear()
             tokens = 0
@@ -226,9 +226,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
 
 def report(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: sequences, tokens, padding tokens (a sequence whose length is a power of two needs none) and cost spread."""
+    """One row: sequences, tokens, padding tokens (a sequence whose length is a power of two needs none), how many sequences are
+    shorter than the capacity and how many tokens they hold, and cost spread."""
     n = F.sum("length").alias("n")
     cost = F.sum(F.col("length") * LINEAR + F.col("length") * F.col("length") * QUADRATIC).alias("cost")
     per = pieces.groupBy("sequence_id").agg(n, cost)
     padded = F.when(F.col("n").bitwiseAND(F.col("n") - 1) == 0, 0).otherwise(capacity - F.col("n"))
-    return per.agg(F.count("*").alias("sequences"), F.sum("n").alias("tokens"), F.sum(padded).alias("padding"), F.max("cost").alias("max_cost"), F.avg("cost").alias("mean_cost"))
+    return per.agg(F.count("*").alias("sequences"), F.sum("n").alias("tokens"), F.sum(padded).alias("padding"), F.count_if(F.col("n") < capacity).alias("short_sequences"), F.sum(F.when(F.col("n") < capacity, F.col("n")).otherwise(0)).alias("short_tokens"), F.max("cost").alias("max_cost"), F.avg("cost").alias("mean_cost"))

@@ -77,4 +77,24 @@ def test_run_equals_the_plain_version(spark):
     assert {r.doc_id for r in pieces} == set(want)
     for r in pieces:
         assert r.doc_tokens == len(want[r.doc_id])
-        assert r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
+        own = want[r.doc_id][r.start : r.start + r.length]
+        assert r.ids == own.tolist() and r.ids_crc32 == zlib.crc32(own.tobytes())
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in all columns, rows without an id, repeated rows and columns with the names that stages use."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, _toxic string, _r long, _scored string, _t string, ids string"
+    clean = " ".join(f"word{k}" for k in range(40))
+    item = " ".join(f"item{k}" for k in range(30))
+    rows = [(1, clean, "en", "s", 5, "a", 1, "b", "c", "d"), (None, clean, None, None, None, None, None, None, None, None), (None, item + " tail", "en", "s", 1, "a", 1, "b", "c", "d"), (2, None, "en", "s", 0, "a", 1, "b", "c", "d"), (3, "", "en", "s", 0, "a", 1, "b", "c", "d"), (4, "mail me a@b.cd now", "en", "s", 9, "a", 1, "b", "c", "d"), (4, "mail me a@b.cd now", "en", "s", 9, "a", 1, "b", "c", "d")]
+    docs = spark.createDataFrame(rows, names)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    model = toxicity.fit(docs, labels)
+    assert corpus_pipeline.without_toxic(docs, model).columns == docs.columns
+    docs = ngram_join.keep_one(docs)
+    docs = decontaminate.drop_contaminated(docs, bench)
+    docs = pii.redact(docs)
+    assert docs.columns == [c.split()[0] for c in names.split(", ")]
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr) == sorted([(1, clean), (2, None), (3, ""), (4, "mail me <email> now")], key=repr)
+    assert {r.doc_id: r.doc_tokens for r in packing.pack(docs).collect()}[2] == 1
