@@ -1,4 +1,8 @@
-"""The corpus pipeline: toxicity, near duplicates, benchmark decontamination, personal data, packing."""
+"""The corpus pipeline: toxicity, near duplicates, benchmark decontamination, personal data, packing.
+
+Every stage judges rows by their own text: rows without an id are treated like others, repeated rows count as copies of one
+another, null and empty texts are clean, and columns stay whatever they are called. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +15,19 @@ from evidentia.llm.common import Scratch, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model rejects go; the model is fitted to the labelled ones among docs."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, prefix="_").where(~F.col("_toxic")).select(docs.columns)
+    return without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def without_toxic(docs: DataFrame, model: toxicity.Model | None) -> DataFrame:
+    """docs without the rows that the model rejects; its result columns get a prefix that no column of docs has."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return toxicity.score(docs, model, prefix=prefix).where(~F.col(f"{prefix}toxic")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
+    """One document of each near-duplicate group stays, the one with the smallest id (groups without ids keep one row, too)."""
     return ngram_join.keep_one(docs)
 
 
@@ -31,8 +42,8 @@ def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of what is left."""
-    return packing.pack(docs, with_ids=False)
+    """Training sequences of what is left: pieces with their token ids."""
+    return packing.pack(docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard", drop_near_duplicates), ("decontamination", drop_contaminated), ("pii", mask_personal), ("packing", pack)]
