@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import Scratch
+from evidentia.llm.common import Scratch, free_name
 
 #: Fixed masks over token positions: 1 is hashed, 0 is ignored. With every third, fourth, fifth, ... token substituted, at any
 #: phase, one of them still fits (tested); substitutions at random are found at the rates that the tests measure.
@@ -119,8 +119,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """
     scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
     bad = scratch.keep(scored_diagonals(docs, benchmark, id_col, text_col, item_col, item_text_col, LEAST_SCORE).select("_t").distinct(), "bad")
-    few = bad.count() <= BROADCAST_TEXTS
-    return docs.join(F.broadcast(bad) if few else bad, F.xxhash64(text_col) == F.col("_t"), "left_anti").select(docs.columns)
+    few, name = bad.count() <= BROADCAST_TEXTS, free_name(docs, "_t")
+    bad = bad.withColumnRenamed("_t", name)
+    return docs.join(F.broadcast(bad) if few else bad, F.xxhash64(text_col) == F.col(name), "left_anti").select(docs.columns)
 
 
 def oracle() -> str:
