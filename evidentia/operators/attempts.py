@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidentia.functions.metrics import best_f1, exact_match, failed
+
+
+def with_verdict(parsed: DataFrame, rule: str = "em") -> DataFrame:
+    """Attempts (answer, answers, predict) plus is_correct: an exact match ("em"), or a best F1 above 0 ("f1"); null for errors."""
+    good = {"em": lambda: exact_match(F.col("answer"), F.col("answers")), "f1": lambda: best_f1(F.col("answer"), F.col("answers"))["f1"] > 0}[rule]()
+    return parsed.withColumn("is_correct", F.when(~failed(F.col("predict")), F.coalesce(good, F.lit(False))))
+
 
 def truncate(attempts: DataFrame, k: int) -> DataFrame:
     """Per id the first correct attempt, else only attempt k."""

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from evidentia.functions.metrics import best_normal_f1, failed, joint_scores, normal_golds, row_lengths, supporting_fact_scores
 from evidentia.functions.text import extract_answer, extract_answer_tagged, extract_evidence, noise_coordinate, normalize_answer, relative_delta
 
-DEFAULT_TAGGED = frozenset({"copy_evidence", "deepseek", "find_facts"})
 
+def parsed(predictions: DataFrame, tagged_types: frozenset[str]) -> DataFrame:
+    """predictions (predict, prompt_type) plus answer and facts; prompt types in tagged_types answer between tags, others on a line.
 
-def parsed(predictions: DataFrame, tagged_types: frozenset[str] = DEFAULT_TAGGED) -> DataFrame:
-    """predictions (predict, prompt_type) plus answer and facts; prompt types in tagged_types answer between tags."""
+    The names are those of the run's own prompt types; there is no default, since a wrong guess would score 0.
+    """
     tagged = F.col("prompt_type").isin(sorted(tagged_types))
     return predictions.withColumn("answer", F.when(tagged, extract_answer_tagged(F.col("predict"))).otherwise(extract_answer(F.col("predict")))).withColumn("pred_facts", extract_evidence(F.col("predict")))
 

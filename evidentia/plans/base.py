@@ -56,6 +56,8 @@ def common(p: str, g: str) -> str:
 
 # Views ----------------------------------------------------------------------------------------------------------------
 
+#: The prompt type of the views whose answers stand between tags.
+TAGGED = frozenset({"copy_evidence"})
 OPEN, CLOSE = "<|EVIDENCE|>", "</|EVIDENCE|>"
 
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.functions.stem import english_stem
 from evidentia.operators import attempts as A
 from evidentia.operators import lookups, plugins, retrieval
 from evidentia.plans.base import ATTEMPTS, PREDICTIONS, TURNS, attempts, predictions, query, rounded, strip, table, turns
@@ -36,15 +37,16 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
     return A.first_success_histogram(attempts(spark, d), K)
 
 
-@query("a12_never_correct", f"WITH {ATTEMPTS} SELECT id FROM attempts WHERE attempt_idx <= 8 AND is_correct IS NOT NULL GROUP BY id HAVING NOT bool_or(is_correct)")
+@query("a12_never_correct", "SELECT user_id::VARCHAR AS id FROM events WHERE event_type <> 'error' GROUP BY user_id HAVING NOT bool_or(event_type = 'purchase' AND value > 150)")
 def a12(spark: SparkSession, d: str) -> DataFrame:
-    return A.never_correct(attempts(spark, d).where("attempt_idx <= 8"))
+    good = F.when(F.col("event_type") != "error", (F.col("event_type") == "purchase") & (F.col("value") > 150))
+    return A.never_correct(table(spark, d, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("attempt_idx"), good.alias("is_correct")))
 
 
-@query("x1_x3_set_algebra", """WITH v AS (SELECT DISTINCT user_id::VARCHAR AS id FROM events WHERE event_type = 'view' AND value > 90), p AS (SELECT DISTINCT user_id::VARCHAR AS id FROM events WHERE event_type = 'purchase' AND value > 90),
+@query("x1_x3_set_algebra", """WITH e AS (SELECT user_id || '-' || day(ts) AS id, event_type FROM events), v AS (SELECT DISTINCT id FROM e WHERE event_type = 'view'), p AS (SELECT DISTINCT id FROM e WHERE event_type = 'purchase'),
 u AS (SELECT id FROM v UNION SELECT id FROM p) SELECT id, id IN (SELECT id FROM v) AND id IN (SELECT id FROM p) AS in_both, id NOT IN (SELECT id FROM p) AS only_first FROM u""")
 def x1(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("value > 90").select(F.col("user_id").cast("string").alias("id"), "event_type")
+    e = table(spark, d, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), F.dayofmonth("ts").cast("string")).alias("id"), "event_type")
     v, p = e.where("event_type = 'view'"), e.where("event_type = 'purchase'")
     both = lookups.tag_subset(lookups.union_ids(v, p), lookups.intersect_ids(v, p), "in_both")
     return lookups.tag_subset(both, lookups.difference_ids(v, p), "only_first")
@@ -64,11 +66,11 @@ def x4(spark: SparkSession, d: str) -> DataFrame:
     return lookups.tag_subset(kept, lookups.keep_yes(kept), "yes").select("doc_id", "yes")
 
 
-@query("x9_audit", f"WITH {PREDICTIONS} SELECT p.id, p.dataset, p.predict AS run_predict, 'a' || (k.range) AS attempt FROM predictions p, range(1, 3) k WHERE p.conv_id % 10 = 0")
+@query("x9_audit", f"WITH {PREDICTIONS} SELECT p.id, p.dataset, p.predict AS run_predict, 'a' || (k.range) AS attempt FROM predictions p, range(1, 3) k WHERE starts_with(p.predict, 'ERROR:')")
 def x9(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d)
     log = p.select("id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("k")).select("id", F.concat(F.lit("a"), F.col("k").cast("string")).alias("attempt"))
-    return lookups.audit(p.select("id", "dataset"), log, p, p.where("conv_id % 10 = 0"))
+    return lookups.audit(p.select("id", "dataset"), log, p, p.where("predict like 'ERROR:%'"))
 
 
 # Retrieval --------------------------------------------------------------------------------------------------------------
@@ -90,60 +92,78 @@ _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
 _TOK = "list_filter(regexp_extract_all(lower({x}), '[\\p{L}\\p{N}_]{2,}'), lambda w: w NOT IN ({stop}))".replace("{stop}", _STOP)
 INDEX = f"""docs AS (SELECT min(doc_id) AS doc, text FROM documents GROUP BY text), terms AS (SELECT doc, unnest({_TOK.replace('{x}', 'text')}) AS term FROM docs), tf AS (SELECT doc, term, count(*) AS tf FROM terms GROUP BY ALL),
 lens AS (SELECT doc, sum(tf) AS doc_len FROM tf GROUP BY doc), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term), st AS (SELECT (SELECT count(*) FROM docs) AS n, (SELECT sum(doc_len) FROM lens) / (SELECT count(*) FROM docs) AS avgdl),
-asked AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TOK.replace('{x}', 'text')}) AS term FROM benchmark) GROUP BY ALL),
+asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOK.replace('{x}', 'query')}) AS term FROM queries) GROUP BY ALL),
 sc AS (SELECT query_id, tf.doc, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / avgdl))), 9) AS score FROM asked JOIN dfs USING (term) JOIN tf USING (term) JOIN lens ON lens.doc = tf.doc, st GROUP BY query_id, tf.doc),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM sc)"""
+ranked AS (SELECT query_id, docs.doc, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, docs.doc) AS rank FROM queries CROSS JOIN docs LEFT JOIN sc USING (query_id, doc))"""
+ITEMS = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+#: Short queries: the last word of each item, which few documents share.
+LAST_WORDS = "queries AS (SELECT item_id AS query_id, regexp_extract(text, '(\\S+)\\s*$', 1) AS query FROM benchmark)"
 
 
-def corpus_and_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def index_of(spark: SparkSession, d: str) -> retrieval.Index:
+    """Documents as a corpus, indexed once in the shared folder."""
     docs = table(spark, d, "documents")
-    corpus = retrieval.first_of_each_text(docs.select("doc_id", "text"), ["doc_id"])
-    return corpus, retrieval.postings(corpus)
+    return retrieval.write_index(retrieval.first_of_each_text(docs.select("doc_id", "text"), ["doc_id"]), scratch(spark, "index"))
 
 
-def ask(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
-    corpus, index = corpus_and_index(spark, d)
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return corpus, retrieval.bm25_topk(index, asked, k, corpus.agg(F.count("*").alias("n")))
+def items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-@query("c3_index", f"WITH {INDEX} SELECT term, df FROM dfs")
+@query("c3_index", f"WITH {ITEMS}, {INDEX} SELECT term, df FROM dfs")
 def c3(spark: SparkSession, d: str) -> DataFrame:
-    return corpus_and_index(spark, d)[1].groupBy("term").agg(F.count("*").alias("df"))
+    return index_of(spark, d).frequencies
+
+
+@query("c2_stemmed_index", f"WITH {ITEMS}, {INDEX} SELECT doc, sum(tf)::BIGINT AS n_tokens, max(doc_len)::BIGINT AS doc_len FROM tf JOIN lens USING (doc) GROUP BY doc")
+def c2(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    corpus = retrieval.first_of_each_text(docs.select("doc_id", "text"), ["doc_id"])
+    return retrieval.postings(corpus, stemmer=english_stem).groupBy("doc").agg(F.sum("tf").alias("n_tokens"), F.max("doc_len").alias("doc_len"))
 
 
-@query("c4_bm25_topk", f"WITH {INDEX} SELECT query_id, doc, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10")
+@query("c4_bm25_topk", f"WITH {ITEMS}, {INDEX} SELECT query_id, doc, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10")
 def c4(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ask(spark, d, 10)[1].select("query_id", "doc", F.col("rank").cast("long").alias("rank"), "score"))
+    return rounded(retrieval.bm25_topk(index_of(spark, d), items(spark, d), 10).select("query_id", "doc", F.col("rank").cast("long").alias("rank"), "score"))
 
 
-def gold_of(spark: SparkSession, d: str, corpus: DataFrame) -> DataFrame:
-    """Gold of a benchmark item: documents that contain it word for word. Candidates share its first long word with the document."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    longest = F.try_element_at(F.array_sort(F.transform(F.filter(retrieval.tokenize(F.col("item")), lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), F.lit(-1))["w"]
-    terms = corpus.select("doc_id", "text", "text_hash", F.explode(F.array_distinct(retrieval.tokenize(F.col("text")))).alias("term"))
-    found = items.select("query_id", "item", longest.alias("term")).join(terms, "term").where(F.col("text").contains(F.col("item")))
-    return found.select("query_id", F.col("doc_id").alias("doc"), "text_hash").distinct()
+@query("c4_short_queries", f"WITH {LAST_WORDS}, {INDEX} SELECT query_id, doc, rank, round(score, 6) AS score FROM ranked WHERE rank <= 20")
+def c4b(spark: SparkSession, d: str) -> DataFrame:
+    asked = items(spark, d).withColumn("query", F.regexp_extract("query", r"(\S+)\s*$", 1))
+    return rounded(retrieval.bm25_topk(index_of(spark, d), asked, 20).select("query_id", "doc", F.col("rank").cast("long").alias("rank"), "score"))
 
 
-GOLD = f"{INDEX}, gold AS (SELECT DISTINCT item_id AS query_id, doc FROM benchmark b JOIN docs ON contains(docs.text, b.text))"
+def gold_and_distractors(spark: SparkSession, d: str) -> tuple[retrieval.Index, DataFrame, DataFrame]:
+    """The index, each item's gold documents (those that contain it word for word) and its five distractors."""
+    index, asked = index_of(spark, d), items(spark, d)
+    gold = retrieval.holding(asked.withColumnRenamed("query", "text"), index).join(index.corpus.select(F.col("doc_id").alias("doc"), "text_hash"), "doc")
+    gold = kept(gold.select("query_id", "doc", "text_hash"), "gold")
+    hits = retrieval.bm25_topk(index, retrieval.distractor_depth(asked, gold, 5))
+    return index, gold, kept(retrieval.distractors(hits, gold, index.corpus, 5), "distractors")
 
 
-@query("c5_c6_distractors", f"WITH {GOLD}, leftover AS (SELECT r.query_id, r.doc, r.score FROM ranked r WHERE rank <= 25 AND NOT EXISTS (SELECT 1 FROM gold g WHERE g.query_id = r.query_id AND g.doc = r.doc)), x AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM leftover) SELECT query_id, doc, rank FROM x WHERE rank <= 5")
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, since several steps read it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+GOLD = f"""{ITEMS}, {INDEX}, gold AS (SELECT DISTINCT item_id AS query_id, doc FROM benchmark b JOIN docs ON contains(docs.text, b.text)), depth AS (SELECT query_id, 5 + count(doc) + {retrieval.MARGIN} AS k FROM queries LEFT JOIN gold USING (query_id) GROUP BY query_id),
+leftover AS (SELECT r.query_id, r.doc, r.score FROM ranked r JOIN depth USING (query_id) WHERE rank <= k AND NOT EXISTS (SELECT 1 FROM gold g WHERE g.query_id = r.query_id AND g.doc = r.doc)), x AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM leftover)"""
+
+
+@query("c5_c6_distractors", f"WITH {GOLD} SELECT query_id, doc, rank FROM x WHERE rank <= 5")
 def c6(spark: SparkSession, d: str) -> DataFrame:
-    corpus, hits = ask(spark, d, 25)
-    out = retrieval.distractors(hits, gold_of(spark, d, corpus), corpus, 5)
-    return out.select("query_id", "doc", F.col("rank").cast("long").alias("rank"))
+    return gold_and_distractors(spark, d)[2].select("query_id", "doc", F.col("rank").cast("long").alias("rank"))
 
 
-@query("c7_contexts", f"WITH {GOLD}, leftover AS (SELECT r.query_id, r.doc, r.score FROM ranked r WHERE rank <= 25 AND NOT EXISTS (SELECT 1 FROM gold g WHERE g.query_id = r.query_id AND g.doc = r.doc)), x AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM leftover), used AS (SELECT query_id, doc FROM x WHERE rank <= 5 UNION SELECT query_id, doc FROM gold) SELECT query_id, count(*)::INT AS n_docs, (sum(len(text)) + 2 * (count(*) - 1))::INT AS n_chars FROM used JOIN docs USING (doc) GROUP BY query_id")
+@query("c7_contexts", f"WITH {GOLD}, used AS (SELECT query_id, doc FROM x WHERE rank <= 5 UNION SELECT query_id, doc FROM gold) SELECT query_id, count(*)::INT AS n_docs, (sum(len(text)) + 2 * (count(*) - 1))::INT AS n_chars FROM used JOIN docs USING (doc) GROUP BY query_id")
 def c7(spark: SparkSession, d: str) -> DataFrame:
-    corpus, hits = ask(spark, d, 25)
-    gold = gold_of(spark, d, corpus)
-    extra = retrieval.distractors(hits, gold, corpus, 5)
-    context = retrieval.assemble(gold, extra, corpus)
-    n = gold.select("query_id", "doc").union(extra.select("query_id", "doc")).distinct().groupBy("query_id").agg(F.count("*").cast("int").alias("n_docs"))
-    return context.join(n, "query_id").select("query_id", "n_docs", F.length("context").alias("n_chars"))
+    index, gold, extra = gold_and_distractors(spark, d)
+    used = gold.select("query_id", "doc").union(extra.select("query_id", "doc")).distinct()
+    context = retrieval.assemble(gold, extra, index.corpus)
+    return context.join(used.groupBy("query_id").agg(F.count("*").cast("int").alias("n_docs")), "query_id").select("query_id", "n_docs", F.length("context").alias("n_chars"))
 
 
 # Joins ------------------------------------------------------------------------------------------------------------------
@@ -247,32 +267,63 @@ def n7(spark: SparkSession, d: str) -> DataFrame:
     return f.select("id", F.array_join("answers", "|").alias("answers"), F.array_join(F.array_sort("facts"), "|").alias("facts"))
 
 
-@query("n9_confiqa", f"""WITH g AS (SELECT source, list({{'q': doc_id, 'a': lang, 't': text}} ORDER BY doc_id) AS items FROM documents GROUP BY source), u AS (SELECT source, unnest(items) AS x, generate_subscripts(items, 1) - 1 AS pos FROM g)
-SELECT source || ':' || 'QA_counterfactual_' || pos AS id, array_to_string(list_sort(list_distinct([x.a, 'alias'])), '|') AS answers, len(list_filter(string_split(x.t, '. '), lambda s: {strip('s')} <> ''))::INT AS n_facts FROM u""")
+@query("n9_confiqa", f"""SELECT 'QA_counterfactual_' || doc_id AS id, array_to_string(list_sort(list_distinct([lang, 'alias'])), '|') AS answers, len(list_filter(string_split(text, '. '), lambda s: {strip('s')} <> ''))::INT AS n_facts FROM documents""")
 def n9(spark: SparkSession, d: str) -> DataFrame:
-    item = F.struct("doc_id", F.col("lang").alias("cf_answer"), F.array(F.lit("alias"), F.lit("")).alias("cf_alias"), F.col("text").alias("cf_context"), F.lit("q").alias("question"))
-    raw = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    # One source at a time is one file of the original; ids are numbered inside it.
-    out = adapters.confiqa(raw.withColumn("items", F.transform("items", lambda x: x.withField("question", F.col("source")))), "QA", "counterfactual")
-    return out.select(F.concat_ws(":", "query", "id").alias("id"), F.array_join("answers", "|").alias("answers"), F.size(F.get("corpus", F.lit(0))["facts"]).alias("n_facts"))
+    item = F.struct(F.col("lang").alias("cf_answer"), F.array(F.lit("alias"), F.lit("")).alias("cf_alias"), F.col("text").alias("cf_context"), F.lit("q").alias("question"))
+    out = adapters.confiqa(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), item.alias("x")), "QA", "counterfactual")
+    return out.select("id", F.array_join("answers", "|").alias("answers"), F.size(F.get("corpus", F.lit(0))["facts"]).alias("n_facts"))
 
 
-@query("n10_cited_answers", """WITH d AS (SELECT doc_id AS k, source, lang FROM documents), e AS (SELECT k, unnest([k, k + 1]) AS pmid FROM d), s AS (SELECT k AS pmid, source, lang FROM d)
-SELECT k::VARCHAR AS id, 'ev' || '|' || coalesce((SELECT lang FROM s WHERE s.pmid = d.k + 1), '') AS facts, (SELECT string_agg(coalesce(upper(source[1]) || lower(source[2:]) || ' ' || lang, ' '), '|' ORDER BY e.pmid::VARCHAR) FROM (SELECT pmid FROM e WHERE e.k = d.k UNION SELECT d.k + 2) e LEFT JOIN s ON s.pmid = e.pmid) AS context FROM d WHERE len(k::VARCHAR) = len((k + 2)::VARCHAR)""")
+@query("n10_cited_answers", """WITH d AS (SELECT doc_id AS k, source, lang FROM documents), e AS (SELECT DISTINCT k, unnest([k, k + 1, k + 2]) AS pmid FROM d), s AS (SELECT k AS pmid, source, lang FROM d),
+c AS (SELECT e.k, string_agg(coalesce(upper(source[1]) || lower(source[2:]) || ' ' || lang, ' '), chr(10) || chr(10) ORDER BY e.pmid::VARCHAR) AS context FROM e LEFT JOIN s USING (pmid) GROUP BY e.k)
+SELECT d.k::VARCHAR AS id, 'n1|' || d.lang AS answers, array_to_string(list_transform(list_sort([{'p': d.k::VARCHAR, 'x': 'ev'}, {'p': (d.k + 1)::VARCHAR, 'x': coalesce(s.lang, '')}]), lambda x: x.x), '|') AS facts, context FROM d JOIN c ON c.k = d.k LEFT JOIN s ON s.pmid = d.k + 1""")
 def n10(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("doc_id")
+    k, docs = F.col("doc_id"), table(spark, d, "documents")
     cite = F.struct(k.cast("string").alias("cited_pmid"), F.lit("supporting").alias("evidence_relation"), F.lit("ev").alias("evidence_support"))
     other = F.struct(k.cast("string").alias("cited_pmid"), F.lit("neutral").alias("evidence_relation"), F.lit("no").alias("evidence_support"))
     machine = F.struct(F.concat(F.lit("m ["), (k + 2).cast("string"), F.lit("]")).alias("answer"), F.lit(True).alias("is_answer_accurate"), F.array(F.struct(F.lit("required").alias("answer_sentence_relevance"), F.array(cite, other).alias("citation_assessment"))).alias("answer_sentences"))
-    docs = table(spark, d, "documents").where(F.length(k.cast("string")) == F.length((k + 2).cast("string")))
-    raw = docs.select(k.alias("question_id"), F.lit("q").alias("question"), F.concat(F.lit("x ["), k.cast("string"), F.lit(", "), (k + 1).cast("string"), F.lit("]")).alias("expert_curated_answer"), F.create_map(F.lit("m1"), machine).alias("machine_generated_answers"))
-    store = table(spark, d, "documents").select(k.cast("string").alias("pmid"), F.col("source").alias("title"), F.col("lang").alias("abstract"))
-    return adapters.cited_answers(raw, store).select("id", F.array_join("facts", "|").alias("facts"), F.array_join("context", "|").alias("context"))
+    raw = docs.select(k.alias("question_id"), F.lit("q").alias("question"), F.array(F.lit("n1"), F.col("lang")).alias("nuggets"), F.concat(F.lit("x ["), k.cast("string"), F.lit(", "), (k + 1).cast("string"), F.lit("]")).alias("expert_curated_answer"), F.create_map(F.lit("m1"), machine).alias("machine_generated_answers"))
+    store = docs.select(k.cast("string").alias("pmid"), F.col("source").alias("title"), F.col("lang").alias("abstract"))
+    return adapters.ADAPTERS["MedAESQA"](raw, store).select("id", F.array_join("answers", "|").alias("answers"), F.array_join("facts", "|").alias("facts"), "context")
+
+
+@query("u2_adapter_registry", "SELECT unnest(['MuSiQue', 'PopQA', 'FaithEval', 'ConFiQA', 'MedAESQA']) AS dataset, count(*) AS n, sum(len(text))::BIGINT AS chars FROM documents")
+def u2(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("q").alias("question"), "lang", "source", "text")
+    raw = {
+        "MuSiQue": (r.select("id", "question", F.col("lang").alias("answer"), F.array("text").alias("answer_aliases"), F.array(F.struct(F.col("source").alias("title"), F.lit("s.").alias("paragraph_text"), F.lit(True).alias("is_supporting"))).alias("paragraphs")),),
+        "PopQA": (r.select("id", "question", F.array("lang", "text").alias("answers"), F.array(F.struct(F.col("source").alias("title"), "text", F.lit(True).alias("hasanswer"))).alias("ctxs"), F.lit(1).alias("s_pop"), F.lit(2).alias("o_pop")),),
+        "FaithEval": (r.select("id", "question", F.col("text").alias("answer"), F.lit("j").alias("justification"), F.col("text").alias("context"), F.lit("A").alias("answerKey")),),
+        "ConFiQA": (r.select(F.col("id").alias("pos"), F.struct(F.col("text").alias("orig_answer"), F.array("lang").alias("orig_alias"), F.lit("c. d").alias("orig_context"), "question").alias("x")),),
+        "MedAESQA": (
+            r.select(F.col("id").alias("question_id"), "question", F.array("text").alias("nuggets"), F.lit("[1]").alias("expert_curated_answer"), F.expr("cast(map() as map<string,struct<answer:string,is_answer_accurate:boolean,answer_sentences:array<struct<answer_sentence_relevance:string,citation_assessment:array<struct<cited_pmid:string,evidence_relation:string,evidence_support:string>>>>>>)").alias("machine_generated_answers")),
+            r.select(F.col("id").cast("string").alias("pmid"), F.col("source").alias("title"), F.col("lang").alias("abstract")),
+        ),
+    }
+    samples = lookups.mixture(*(adapters.ADAPTERS[name](*args).select("dataset", "id", "answers") for name, args in raw.items()))
+    return samples.groupBy("dataset").agg(F.count("*").alias("n"), F.sum(F.aggregate("answers", F.lit(0), lambda n, a: F.greatest(n, F.length(a)))).alias("chars"))
+
+
+@query("n15_sample", "SELECT least(50, count(*)) AS n, least(50, count(*)) AS n_ids, true AS again FROM documents")
+def n15(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "source")
+    one, two = lookups.sample_rows(rows, 50), lookups.sample_rows(rows.repartition(3), 50)
+    both = one.join(two.withColumn("again", F.lit(True)).select("id", "again"), "id", "left")
+    return both.agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.bool_and(F.coalesce("again", F.lit(False))).alias("again"))
 
 
 # Sources and sinks: written to the shared folder and read back ------------------------------------------------------------
 
 
+#: Rows of one written JSON document at most, on average: groups that become one document each are cut into so many parts.
+SHARD_ROWS = 2000
+
+
+def sharded(df: DataFrame, key: str) -> DataFrame:
+    """df plus shard, a hash of the key in as many parts as keep any group below SHARD_ROWS rows on average."""
+    return df.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(df.count() // SHARD_ROWS + 1)))
+
+
 @query("s2_s5_jsonl_round_trip", f"WITH {TURNS} SELECT id, q AS query, ans AS predict FROM turns WHERE conv_id % 2 = 0")
 def s2(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "jsonl")
@@ -297,7 +348,7 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
 @query("s9_legacy_result", f"WITH {PREDICTIONS} SELECT model AS model_name, prompt_type, dataset, id, predict, array_to_string(answers, '|') AS answers, array_to_string(facts, '|') AS facts FROM predictions")
 def s9(spark: SparkSession, d: str) -> DataFrame:
     path, item = scratch(spark, "legacy"), F.struct("predict", F.col("answers").alias("answer"), F.col("facts").alias("sfs"), F.col("t").alias("context"))
-    runs = predictions(spark, d).groupBy("model", "prompt_type", "dataset").agg(F.map_from_entries(F.collect_list(F.struct("id", item))).alias("data"))
+    runs = sharded(predictions(spark, d), "id").groupBy("model", "prompt_type", "dataset", "shard").agg(F.map_from_entries(F.collect_list(F.struct("id", item))).alias("data"))
     runs.select(F.struct(F.col("model").alias("model_name"), "prompt_type", "dataset").alias("info"), "data").write.option("maxRecordsPerFile", 1).json(path)
     return readers.read_legacy_result(spark, path).select("model_name", "prompt_type", "dataset", "id", "predict", F.array_join("answers", "|").alias("answers"), F.array_join("facts", "|").alias("facts"))
 
@@ -306,7 +357,7 @@ def s9(spark: SparkSession, d: str) -> DataFrame:
 def s12(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "rollouts")
     row = F.struct(F.col("user_id").alias("step"), F.lit("c").alias("completion"), F.struct(F.array("event_type").alias("answers"), F.col("event_type").alias("dataset"), F.col("event_id").cast("string").alias("id")).alias("solution"), F.col("value").alias("AnswerEMReward"))
-    table(spark, d, "events").groupBy("user_id").agg(F.collect_list(row).alias("rowData")).select("rowData").write.option("maxRecordsPerFile", 1).json(path)
+    sharded(table(spark, d, "events"), "event_id").groupBy("user_id", "shard").agg(F.collect_list(row).alias("rowData")).select("rowData").write.option("maxRecordsPerFile", 1).json(path)
     return rounded(readers.read_rollout_logs(spark, path).select("solution.id", "solution.dataset", "step", F.col("AnswerEMReward").alias("reward")))
 
 
@@ -351,11 +402,11 @@ def u3(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "predict", plugins.token_counter(lambda t: len(t.split()))(F.col("ans")).alias("tokens"))
 
 
-@query("s1_json_documents", "SELECT doc_id, source FROM documents WHERE doc_id % 10 = 0")
+@query("s1_json_documents", "SELECT doc_id, source FROM documents")
 def s1(spark: SparkSession, d: str) -> DataFrame:
     path, row = scratch(spark, "json"), F.struct("doc_id", "source")
-    # One document for each source, with the rows in a field.
-    docs = table(spark, d, "documents").where("doc_id % 10 = 0").groupBy("source").agg(F.collect_list(row).alias("data"))
+    # A few documents for each source, with the rows in a field.
+    docs = sharded(table(spark, d, "documents"), "doc_id").groupBy("source", "shard").agg(F.collect_list(row).alias("data"))
     docs.select("data").write.option("maxRecordsPerFile", 1).json(path)
     return readers.read_json(spark, path, "data array<struct<doc_id:bigint,source:string>>", "data")
 
@@ -404,16 +455,46 @@ def s11(spark: SparkSession, d: str) -> DataFrame:
 def s13(spark: SparkSession, d: str) -> DataFrame:
     path, k, docs = scratch(spark, "squad"), F.col("doc_id"), table(spark, d, "documents")
     answers = F.when(k % 2 == 0, F.array(F.struct(F.col("source").alias("text")))).otherwise(F.expr("cast(array() as array<struct<text:string>>)"))
-    qas = docs.groupBy("source").agg(F.collect_list(F.struct(k.cast("string").alias("id"), answers.alias("answers"))).alias("qas"))
+    qas = sharded(docs, "doc_id").groupBy("source", "shard").agg(F.collect_list(F.struct(k.cast("string").alias("id"), answers.alias("answers"))).alias("qas"))
     qas.select(F.array(F.struct(F.array(F.struct("qas")).alias("paragraphs"))).alias("data")).write.option("maxRecordsPerFile", 1).json(path)
     preds = docs.where("doc_id % 5 <> 0").select(k.cast("string").alias("qid"), F.col("lang").alias("text"))
     probs = docs.where("doc_id % 3 = 0").select(k.cast("string").alias("qid"), F.lit(0.25).alias("p"))
     return readers.read_squad(spark, path, preds, probs).select("qid", "has_ans", "pred", "na_prob")
 
 
-@query("c8_locate_across", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents), q AS (SELECT item_id AS text_id, string_split(text, chr(10))[1] AS q FROM benchmark) SELECT text_id, min(doc_id) AS para, arg_min(k, (doc_id, k))::INT AS sent_id FROM q JOIN l ON contains(l.s, trim(q.q)) WHERE len(string_split(trim(q.q), ' ')) > 3 GROUP BY text_id")
+C8_TEXTS = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+q AS (SELECT item_id || ':' || generate_subscripts(string_split(text, chr(10)), 1) AS text_id, unnest(string_split(text, chr(10))) AS q FROM benchmark)"""
+
+
+@query("c8_locate_across", f"WITH {C8_TEXTS} SELECT text_id, min(doc_id) AS para, arg_min(k, (doc_id, k))::INT AS sent_id FROM (SELECT text_id, {strip('q')} AS q FROM q) q JOIN l ON contains(l.s, q.q) WHERE q.q <> '' GROUP BY text_id")
 def c8b(spark: SparkSession, d: str) -> DataFrame:
-    sents = table(spark, d, "documents").select(F.col("doc_id").alias("para"), F.posexplode(F.split("text", "\n")).alias("sent_id", "sentence"))
-    texts = table(spark, d, "benchmark").select(F.col("item_id").alias("text_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("text"))
-    long = F.size(F.split(F.trim("text"), " ")) > 3
-    return retrieval.locate_across(texts.where(long), sents)
+    texts = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("k", "text")).select(F.concat_ws(":", F.col("item_id").cast("string"), (F.col("k") + 1).cast("string")).alias("text_id"), "text")
+    return retrieval.locate_across(texts, lines_of(spark, d))
+
+
+def lines_of(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("para"), F.posexplode(F.split("text", "\n")).alias("sent_id", "sentence"))
+
+
+@query("c8_short_texts", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents), w AS (SELECT item_id, regexp_extract_all(text, '\\S+') AS w FROM benchmark),
+q AS (SELECT item_id || 'a' AS text_id, w[1][2:4] AS q FROM w UNION ALL SELECT item_id || 'b', w[2] FROM w UNION ALL SELECT item_id || 'c', w[2][2:] || ' ' || w[3][1:2] FROM w UNION ALL SELECT item_id || 'd', w[4] || ' ' || w[5] FROM w)
+SELECT text_id, min(doc_id) AS para, arg_min(k, (doc_id, k))::INT AS sent_id FROM q JOIN l ON contains(l.s, trim(q.q)) WHERE trim(q.q) <> '' GROUP BY text_id""")
+def c8c(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of one and two words, and parts of words, from the items."""
+    w = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    at = lambda k: F.get(w, F.lit(k))
+    some = {"a": F.substring(at(0), 2, 3), "b": at(1), "c": F.concat(F.substring(at(1), 2, 1 << 20), F.lit(" "), F.substring(at(2), 1, 2)), "d": F.concat(at(3), F.lit(" "), at(4))}
+    rows = F.array(*(F.struct(F.lit(k).alias("k"), v.alias("text")) for k, v in some.items()))
+    texts = table(spark, d, "benchmark").select("item_id", F.explode(rows).alias("r")).select(F.concat(F.col("item_id").cast("string"), "r.k").alias("text_id"), "r.text")
+    return retrieval.locate_across(texts, lines_of(spark, d))
+
+
+@query("s10_eval_summaries", f"WITH {PREDICTIONS} SELECT 'p_' || dataset AS method, dataset, (count(*) + 1)::INT AS total_samples, '20250102030406' AS run_ts FROM predictions GROUP BY dataset")
+def s10(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs of each data set; the summaries of the later ones are read."""
+    root = scratch(spark, "summaries")
+    found = predictions(spark, d).groupBy("dataset").agg(F.count("*").cast("int").alias("total_samples")).withColumn("prompt_type", F.lit("rag"))
+    for run, ts in enumerate(("20250102030405", "20250102030406")):
+        for name in sorted(r[0] for r in found.select("dataset").collect()):  # a handful of summaries
+            found.where(F.col("dataset") == name).withColumn("total_samples", F.col("total_samples") + run).write.json(f"{root}/m/seed_1/tpr_0.5/prompt_p_{name}/{name}-noise_8-answerable/{ts}")
+    return readers.read_eval_summaries(spark, root, "part-*").select("method", "dataset", "total_samples", "run_ts")

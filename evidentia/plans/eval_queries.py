@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from evidentia.functions import metrics as M
 from evidentia.functions import rewards as R
 from evidentia.functions.text import extract_evidence
+from evidentia.operators import attempts as A
 from evidentia.operators import lookups, reports, squad
-from evidentia.plans.base import ANSWERS, ATTEMPTS, METHODS, PREDICTIONS, SCORED, answers_table, attempts, method_scores, norm, predictions, query, rounded, strip, table
+from evidentia.plans.base import ANSWERS, ATTEMPTS, METHODS, PREDICTIONS, SCORED, TAGGED, answers_table, attempts, method_scores, norm, predictions, query, rounded, strip, table
 
 LANGS = ["de", "en", "es", "fr"]
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return reports.scored(reports.parsed(predictions(spark, d), frozenset({"copy_evidence"})))
+    return reports.scored(reports.parsed(predictions(spark, d), TAGGED))
 
 
 def r6(*cols: str) -> str:
@@ -33,7 +34,7 @@ def m1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m3_hit_answer", f"WITH {SCORED} SELECT id, answers[list_position(list_transform(ng, lambda g: contains({norm("coalesce(answer, '')")}, g)), true)] AS hit_gold FROM scored")
 def m3(spark: SparkSession, d: str) -> DataFrame:
-    p = reports.parsed(predictions(spark, d), frozenset({"copy_evidence"}))
+    p = reports.parsed(predictions(spark, d), TAGGED)
     return p.select("id", M.hit_answer(F.col("answer"), F.col("answers")).alias("hit_gold"))
 
 
@@ -200,13 +201,15 @@ def rewarded(spark: SparkSession, d: str) -> DataFrame:
     return predictions(spark, d).withColumn("golds", F.transform("facts", lambda s: F.array(s)))
 
 
-@query("r1_r7_structure", f"""WITH {REWARDED} SELECT id, valid, think, rans AS answer, ev1 AS evidence, array_to_string(pfacts, '|') AS facts, true AS balanced,
+@query("r1_r7_structure", f"""WITH {REWARDED} SELECT id, valid, think, rans AS answer, ev1 AS evidence, array_to_string(pfacts, '|') AS facts, conv_id % 3 = 2 AS balanced,
 (0.5 * valid::INT + 0.25 * (coalesce(think, '') <> '')::INT + 0.25 * (coalesce(rans, '') <> '')::INT)::DOUBLE AS format,
 (0.6 * (valid AND len(coalesce(think, '')) > len(coalesce(rans, '')))::INT + 0.4 * (coalesce(think, '') <> '' AND len(think) > 2 * coalesce(list_sum(list_transform(pfacts, lambda s: len(s))), 0))::INT)::DOUBLE AS length FROM st""")
 def r1(spark: SparkSession, d: str) -> DataFrame:
     p = rewarded(spark, d)
     s, c = R.structure(F.col("predict")), F.col("predict")
-    return rounded(p.select("id", s["valid"].alias("valid"), s["think"].alias("think"), s["answer"].alias("answer"), R.evidence_ok(s["think"]).alias("evidence"), F.array_join(R.predicted_facts(s["think"]), "|").alias("facts"), R.tags_balanced(c).alias("balanced"), R.format_reward(c).alias("format"), R.length_reward(c).alias("length")))
+    # One tag too many at the end of two thirds of the texts: an open one, and one that closes nothing.
+    broken = F.when(F.col("conv_id") % 3 == 0, "<Answer>").when(F.col("conv_id") % 3 == 1, "</think>").otherwise("")
+    return rounded(p.select("id", s["valid"].alias("valid"), s["think"].alias("think"), s["answer"].alias("answer"), R.evidence_ok(s["think"]).alias("evidence"), F.array_join(R.predicted_facts(s["think"]), "|").alias("facts"), R.tags_balanced(F.concat(c, broken)).alias("balanced"), R.format_reward(c).alias("format"), R.length_reward(c).alias("length")))
 
 
 _COPY = f"""{REWARDED}, gg AS (SELECT *, list_transform(facts, lambda s: {norm('s')}) AS gn FROM st), pf AS (SELECT id AS pid, unnest(pfacts) AS f FROM gg),
@@ -285,3 +288,18 @@ def w2(spark: SparkSession, d: str) -> DataFrame:
     from evidentia.operators.attempts import wrong_answer_memory
 
     return wrong_answer_memory(attempts(spark, d), 5).select("id", "attempt_idx", F.array_join("tips_wrong_answer", ",").alias("wrong"), "tips_used", "received_tips")
+
+
+@query("r19_fact_sentences", "SELECT doc_id, array_to_string([string_split(text, chr(10))[1], lang, string_split(text, chr(10))[1]], '|') AS facts FROM documents")
+def r19(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    title, sents = F.array("source", F.lit("other"), F.col("source")), F.array(F.split("text", "\n"), F.array("lang"), F.array(F.lit("of the second of equal titles")))
+    asked = F.array("source", F.lit("unknown"), F.lit("other"), F.lit("other"), F.col("source")), F.array(*map(F.lit, (0, 0, 0, 7, 0)))
+    return docs.select("doc_id", F.array_join(R.fact_sentences(title, sents, *asked), "|").alias("facts"))
+
+
+@query("w3_verdicts", f"WITH {SCORED} SELECT id, CASE WHEN NOT starts_with(predict, 'ERROR:') THEN em > 0 END AS by_em, CASE WHEN NOT starts_with(predict, 'ERROR:') THEN filled AND bf > 0 END AS by_f1 FROM scored")
+def w3(spark: SparkSession, d: str) -> DataFrame:
+    rows = reports.parsed(predictions(spark, d), TAGGED)
+    em = A.with_verdict(rows, "em").select("id", F.col("is_correct").alias("by_em"))
+    return em.join(A.with_verdict(rows, "f1").select("id", F.col("is_correct").alias("by_f1")), "id")

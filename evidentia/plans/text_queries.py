@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import metrics as M
 from evidentia.functions import prompts as P
 from evidentia.functions import text as T
-from evidentia.plans.base import PARSED, TURNS, norm, predictions, query, rounded, squeeze, strip, table, turns
+from evidentia.plans.base import PARSED, TAGGED, TURNS, norm, predictions, query, rounded, squeeze, strip, table, turns
 from evidentia.operators import reports
 
 D = "documents"
@@ -40,9 +40,9 @@ def t7(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, D).select("doc_id", F.size(s).alias("n_sentences"), F.array_join(F.slice(s, 1, 3), "|").alias("first"), F.array_join(F.slice(n, 1, 3), "|").alias("naive"))
 
 
-@query("t8_quoted_span", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || ' no ' ELSE string_split(text, ' ')[1] END AS quoted FROM documents")
+@query("t8_quoted_span", """SELECT doc_id, CASE WHEN regexp_matches(t, '(?s)''.*?''') THEN regexp_extract(t, '(?s)''(.*?)''', 1) ELSE t END AS quoted FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE text || ' ''' || source || ''' and ''b''' END AS t FROM documents)""")
 def t8(spark: SparkSession, d: str) -> DataFrame:
-    text = F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit(" no "))).otherwise(F.concat(F.lit("so '"), F.get(F.split("text", " "), F.lit(0)), F.lit("' and 'b'")))
+    text = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" '"), "source", F.lit("' and 'b'")))
     return table(spark, d, D).select("doc_id", T.quoted(text).alias("quoted"))
 
 
@@ -125,14 +125,14 @@ def t21(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m10_strict_copy", f"""WITH {PARSED} SELECT id, (contains(lower(ans), lower(coalesce({strip('answer')}, '~'))) AND len(pred_facts) > 0 AND len(list_filter(pred_facts, lambda s: NOT contains(t, s))) = 0)::INT AS strict FROM answered""")
 def m10(spark: SparkSession, d: str) -> DataFrame:
-    p = reports.parsed(predictions(spark, d))
+    p = reports.parsed(predictions(spark, d), TAGGED)
     return p.select("id", M.strict_copy(F.col("answer"), F.col("ans"), F.col("pred_facts"), F.col("t")).alias("strict"))
 
 
-@query("x6_x7_containment", """WITH l AS (SELECT doc_id, list_distinct(list_transform(string_split(text, chr(10)), lambda s: s[1:12])) AS a FROM documents)
+@query("x6_x7_containment", """WITH l AS (SELECT doc_id, list_distinct(string_split(text, chr(10))) AS a FROM documents)
 SELECT doc_id, array_to_string(list_sort(list_filter(a, lambda x: len(list_filter(a, lambda y: y <> x AND contains(y, x))) = 0)), '|') AS longest, array_to_string(list_sort(list_filter(a, lambda x: len(list_filter(a, lambda y: y <> x AND contains(x, y))) = 0)), '|') AS shortest FROM l""")
 def x6(spark: SparkSession, d: str) -> DataFrame:
-    lines = F.transform(F.split("text", "\n"), lambda s: F.substring(s, 1, 12))
+    lines = F.split("text", "\n")
     return table(spark, d, D).select("doc_id", F.array_join(F.array_sort(T.maximal(lines)), "|").alias("longest"), F.array_join(F.array_sort(T.minimal(lines)), "|").alias("shortest"))
 
 

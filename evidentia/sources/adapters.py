@@ -29,8 +29,8 @@ def _extra(**values: Column) -> Column:
     return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v.cast("string")))) if values else F.expr("cast(map() as map<string,string>)")
 
 
-def _sample(df: DataFrame, dataset: str, id_: Column, query: Column, answers: Column, corpus: Column, extra: Column) -> DataFrame:
-    return df.select(F.lit(dataset).alias("dataset"), id_.cast("string").alias("id"), query.alias("query"), F.coalesce(answers, F.expr(NO_STRINGS)).alias("answers"), corpus.alias("corpus"), extra.alias("extra"))
+def _sample(df: DataFrame, dataset: str, id_: Column, query: Column, answers: Column, corpus: Column, extra: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    return df.select(F.lit(dataset).alias("dataset"), id_.cast("string").alias("id"), query.alias("query"), F.coalesce(answers, F.expr(NO_STRINGS)).alias("answers"), corpus.alias("corpus"), extra.alias("extra"), *keep)
 
 
 def finish(samples: DataFrame) -> DataFrame:
@@ -106,19 +106,18 @@ def faitheval(raw: DataFrame) -> DataFrame:
 
 
 def confiqa(raw: DataFrame, subset: str = "QA", mode: str = "original") -> DataFrame:
-    """Raw is one row with the source array ``items``, whose order gives the row numbers; all sentences are facts."""
+    """Raw is the source's rows (pos, x), pos being the row number from 0; all sentences are facts."""
     prefix = {"original": "orig", "counterfactual": "cf"}[mode]
-    rows = raw.select(F.posexplode("items").alias("pos", "x"))
     main, alias = F.col(f"x.{prefix}_answer"), F.coalesce(f"x.{prefix}_alias", F.expr(NO_STRINGS))
     answers = F.when(F.coalesce(main, F.lit("")) != "", F.array_sort(F.array_distinct(F.filter(F.concat(F.array(main), alias), lambda a: F.coalesce(a, F.lit("")) != ""))))
     id_, s = F.concat_ws("_", F.lit(subset), F.lit(mode), F.col("pos").cast("string")), naive_sentences(F.coalesce(f"x.{prefix}_context", F.lit("")))
-    return _sample(rows, "ConFiQA", id_, F.col("x.question"), answers, F.array(_paragraph(F.concat(F.lit("Context_"), id_), s, s)), _extra())
+    return _sample(raw, "ConFiQA", id_, F.col("x.question"), answers, F.array(_paragraph(F.concat(F.lit("Context_"), id_), s, s)), _extra())
 
 
 def cited_answers(raw: DataFrame, store: DataFrame) -> DataFrame:
-    """(id, query, context, facts) from expert and machine answers and the abstract store.
+    """Canonical samples with context and facts from expert and machine answers, nuggets (the answers) and the abstract store.
 
-    Context: abstracts of all cited papers. Facts: evidence of supporting citations in required sentences of accurate
+    There is no paragraph table: corpus is empty, context is made of abstracts, so ``finish`` is not called. Context: abstracts of all cited papers. Facts: evidence of supporting citations in required sentences of accurate
     answers, plus abstracts of the expert's citations that those leave out. Both sorted by paper id and text.
     """
     machine = raw.select("question_id", F.explode(F.map_values("machine_generated_answers")).alias("m"))
@@ -131,10 +130,13 @@ def cited_answers(raw: DataFrame, store: DataFrame) -> DataFrame:
     listed = lambda df, value: df.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pmid", value.alias("x")))), lambda s: s["x"]).alias("x"))
     context = listed(abstracts_for(every, store), F.concat_ws(" ", capital, F.col("abstract"))).withColumnRenamed("x", "context")
     facts = listed(supporting.union(left_out), F.col("fact")).withColumnRenamed("x", "facts")
-    return raw.select("question_id", F.col("question").alias("query")).join(context, "question_id", "left").join(facts, "question_id", "left").select(F.col("question_id").cast("string").alias("id"), "query", "context", "facts")
+    rows = raw.select("question_id", "question", "nuggets").join(context, "question_id", "left").join(facts, "question_id", "left")
+    corpus = F.expr("cast(array() as array<struct<title:string,sentences:array<string>,facts:array<string>>>)")
+    sample = _sample(rows, "MedAESQA", F.col("question_id"), F.col("question"), F.col("nuggets"), corpus, _extra(), ("context", "facts"))
+    return sample.withColumns({"context": F.coalesce(F.array_join("context", "\n\n"), F.lit("")), "facts": F.coalesce("facts", F.expr(NO_STRINGS))})
 
 
-#: Dataset name -> adapter of a raw DataFrame.
-ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "HotpotQA": hotpotqa, "2WikiMultiHopQA": two_wiki, "MuSiQue": musique, "MultiRC": multirc, "PopQA": popqa, "PubMedQA": pubmedqa, "Qasper": qasper, "FaithEval": faitheval, "ConFiQA": confiqa,
+#: Dataset name -> adapter of a raw DataFrame (that of MedAESQA also takes the abstract store, and adds context and facts itself).
+ADAPTERS: dict[str, Callable[..., DataFrame]] = {
+    "HotpotQA": hotpotqa, "2WikiMultiHopQA": two_wiki, "MuSiQue": musique, "MultiRC": multirc, "PopQA": popqa, "PubMedQA": pubmedqa, "Qasper": qasper, "FaithEval": faitheval, "ConFiQA": confiqa, "MedAESQA": cited_answers,
 }

@@ -98,9 +98,9 @@ def read_legacy_result(spark: SparkSession, path: str) -> DataFrame:
     return item.select("model_name", "prompt_type", F.coalesce("v.dataset", "_d").alias("dataset"), "id", "v.predict", F.coalesce("v.answers", "v.answer").alias("answers"), F.coalesce("v.facts", "v.sfs").alias("facts"), "v.context")
 
 
-def read_eval_summaries(spark: SparkSession, root: str) -> DataFrame:
-    """Evaluation summaries below root, the latest of each method and dataset."""
-    df = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_eval.json").schema(SUMMARY).json(root)
+def read_eval_summaries(spark: SparkSession, root: str, pattern: str = "*_eval.json") -> DataFrame:
+    """Evaluation summaries below root (files of that name pattern), the latest of each method and dataset."""
+    df = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).schema(SUMMARY).json(root)
     said = run_path(F.col("_metadata.file_path"))
     rows = df.select("*", said["prompt_type"].alias("method"), said["run_ts"].alias("run_ts")).withColumn("dataset", base_dataset(F.col("dataset")))
     return latest(rows, ["method", "dataset"])

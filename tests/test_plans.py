@@ -36,3 +36,10 @@ def test_formatted_cache_reads_wanted_partitions(spark, tmp_path):
 
 def test_topk_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(plans.queries()["c4_bm25_topk"](spark, DATA))
+
+
+def test_retrieval_reads_the_index_and_not_the_texts(spark):
+    p = plan(plans.queries()["c7_contexts"](spark, DATA))
+    assert p.count("FileScan") <= 14 and "documents.parquet" not in p
+    p = plan(plans.queries()["c4_bm25_topk"](spark, DATA))
+    assert p.count("FileScan") <= 6 and "documents.parquet" not in p

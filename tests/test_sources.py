@@ -1,10 +1,12 @@
 """Readers on small files, and operators that have no table of the driver's."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from evidentia.functions.stem import english_stem
 from evidentia.operators import lookups, plugins, retrieval
 from evidentia.sources import adapters, readers
 
@@ -95,12 +97,39 @@ def test_locate_across(spark):
     assert {tuple(r) for r in retrieval.locate_across(texts, sents).collect()} == {(1, 0, 0), (3, 1, 2)}
 
 
-def test_stemmer_hook(spark):
-    corpus = spark.createDataFrame([("d1", "cats running"), ("d2", "cat runs")], "doc_id string, text string")
-    stem = lambda w: w[:3]
-    index = retrieval.postings(corpus, stemmer=stem)
-    q = spark.createDataFrame([("q", "cat")], "query_id string, query string")
-    assert retrieval.bm25_topk(index, q, 5, corpus.agg(F.count("*").alias("n")), stemmer=stem).count() == 2
+def test_locate_across_finds_short_texts(spark):
+    lines = ["Paris is in France", "In New  York and New York, too", "a b", "", "x", "fox jumps"]
+    texts = ["Paris", "New York", "aris", "w  Yo", "w York", "k and N", "x", "a b", " too ", "b a", "", "ox jump", "In", "jumps"]
+    sents = spark.createDataFrame([(k, 0, t) for k, t in enumerate(lines)], "para int, sent_id int, sentence string")
+    want = {(t, next(k for k, x in enumerate(lines) if t.strip() in x)) for t in texts if t.strip() and any(t.strip() in x for x in lines)}
+    got = retrieval.locate_across(spark.createDataFrame([(t, t) for t in texts], "text_id string, text string"), sents).collect()
+    assert {(r.text_id, r.para) for r in got} == want and len(got) == len(want)
+
+
+def test_stemmed_index_and_filling_up(spark, tmp_path):
+    corpus = spark.createDataFrame([("d1", "cats running"), ("d2", "cat runs"), ("d3", "dogs"), ("d0", "")], "doc_id string, text string")
+    index = retrieval.write_index(corpus, str(tmp_path), english_stem)
+    q = spark.createDataFrame([("q", "running cat"), ("none", "the zebra"), ("empty", "")], "query_id string, query string")
+    got = {}
+    for r in retrieval.bm25_topk(index, q, 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc, r.score > 0))
+    assert {k: sorted(v) for k, v in got.items()} == {"q": [(1, "d1", True), (2, "d2", True), (3, "d0", False)], "none": [(1, "d0", False), (2, "d1", False), (3, "d2", False)], "empty": [(1, "d0", False), (2, "d1", False), (3, "d2", False)]}
+    assert retrieval.bm25_topk(index, q, 9).count() == 12
+    own = q.withColumn("k", F.when(F.col("query_id") == "q", 1).otherwise(2))
+    assert {r.query_id: r["count"] for r in retrieval.bm25_topk(index, own).groupBy("query_id").count().collect()} == {"q": 1, "none": 2, "empty": 2}
+
+
+STEMS = """consign consigned consigning consignment:consign consist consisted consistency consistent consistently:consist consolatory:consolatori consolidate:consolid knackeries:knackeri knavish:knavish kneeling:kneel
+knots knotted:knot generously:generous generate:generat communities:communiti skies:sky dying:die hopping:hop hoping:hope tied:tie cries cry:cri gas:gas gaps:gap kiwis:kiwi relational:relat conditional:condit predication:predic operator:oper
+decisiveness:decis triplicate:triplic electrical:electr hopeful:hope goodness:good revival:reviv inference:infer adjustable:adjust replacement:replac adoption:adopt effective:effect probate:probat rate:rate cease:ceas controll:control
+roll:roll by:by say:say succeed:succeed inning:inning youth:youth boyish:boyish fluently:fluentli"""
+
+
+@pytest.mark.parametrize("line", STEMS.split("\n"))
+def test_published_stems(line):
+    for group in re.findall(r"[^:]+:\S+", line):
+        words, stem = group.split(":")
+        assert {english_stem(w) for w in words.split()} == {stem}
 
 
 def test_missing_and_sampling(spark):
