@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,15 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def as_text(id_col: str) -> Column:
+    """An id on its way through pandas, which would turn integers next to nulls into floats and lose digits; cast it back afterwards."""
+    return F.col(id_col).cast("string")
+
+
+def kind_of(df: DataFrame, id_col: str) -> str:
+    return df.select(id_col).schema[0].dataType.simpleString()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with as many underscores as it takes to be none of df's columns."""
     taken = {c.lower() for c in df.columns}

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import Scratch, free_name
+from evidentia.llm.common import Scratch, as_text, free_name, kind_of
 
 WORDS = 5
 #: Fragments of the global order; a row holds a document's shingles of one of them.
@@ -69,8 +69,6 @@ def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, a hash of id and text that names the row, the class key (hi, lo), n, and the prefix of the set in hash order."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in in_slices(batches):
             sets = [shingles(t) for t in batch["_text"]]
@@ -78,7 +76,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             prefix = [s[: len(s) - (4 * len(s) + 4) // 5 + max(1, len(s) // EXTRA)] for s in sets]
             yield pd.DataFrame({"_id": batch["_id"], "_r": batch["_r"], "hi": [k[0] for k in keys], "lo": [k[1] for k in keys], "n": [len(s) for s in sets], "prefix": prefix})
 
-    return named(docs, id_col, text_col).mapInPandas(run, f"_id {kind}, _r long, hi long, lo long, n long, prefix array<long>")
+    sent = named(docs, id_col, text_col).withColumn("_id", as_text("_id"))
+    return sent.mapInPandas(run, "_id string, _r long, hi long, lo long, n long, prefix array<long>").withColumn("_id", F.col("_id").cast(kind_of(docs, id_col)))
 
 
 def fragments(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.common import as_text, kind_of
+
 CAPACITY = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
@@ -183,9 +185,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     the same sequences. Null texts count as empty and give one end token; repeated rows are packed as often as they
     come; null ids are kept; other columns are ignored; an empty table gives no rows.
     """
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    columns = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    columns = ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+    schema = "_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -205,10 +206,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             sequences += max((p[3] for p in pieces), default=-1) + 1
             held.clear()
             tokens = 0
-            return pd.DataFrame(rows, columns=columns).astype({id_col: "object"})
+            return pd.DataFrame(rows, columns=columns).astype({"_id": "object"})
 
         for batch in batches:
-            keys, texts = batch[id_col].array, [x or "" for x in batch[text_col].array]
+            keys, texts = batch["_id"].array, batch["_text"].array
             ends = np.cumsum([len(x) for x in texts]) // READ_CHARS
             for at in np.unique(ends):
                 rows = np.flatnonzero(ends == at)
@@ -222,7 +223,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             yield flush()
         encode.trim()  # the worker may serve other jobs next
 
-    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).mapInPandas(run, schema)
+    sent = docs.select(as_text(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return sent.mapInPandas(run, schema).select(F.col("_id").cast(kind_of(docs, id_col)).alias(id_col), *columns[1:])
 
 
 def report(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

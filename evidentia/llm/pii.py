@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import Scratch
+from evidentia.llm.common import Scratch, as_text, kind_of
 
 KINDS = ["email", "ip", "card", "phone"]
 ADDED = ["secret", "contact"]
@@ -199,8 +199,6 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratc
     rows and null ids are kept; other columns are ignored; an empty table gives no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession, "pii")
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             base, found = [], []
@@ -210,11 +208,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratc
                 found.append([{"kind": k, "start": a, "end": b, "votes": v, "shape": s} for k, a, b, v, s in candidates(text, own)])
             yield pd.DataFrame({"_id": batch["_id"], "base": base, "found": found})
 
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    spans = scratch.keep(texts.mapInPandas(run, f"_id {kind}, base array<{SPAN}>, found array<struct<kind:string,start:int,end:int,votes:string,shape:string>>"), "spans")
+    texts = docs.select(as_text(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    spans = scratch.keep(texts.mapInPandas(run, f"_id string, base array<{SPAN}>, found array<struct<kind:string,start:int,end:int,votes:string,shape:string>>"), "spans")
     patterns = spans.select(F.explode("found").alias("f")).groupBy("f.kind", "f.votes", "f.shape").count().collect()
     model = fit([tuple(r) for r in patterns])
-    return spans.select(F.col("_id").alias(id_col), "base", decide(F.col("found"), model).alias("added"))
+    return spans.select(F.col("_id").cast(kind_of(docs, id_col)).alias(id_col), "base", decide(F.col("found"), model).alias("added"))
 
 
 def decide(found: Column, model: dict[tuple[str, str], float]) -> Column:

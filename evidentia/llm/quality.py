@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import Scratch, labelled_sample
+from evidentia.llm.common import Scratch, as_text, kind_of, labelled_sample
 
 #: Bound of the labelled sample, and the shares of it that calibrate the views and that measure the result; the rest trains.
 MAX_LABELLED = 8_000
@@ -127,15 +127,13 @@ def thresholds(scores: np.ndarray, y: np.ndarray) -> dict[int, tuple[float, floa
 
 def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, chars_col: str) -> DataFrame:
     """(_id, x, m): both views of every document, as binary float32."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = Hashed()
         for b in batches:
             yield pd.DataFrame({"_id": b["_id"], "x": [text_view(t, hashed).astype(np.float16).tobytes() for t in b["_text"]], "m": [meta_view(*v).astype(np.float16).tobytes() for v in zip(b["_lang"], b["_source"], b["_n"], strict=True)]})
 
-    own = docs.select(F.col(id_col).alias("_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text_col, "_text"), (lang_col, "_lang"), (source_col, "_source"))), F.coalesce(F.col(chars_col).cast("double"), F.lit(-1.0)).alias("_n"))
-    return own.mapInPandas(run, f"_id {kind}, x binary, m binary")
+    own = docs.select(as_text(id_col).alias("_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text_col, "_text"), (lang_col, "_lang"), (source_col, "_source"))), F.coalesce(F.col(chars_col).cast("double"), F.lit(-1.0)).alias("_n"))
+    return own.mapInPandas(run, "_id string, x binary, m binary").withColumn("_id", F.col("_id").cast(kind_of(docs, id_col)))
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -253,7 +251,6 @@ def cotrain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     scratch = scratch or Scratch(docs.sparkSession, "quality")
     all_rows = scratch.keep(features(docs, id_col, text_col, lang_col, source_col, chars_col), "features")
     model = fit(all_rows, labels, id_col, label_col, max_labelled, rounds, seed, scratch)
-    out = f"`{id_col}` {docs.select(id_col).schema[0].dataType.simpleString()}, p_text double, p_meta double, score double, keep boolean"
     if model is None:
         return all_rows.select(F.col("_id").alias(id_col), F.lit(0.5).alias("p_text"), F.lit(0.5).alias("p_meta"), F.lit(0.5).alias("score"), F.lit(True).alias("keep"))
 
@@ -263,6 +260,7 @@ def cotrain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
                 a, b = matrix(batch["x"]), matrix(batch["m"])
                 t, s = model.views(a, b)
                 p = model.score(a, b)
-                yield pd.DataFrame({id_col: batch["_id"], "p_text": 1 / (1 + np.exp(-t)), "p_meta": 1 / (1 + np.exp(-s)), "score": p, "keep": p >= KEEP_FROM})
+                yield pd.DataFrame({"_id": batch["_id"], "p_text": 1 / (1 + np.exp(-t)), "p_meta": 1 / (1 + np.exp(-s)), "score": p, "keep": p >= KEEP_FROM})
 
-    return all_rows.mapInPandas(final, out)
+    scored = all_rows.withColumn("_id", as_text("_id")).mapInPandas(final, "_id string, p_text double, p_meta double, score double, keep boolean")
+    return scored.select(F.col("_id").cast(kind_of(docs, id_col)).alias(id_col), "p_text", "p_meta", "score", "keep")

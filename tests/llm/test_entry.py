@@ -4,10 +4,11 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from evidentia.llm import queries
+from evidentia.llm import license, ngram_join, packing, pii, quality, queries, toxicity, urls, warc
 
 DATA = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -58,3 +59,14 @@ def test_pipeline_stages(spark):
     assert 0.5 * before < left <= before
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_large_ids_next_to_nulls_keep_their_digits(spark):
+    """pandas would make floats of them."""
+    big, text = 2**60 + 1, "some words of a text that is long enough for shingles"
+    docs = spark.createDataFrame([(big, text, "en", "s", 5), (None, "other", None, None, None), (big + 2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    labels = spark.createDataFrame([(big, 1, 0), (big + 2, 0, 1)], "doc_id long, quality int, toxic int")
+    for out in (pii.find(docs), quality.cotrain(docs, labels), ngram_join.near_duplicates(docs), packing.pack(docs), toxicity.score(docs, toxicity.fit(docs, labels)), license.scan(docs, license.known_licenses(spark))):
+        assert sorted({r[0] for r in out.collect()}, key=repr) == sorted([big, big + 2, None], key=repr) and out.schema[0].dataType == docs.schema[0].dataType
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a.b/c").alias("url"), F.col("text").alias("html"))
+    assert {r.page_id for r in warc.round_trip(pages).collect()} == {r.page_id for r in urls.filter_urls(pages).collect()} == {big, big + 2, None}
