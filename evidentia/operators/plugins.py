@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def predict(rows: DataFrame, predictor: Callable[[list[str]], list[str | None]], prompt_col: str = "prompt", batch: int = 16, retries: int = 2) -> DataFrame:
     """Rows plus predict. The predictor gets batches of prompts; a blank answer is null; after the retries an exception becomes an "ERROR: ..." text of its batch."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("predict", T.StringType())])
-
     def ask(prompts: list[str]) -> list[str | None]:
         for left in range(retries, -1, -1):
             try:
@@ -23,13 +20,13 @@ def predict(rows: DataFrame, predictor: Callable[[list[str]], list[str | None]],
                     return [f"ERROR: {e}"] * len(prompts)
         return []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            prompts = pdf[prompt_col].tolist()
-            answers = [a for at in range(0, len(prompts), batch) for a in ask(prompts[at : at + batch])]
-            yield pdf.assign(predict=answers)
+    @F.pandas_udf("string")
+    def answered(prompts: pd.Series) -> pd.Series:
+        asked = prompts.tolist()
+        return pd.Series([a for at in range(0, len(asked), batch) for a in ask(asked[at : at + batch])], dtype=object)
 
-    return rows.mapInPandas(run, schema)
+    # Only prompts pass through Python. The predictor must not be asked again where a plan would copy the expression.
+    return rows.withColumn("predict", answered.asNondeterministic()(F.col(prompt_col)))
 
 
 def token_counter(count: Callable[[str], int]) -> Callable[[Column], Column]:
