@@ -109,6 +109,17 @@ def platt(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
     return found if found[0] > 0 else np.array([1e-3, np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))])
 
 
+def combined(t: np.ndarray, s: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the calibrated views and an offset. A view that would count against what it says is left out."""
+    use = [t, s]
+    both = logistic(np.stack([*use, np.ones(len(y))], axis=1), y, np.ones(len(y)), 1e-3)
+    if both[:2].min() >= 0:
+        return both
+    best = int(both[1] > both[0])
+    one = logistic(np.stack([use[best], np.ones(len(y))], axis=1), y, np.ones(len(y)), 1e-3)
+    return np.array([one[0] * (best == 0), one[0] * (best == 1), one[1]])
+
+
 def thresholds(scores: np.ndarray, y: np.ndarray) -> dict[int, tuple[float, float]]:
     """For each class, from which (signed) score a view hands over, and how much such a row counts (1: as a labelled one)."""
     out = {}
@@ -233,7 +244,7 @@ def fit(all_rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, max
     scratch.drop(f"pool-{rounds}")
     model = CoTrained(beta["x"], beta["m"], np.array([platt(own[v][held] @ beta[v], y[held]) for v in ("x", "m")]), np.array([1.0, 1.0, 0.0]), handed)
     t, s = model.views(own["x"][held], own["m"][held])
-    model.combine = logistic(np.stack([t, s, np.ones(held.sum())], axis=1), y[held], np.ones(held.sum()), 1e-3)
+    model.combine = combined(t, s, y[held])
     if test.any():
         model.accuracy = float(((model.score(own["x"][test], own["m"][test]) >= KEEP_FROM) == (y[test] > 0)).mean())
         model.majority = float(max(y[test].mean(), 1 - y[test].mean()))
