@@ -30,7 +30,7 @@ HEAD = 64
 #: Hubs of a candidate group that its members are compared with before components are known.
 HUBS = 2
 #: A component whose links are counted is cut into blocks of about so many classes and shingles; a task compares two blocks.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 17
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 19
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
