@@ -63,10 +63,10 @@ def segments(path: Column) -> Column:
 
 
 def nodes(tree: DataFrame) -> DataFrame:
-    """(host, raw, level, head, seg, ...): a row for each segment of each path; head is the hash of what precedes it."""
+    """(host, path, level, head, seg, ...): a row for each segment of each path; head is the hash of what precedes it, path that of the raw path."""
     heads = F.aggregate("segs", F.array(F.lit(0).cast("long")), lambda acc, s: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), s))))
     each = tree.withColumn("heads", heads).select("*", F.posexplode("segs").alias("level", "seg"))
-    return each.select("host", "raw", "n", "labelled", "bad", "level", F.get("heads", F.col("level")).alias("head"), "seg", (F.size("segs") == F.col("level") + 1).alias("ends"))
+    return each.select("host", F.xxhash64("raw").alias("path"), "n", "labelled", "bad", "level", F.get("heads", F.col("level")).alias("head"), "seg", (F.size("segs") == F.col("level") + 1).alias("ends"))
 
 
 def branches(tree: DataFrame) -> DataFrame:
@@ -76,8 +76,8 @@ def branches(tree: DataFrame) -> DataFrame:
 
 def rewritten(tree: DataFrame, change: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """tree with the first segment of each path that change (host, head, seg, new) names replaced; column changed says where."""
-    hits = nodes(tree).join(change, ["host", "head", "seg"]).groupBy("host", "raw").agg(F.min(F.struct("level", "new")).alias("hit"))
-    joined = tree.join(hits, ["host", "raw"], "left")
+    hits = nodes(tree).join(change, ["host", "head", "seg"]).groupBy("host", "path").agg(F.min(F.struct("level", "new")).alias("hit"))
+    joined = tree.withColumn("path", F.xxhash64("raw")).join(hits, ["host", "path"], "left")
     at = F.col("hit.level")
     segs = F.when(at.isNotNull(), F.transform("segs", lambda s, k: F.when(k == at, F.col("hit.new")).otherwise(s))).otherwise(F.col("segs"))
     return scratch.keep(joined.select("host", "raw", "n", "labelled", "bad", segs.alias("segs"), at.isNotNull().alias("changed")), name)
