@@ -25,6 +25,8 @@ FRAGMENTS = 4
 CELLS = 64
 #: Prefixes hold 1/EXTRA of the shingles more than one common shingle needs, so that more common ones can be asked for.
 EXTRA = 20
+#: The names of rows whose texts are read again (8 bytes each) are broadcast up to so many; beyond that all texts are shuffled once.
+BROADCAST_ROWS = 1_000_000
 #: A pair of classes is taken up at the first shingle that the beginnings of so many of their second prefixes share (at any, if none).
 HEAD = 64
 #: Hubs of a candidate group that its members are compared with before components are known.
@@ -228,7 +230,8 @@ def links(docs: DataFrame, scratch: Scratch, sketch: DataFrame, id_col: str, tex
     first = scratch.keep(hits.join(classes, "_r").where(F.col("k") >= need).select("_r").distinct(), "first")
     scratch.drop("sketch", "classes")
 
-    texts = named(docs, id_col, text_col).select("_r", "_text").join(first, "_r", "left_semi").dropDuplicates(["_r", "_text"]).select("_text")
+    few = first.count() <= BROADCAST_ROWS
+    texts = named(docs, id_col, text_col).select("_r", "_text").join(F.broadcast(first) if few else first, "_r", "left_semi").dropDuplicates(["_r", "_text"]).select("_text")
     parts = scratch.keep(fragments(texts), "parts")
     every = parts.select("c", F.explode("part").alias("h"))
     df = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
