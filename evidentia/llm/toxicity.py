@@ -106,11 +106,16 @@ def ordinal_fit(rows: np.ndarray, cols: np.ndarray, n: int, grade: np.ndarray, g
     return Model(np.where(keep, w, 0), c[0] + np.concatenate([[0], np.cumsum(np.log1p(np.exp(c[1:])))]))
 
 
+def counts(cols: np.ndarray) -> np.ndarray:
+    """How often each bucket occurs, a slice at a time, since numpy widens what it counts."""
+    return sum((np.bincount(cols[at : at + (1 << 20)], minlength=BUCKETS) for at in range(0, len(cols), 1 << 20)), np.zeros(BUCKETS, np.int64))
+
+
 def telling(toxic: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """For each bucket, by how many standard deviations its log-odds in toxic rows differ from those in clean ones."""
     n1, n0 = max(toxic.sum(), 1), max((toxic == 0).sum(), 1)
-    a = np.bincount(cols, weights=toxic[rows], minlength=BUCKETS) + 0.5
-    b = np.bincount(cols, weights=1.0 - toxic[rows], minlength=BUCKETS) + 0.5
+    bad = counts(cols[(toxic > 0)[rows]])
+    a, b = bad + 0.5, counts(cols) - bad + 0.5
     return (np.log(a / (n1 - a + 1)) - np.log(b / (n0 - b + 1))) / np.sqrt(1 / a + 1 / b)
 
 
@@ -156,9 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if y[~held].min() == y[~held].max():
         held[:] = False
     train = np.flatnonzero(~held)
-    rows = np.repeat(np.arange(len(train)), [len(each[k]) for k in train])
+    rows = np.repeat(np.arange(len(train), dtype=np.int32), [len(each[k]) for k in train])
     cols = np.concatenate([each[k] for k in train])
-    often = np.bincount(cols, minlength=BUCKETS) >= min(LEAST_DF, max(1, len(train) // 50))
+    often = counts(cols) >= min(LEAST_DF, max(1, len(train) // 50))
     often &= np.abs(telling((y[train] > 0).astype(np.int64), rows, cols)) > ENTER_Z
     rows, cols = rows[often[cols]], cols[often[cols]]
     model = ordinal_fit(rows, cols, len(train), graded(y[train], rows, cols))
