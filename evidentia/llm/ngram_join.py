@@ -333,5 +333,6 @@ def oracle() -> str:
     n AS (SELECT doc_id, len(list_distinct(s)) AS n FROM g), s AS (SELECT DISTINCT doc_id, unnest(s) AS h FROM g),
     pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
     links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
-    ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, ways.b FROM reach JOIN ways ON ways.a = reach.b)
-    SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(reach.b) AS component_id FROM n JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n"""
+    ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, ways.b FROM reach JOIN ways ON ways.a = reach.b),
+    degree AS (SELECT a, count(*) AS n FROM ways GROUP BY a)
+    SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(reach.b) AS component_id, coalesce(any_value(degree.n), 0)::BIGINT AS n_links FROM n JOIN reach ON reach.a = n.doc_id LEFT JOIN degree ON degree.a = n.doc_id GROUP BY n.doc_id, n.n"""

@@ -41,8 +41,10 @@ def test_twin(spark, name):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p}{'/*.parquet' if p.is_dir() else ''}'")
     out = c.execute(queries.oracle_sql()[name])
     cols = sorted(x[0] for x in out.description)
+    df = queries.queries()[name](spark, DATA)
+    assert sorted(df.columns) == cols
     want = sorted((tuple(dict(zip([x[0] for x in out.description], r, strict=True))[k] for k in cols) for r in out.fetchall()), key=repr)
-    got = sorted((tuple(r[k] for k in cols) for r in queries.queries()[name](spark, DATA).collect()), key=repr)
+    got = sorted((tuple(r[k] for k in cols) for r in df.collect()), key=repr)
     assert got == want
 
 
