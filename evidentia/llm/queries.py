@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import license as licenses
-from evidentia.llm import ann, decontaminate, ngram_join, packing, pii, quality, quality_rules, toxicity, urls, warc
+from evidentia.llm import ann, collocations, decontaminate, hard_negatives, ngram_join, packing, pii, quality, quality_rules, toxicity, urls, warc
 from evidentia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,14 +57,28 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_license_scan, op2_quality, op3_decontaminate, op4_pii, op5_toxicity, op6_ngram_jaccard, op7_packing, op8_warc, op9_ann, op10_url_filter, op12_quality_rules]
+    own = [
+        op1_license_scan, op2_quality, op3_decontaminate, op4_pii, op5_toxicity, op6_ngram_jaccard, op7_packing, op8_warc, op9_ann, op10_url_filter, op11_hard_negatives, op12_quality_rules,
+        op13_collocations,
+    ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op3_decontaminate": decontaminate.oracle(), "op6_ngram_jaccard": ngram_join.oracle(), "op8_warc": warc.oracle(), "op12_quality_rules": quality_rules.oracle()}
+    return {
+        "op1_license_scan": licenses.oracle(), "op3_decontaminate": decontaminate.oracle(), "op6_ngram_jaccard": ngram_join.oracle(), "op8_warc": warc.oracle(),
+        "op11_hard_negatives": hard_negatives.oracle(), "op12_quality_rules": quality_rules.oracle(), "op13_collocations": collocations.oracle(),
+    }
