@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import operator
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,26 +30,17 @@ SHARE = 100
 TOP = 2000
 #: A filter of 2 ** BITS bits (16 MB) says which phrases may be frequent. With more frequent phrases it lets more through; counts stay exact.
 BITS = 27
-#: Words that a task holds at a time, and words whose hashes it remembers.
-SLICE, CACHE = 1 << 19, 1 << 18
+#: Words that a task holds at a time, about.
+SLICE = 1 << 20
 #: Languages are broadcast with their word counts up to so many.
 BROADCAST_LANGS = 100_000
 #: Bits of one bitmap of Spark's bitmap functions.
 BITMAP = 32768
 
+BLANKS, STRIP = re.compile(" +"), operator.methodcaller("strip", " ")
 CUTS = str.maketrans({c: "\n" for c in ".,;:!?\x0b\x0c\r"} | {"\t": " "} | {chr(k): chr(k + 32) for k in range(65, 91)})
 
 
-class Hashes(dict):
-    """A hash of a word, the same in every process."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = value = (zlib.crc32(word.encode("utf-8", "surrogatepass")) + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-        return value
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -59,105 +54,140 @@ def rolled(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def pieces(text: str | None) -> list[list[str]]:
-    """The words of each piece of a text that has any."""
-    out = ([w for w in p.split(" ") if w] if "  " in p or p[:1] == " " or p[-1:] == " " else p.split(" ") for p in (text or "").translate(CUTS).split("\n") if p)
-    return [p for p in out if p]
+def pieces(text: str | None) -> list[str]:
+    """The pieces of a text that hold words, with one blank between words."""
+    text = (text or "").translate(CUTS)
+    if "  " in text:
+        text = BLANKS.sub(" ", text)
+    return [p for p in map(STRIP, text.split("\n")) if p]
+
+
+class Words:
+    """The words of texts with one blank between words, one after the other: codes into vocab, and how many each text has."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.split_pattern(texts.cast(pa.string()), " ")
+        self.sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        encoded = lists.flatten().dictionary_encode()
+        self.vocab, self.codes = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.which = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.ends = np.cumsum(self.sizes)
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each word, the same in every process."""
+        return np.array([hashed(w) for w in self.vocab.to_pylist()], np.uint64)[self.codes]
+
 
+def hashed(word: str) -> int:
+    return (zlib.crc32(word.encode("utf-8", "surrogatepass")) + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
 
-def chunks(words: list[str], sizes: list[int], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, piece, whether it is the piece's last) of the chunks of pieces that lie one after the other in words.
+
+def chunks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, piece, whether it is the piece's last) of the chunks of pieces.
 
     Each chunk ends with the trigger that the next one begins with.
     """
-    ends = np.cumsum(sizes)
-    which = np.repeat(np.arange(len(sizes)), sizes)
-    windows = rolled(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), OVERLAP)
-    starts = np.zeros(len(words), bool)
+    n = len(words.codes)
+    windows = rolled(words.hashes(), OVERLAP)
+    starts = np.zeros(n, bool)
     starts[: len(windows)] = windows % np.uint64(EVERY) == 0
-    starts &= np.arange(len(words)) + OVERLAP <= ends[which]
-    starts[ends - sizes] = True
+    starts &= np.arange(n) + OVERLAP <= words.ends[words.which]
+    starts[words.ends - words.sizes] = True
     start = np.flatnonzero(starts)
-    piece = which[start]
+    piece = words.which[start]
     last = np.append(piece[1:] != piece[:-1], True)
-    end = np.where(last, ends[piece], np.append(start[1:], 0) + OVERLAP)
+    end = np.where(last, words.ends[piece], np.append(start[1:], 0) + OVERLAP)
     return start, end, piece, last
 
 
 def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(lang, chunk, last, n) of (lang, text): chunks with their counts in a slice of the batch."""
-    hashes = Hashes()
-
-    def counts() -> pd.DataFrame:
-        found = Counter()
-        for a, b, k, last in zip(*(x.tolist() for x in chunks(words, sizes, hashes)), strict=True):
-            found[langs[k], " ".join(words[a:b]), last] += 1
-        return counted(found)
-
+    """(lang, chunk, last, n) of (lang, text): chunks with their counts in a slice of the batch. Equal pieces of a slice are cut once."""
     for batch in batches:
-        words, sizes, langs = [], [], []
+        found, size = {}, 0
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
-            for piece in pieces(text):
-                words += piece
-                sizes.append(len(piece))
-                langs.append(lang)
-            if len(words) >= SLICE:
-                yield counts()
-                words, sizes, langs = [], [], []
-        if words:
-            yield counts()
-
-
-def counted(found: Counter) -> pd.DataFrame:
-    keys = list(zip(*found, strict=True))
-    return pd.DataFrame({"lang": keys[0], "chunk": keys[1], "last": keys[2], "n": list(found.values())})
-
-
-def grams(width: int, frequent: Broadcast | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """(lang, phrase, f) of the dictionary: phrases of width words that begin in a chunk's own part, times the chunk's count.
-
-    A phrase can only be frequent if both of its parts that are one word shorter are, so others are left out.
+            own = pieces(text)
+            found.setdefault(lang, Counter()).update(own)
+            size += len(own)
+            if size >= SLICE // 4:
+                yield from cut(found)
+                found, size = {}, 0
+        if size:
+            yield from cut(found)
+
+
+def cut(found: dict[str, Counter]) -> Iterator[pd.DataFrame]:
+    """The chunks of the pieces of each language."""
+    for lang, counts in found.items():
+        if not counts:
+            continue
+        own, n = list(counts), list(counts.values())
+        words = Words(pa.array(own, pa.string()))
+        start, end, piece, last = chunks(words)
+        # Most pieces are one chunk, which is the piece itself.
+        rows = Counter()
+        for k in np.flatnonzero(np.bincount(piece, minlength=len(own)) == 1).tolist():
+            rows[own[k], True] = n[k]
+        some = np.flatnonzero(np.bincount(piece, minlength=len(own))[piece] > 1)
+        offset, at, split = (words.ends - words.sizes)[piece[some]], -1, []
+        for a, b, k, done in zip((start[some] - offset).tolist(), (end[some] - offset).tolist(), piece[some].tolist(), last[some].tolist(), strict=True):
+            if k != at:
+                at, split = k, own[k].split(" ")
+            rows[" ".join(split[a:b]), done] += n[k]
+        keys = list(zip(*rows, strict=True))
+        yield pd.DataFrame({"lang": lang, "chunk": keys[0], "last": keys[1], "n": list(rows.values())})
+
+
+def grams(widths: tuple[int, ...], sure: int, frequent: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(lang, phrase, m, f) of the dictionary: phrases of m words, for m in widths, that begin in a chunk's own part, times the chunk's count.
+
+    frequent is the filter of phrases of ``sure`` words: a phrase can only be frequent if all its parts of that length are, so others are left out.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, bits = Hashes(), None if frequent is None else np.frombuffer(frequent.value, np.uint8)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if frequent is None else np.frombuffer(frequent.value, np.uint8)
+        held, rows = [], 0
         for batch in batches:
-            at = 0
-            sizes = batch["chunk"].str.count(" ").to_numpy() + 1
-            ends = np.cumsum(sizes)
-            while at < len(batch):
-                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
-                yield from of_slice(batch.iloc[at:upto], sizes[at:upto], hashes, bits)
-                at = upto
-
-    def of_slice(batch: pd.DataFrame, sizes: np.ndarray, hashes: Hashes, bits: np.ndarray | None) -> Iterator[pd.DataFrame]:
-        words = " ".join(batch["chunk"].tolist()).split(" ")
-        which = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        own = np.where(batch["last"].to_numpy(bool), sizes, sizes - OVERLAP)[which]
-        good = (place < own) & (place + width <= sizes[which])
-        langs = batch["lang"].to_numpy(object)
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= SLICE // 8:
+                yield from of_slice(pa.Table.from_batches(held).combine_chunks(), bits)
+                held, rows = [], 0
+        if rows:
+            yield from of_slice(pa.Table.from_batches(held).combine_chunks(), bits)
+
+    def of_slice(part: pa.Table, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        column = lambda name: part.column(name).combine_chunks() if part.column(name).num_chunks != 1 else part.column(name).chunk(0)
+        words, langs = Words(column("chunk")), column("lang").cast(pa.string()).dictionary_encode()
+        lang, n = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+        code, which, size = words.codes, words.which, words.sizes[words.which]
+        place = np.arange(len(code)) - (words.ends - words.sizes)[which]
+        begins = place < np.where(column("last").to_numpy(zero_copy_only=False), words.sizes, words.sizes - OVERLAP)[which]
+        may = None
         if bits is not None:
-            salt = np.array([hashes[x] for x in langs], np.uint64)[which]
-            h = mixed(rolled(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), width - 1) + salt[: max(len(words) - width + 2, 0)])
-            may = holds(bits, h)
-            good[len(may) - 1 :] = False
-            good[: len(may) - 1] &= may[:-1] & may[1:]
-        spots = np.flatnonzero(good)
-        if not len(spots):
-            return
-        # Codes of words and then of ever longer phrases, so that equal phrases are told by exact numbers.
-        codes = {w: k for k, w in enumerate(dict.fromkeys(words))}
-        code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-        label = {x: k for k, x in enumerate(dict.fromkeys(langs.tolist()))}
-        key = np.array([label[x] for x in langs], np.int64)[which[spots]]
-        for k in range(width):
-            _, key = np.unique(key * len(codes) + code[spots + k], return_inverse=True)
-        first = np.zeros(int(key.max()) + 1, np.int64)
-        first[key[::-1]] = spots[::-1]
-        # Sums of doubles are exact here: a slice of the dictionary stands for fewer than 2 ** 53 words.
-        f = np.bincount(key, batch["n"].to_numpy(np.int64)[which[spots]]).astype(np.int64)
-        yield pd.DataFrame({"lang": langs[which[first]], "phrase": [" ".join(words[p : p + width]) for p in first.tolist()], "f": f})
+            salt = np.array([hashed(x) for x in langs.dictionary.to_pylist()], np.uint64)[lang][which]
+            may = holds(bits, mixed(rolled(words.hashes(), sure) + salt[: max(len(code) - sure + 1, 0)]))
+        for width in widths:
+            good = begins & (place + width <= size)
+            if may is not None:
+                all_of = np.zeros(len(code), bool)
+                fits = max(len(code) - width + 1, 0)
+                all_of[:fits] = np.logical_and.reduce([may[k : k + fits] for k in range(width - sure + 1)])
+                good &= all_of
+            spots = np.flatnonzero(good)
+            if not len(spots):
+                continue
+            # Codes of words make the exact number of a phrase; before it passes 64 bits, the numbers met are renamed.
+            key = lang[which[spots]]
+            for k in range(width):
+                if int(key.max() + 1) * len(words.vocab) >= 2**62:
+                    _, key = np.unique(key, return_inverse=True)
+                key = key * len(words.vocab) + code[spots + k]
+            sums = pa.table({"key": key, "f": n[which[spots]], "p": spots}).group_by("key").aggregate([("f", "sum"), ("p", "min")])
+            first = sums.column("p_min").to_numpy()
+            phrase = words.vocab.take(pa.array(code[first]))
+            if width > 1:
+                phrase = pc.binary_join_element_wise(*(words.vocab.take(pa.array(code[first + k])) for k in range(width)), " ")
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[which[first]])), phrase, pa.array(np.full(len(first), width, np.int32)), sums.column("f_sum").combine_chunks()], ["lang", "phrase", "m", "f"])
 
     return run
 
@@ -173,15 +203,14 @@ def holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bits that the phrases (lang, phrase) set."""
-    hashes = Hashes()
+    """The bits that the phrases (lang, phrase), all of one length, set."""
     for batch in batches:
-        split = [p.split(" ") for p in batch["phrase"]]
-        flat = np.fromiter((hashes[w] for p in split for w in p), np.uint64)
-        salt = np.array([hashes[x] for x in batch["lang"]], np.uint64)
-        width = len(split[0]) if split else 1
-        h = mixed(rolled(flat, width)[::width] + salt) if split else np.empty(0, np.uint64)
-        yield pd.DataFrame({"bit": np.concatenate(places(h))})
+        if not len(batch):
+            continue
+        words = Words(pa.array(batch["phrase"], pa.string()))
+        width = int(words.sizes[0])
+        salt = np.array([hashed(x) for x in batch["lang"]], np.uint64)
+        yield pd.DataFrame({"bit": np.concatenate(places(mixed(rolled(words.hashes(), width)[::width] + salt)))})
 
 
 def filter_of(counts: DataFrame) -> bytes:
@@ -195,11 +224,11 @@ def filter_of(counts: DataFrame) -> bytes:
     return bytes(out)
 
 
-def counts_of(dictionary: DataFrame, width: int, least: int, shorter: DataFrame | None) -> DataFrame:
-    """(lang, phrase, f) of the phrases of width words with f >= least; shorter: those of one word fewer."""
+def counts_of(dictionary: DataFrame, widths: tuple[int, ...], least: int, shorter: DataFrame | None = None, sure: int = 0) -> DataFrame:
+    """(lang, phrase, m, f) of the phrases of m words, m in widths, with f >= least; shorter: those of ``sure`` words."""
     bits = None if shorter is None else dictionary.sparkSession.sparkContext.broadcast(filter_of(shorter))
-    rows = dictionary.mapInPandas(grams(width, bits), "lang string, phrase string, f long")
-    return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    rows = dictionary.mapInArrow(grams(widths, sure, bits), "lang string, phrase string, m int, f long")
+    return rows.groupBy("lang", "phrase", "m").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, share: int = SHARE, top: int = TOP, scratch: Scratch | None = None) -> DataFrame:
@@ -207,8 +236,8 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least:
 
     Texts are cut into pieces and words; a piece is cut into chunks that overlap by a trigger, a run of words whose hash says so, and
     the dictionary of distinct chunks has their frequencies, so copies and shared passages are counted once however often they
-    occur. A phrase belongs to the chunk it begins in, ahead of the overlap, so none is counted twice. Lengths are counted
-    one after the other, and a phrase is only taken up if its shorter parts may be frequent. Null and empty texts have no words; a null
+    occur. A phrase belongs to the chunk it begins in, ahead of the overlap, so none is counted twice. Phrases of three words
+    are only taken up if their pairs may be frequent, longer ones if their triples may. Null and empty texts have no words; a null
     language is ``und``; repeated rows count as often as they occur; ties go to the smaller phrase; without candidates there are
     no rows. Other columns are ignored.
     """
@@ -220,13 +249,12 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least:
     langs = scratch.keep(dictionary.groupBy("lang").agg(F.sum(F.col("n") * own).alias("n")), "langs")
     if langs.count() <= BROADCAST_LANGS:
         langs = F.broadcast(langs)
-    counts = [scratch.keep(counts_of(dictionary, 1, least, None), "count1")]
-    for width in range(2, LONGEST + 1):
-        counts.append(scratch.keep(counts_of(dictionary, width, least, counts[-1]), f"count{width}"))
+    # Words and pairs first; then triples of frequent pairs, and what is longer of frequent triples.
+    one_two = scratch.keep(counts_of(dictionary, (1, 2), least), "count2")
+    three = scratch.keep(counts_of(dictionary, (3,), least, one_two.where("m = 2"), 2), "count3")
+    longer = scratch.keep(counts_of(dictionary, tuple(range(4, LONGEST + 1)), least, three, 3), "count4")
     scratch.drop("dictionary")
-    every = counts[0]
-    for c in counts[1:]:
-        every = every.unionByName(c)
+    every = one_two.unionByName(three).unionByName(longer)
     words = F.split("phrase", " ")
     phrases = every.withColumn("w", words).where(F.size("w") > 1)
     # Counts fall with length, so what a longer phrase of any length takes, one a word longer takes too.

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evidentia.llm import collocations
@@ -65,10 +66,12 @@ def test_empty(spark):
 
 
 def test_chunks_hold_each_phrase_once():
-    r, hashes = random.Random(1), collocations.Hashes()
+    r = random.Random(1)
     sizes = [1, 4, 5, 6, 9, 1, 50, 3000, 2]
     words = [f"w{r.randrange(40)}" for _ in range(sum(sizes))]
-    start, end, piece, last = collocations.chunks(words, sizes, hashes)
+    ends = [sum(sizes[: k + 1]) for k in range(len(sizes))]
+    texts = [" ".join(words[e - n : e]) for n, e in zip(sizes, ends, strict=True)]
+    start, end, piece, last = collocations.chunks(collocations.Words(pa.array(texts)))
     assert len(start) > 150 and sorted(set(piece.tolist())) == list(range(len(sizes)))
     for width in range(1, 6):
         got, want, at = Counter(), Counter(), 0
