@@ -38,7 +38,8 @@ BROADCAST_LANGS = 100_000
 BITMAP = 32768
 
 BLANKS, STRIP = re.compile(" +"), operator.methodcaller("strip", " ")
-CUTS = str.maketrans({c: "\n" for c in ".,;:!?\x0b\x0c\r"} | {"\t": " "} | {chr(k): chr(k + 32) for k in range(65, 91)})
+#: On bytes: ends of pieces become line ends, tabs become blanks, A-Z is lower-cased. None of these bytes is part of another character.
+CUTS = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n\n\n\n\n\n\n\n\n abcdefghijklmnopqrstuvwxyz")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -56,7 +57,7 @@ def rolled(h: np.ndarray, width: int) -> np.ndarray:
 
 def pieces(text: str | None) -> list[str]:
     """The pieces of a text that hold words, with one blank between words."""
-    text = (text or "").translate(CUTS)
+    text = (text or "").encode().translate(CUTS).decode()
     if "  " in text:
         text = BLANKS.sub(" ", text)
     return [p for p in map(STRIP, text.split("\n")) if p]
