@@ -80,3 +80,14 @@ def english_stem(word: str) -> str:
     elif word.endswith("ll") and len(word) - 1 >= r2:
         word = word[:-1]
     return word.lower()
+
+
+def plural_stem(word: str) -> str:
+    """Harman's S stemmer: the first of ies (not after e or a), es (not after a, e or o), s (not after u or s) that ends the word decides."""
+    if word.endswith("ies") and word[-4:-3] not in ("e", "a"):
+        return word[:-3] + "y"
+    if word.endswith("es") and word[-3:-2] not in ("a", "e", "o"):
+        return word[:-1]
+    if word.endswith("s") and not word.endswith("es") and word[-2:-1] not in ("u", "s"):
+        return word[:-1]
+    return word

@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions.stem import english_stem
+from evidentia.functions.stem import english_stem, plural_stem
 from evidentia.operators import attempts as A
-from evidentia.operators import lookups, plugins, retrieval
+from evidentia.operators import containment, lookups, plugins, retrieval
 from evidentia.plans.base import ATTEMPTS, PREDICTIONS, TURNS, attempts, predictions, query, rounded, strip, table, turns
 from evidentia.sources import adapters, readers
 from evidentia.streaming import attempts as streams
@@ -100,10 +100,16 @@ ITEMS = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 LAST_WORDS = "queries AS (SELECT item_id AS query_id, regexp_extract(text, '(\\S+)\\s*$', 1) AS query FROM benchmark)"
 
 
-def index_of(spark: SparkSession, d: str) -> retrieval.Index:
-    """Documents as a corpus, indexed once in the shared folder."""
-    docs = table(spark, d, "documents")
-    return retrieval.write_index(retrieval.first_of_each_text(docs.select("doc_id", "text"), ["doc_id"]), scratch(spark, "index"))
+INDEXES: dict[tuple[str, str, str], retrieval.Index] = {}
+
+
+def index_of(spark: SparkSession, d: str, stemmer=None) -> retrieval.Index:
+    """Documents as a corpus, indexed in the shared folder: once in an application for each folder and stemmer, and read by all queries on it."""
+    key = (spark.sparkContext.applicationId, d, getattr(stemmer, "__name__", ""))
+    if key not in INDEXES:
+        docs = table(spark, d, "documents")
+        INDEXES[key] = retrieval.write_index(retrieval.first_of_each_text(docs.select("doc_id", "text"), ["doc_id"]), scratch(spark, "index"), stemmer)
+    return INDEXES[key]
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -112,14 +118,27 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c3_index", f"WITH {ITEMS}, {INDEX} SELECT term, df FROM dfs")
 def c3(spark: SparkSession, d: str) -> DataFrame:
-    return index_of(spark, d).frequencies
+    return index_of(spark, d).frequencies.select("term", "df")
 
 
 @query("c2_stemmed_index", f"WITH {ITEMS}, {INDEX} SELECT doc, sum(tf)::BIGINT AS n_tokens, max(doc_len)::BIGINT AS doc_len FROM tf JOIN lens USING (doc) GROUP BY doc")
 def c2(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    corpus = retrieval.first_of_each_text(docs.select("doc_id", "text"), ["doc_id"])
-    return retrieval.postings(corpus, stemmer=english_stem).groupBy("doc").agg(F.sum("tf").alias("n_tokens"), F.max("doc_len").alias("doc_len"))
+    return index_of(spark, d, english_stem).postings.groupBy("doc").agg(F.sum("tf").alias("n_tokens"), F.max("doc_len").alias("doc_len"))
+
+
+#: The index and ranking of INDEX over plural-stripped terms.
+_PLURAL = "CASE WHEN regexp_matches({x}, '(^|[^ea])ies$') THEN left({x}, -3) || 'y' WHEN regexp_matches({x}, '(^|[^aeo])es$') THEN left({x}, -1) WHEN regexp_matches({x}, '(^|[^us])s$') AND NOT regexp_matches({x}, '(ies|es)$') THEN left({x}, -1) ELSE {x} END"
+_STEMMED = INDEX.replace("tf AS (SELECT doc, term, count(*)", "stems AS (SELECT doc, " + _PLURAL.replace("{x}", "term") + " AS term FROM terms), tf AS (SELECT doc, term, count(*)").replace("FROM terms GROUP BY ALL", "FROM stems GROUP BY ALL").replace("SELECT query_id, term, count(*) AS qtf FROM (", "SELECT query_id, " + _PLURAL.replace("{x}", "term") + " AS term, count(*) AS qtf FROM (")
+
+
+@query("c2_stems", f"WITH {ITEMS}, {_STEMMED} SELECT term, df FROM dfs")
+def c2b(spark: SparkSession, d: str) -> DataFrame:
+    return index_of(spark, d, plural_stem).frequencies.select("term", "df")
+
+
+@query("c4_stemmed_topk", f"WITH {ITEMS}, {_STEMMED} SELECT query_id, doc, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10")
+def c4c(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(retrieval.bm25_topk(index_of(spark, d, plural_stem), items(spark, d), 10).select("query_id", "doc", F.col("rank").cast("long").alias("rank"), "score"))
 
 
 @query("c4_bm25_topk", f"WITH {ITEMS}, {INDEX} SELECT query_id, doc, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10")
@@ -166,6 +185,15 @@ def c7(spark: SparkSession, d: str) -> DataFrame:
     return context.join(used.groupBy("query_id").agg(F.count("*").cast("int").alias("n_docs")), "query_id").select("query_id", "n_docs", F.length("context").alias("n_chars"))
 
 
+@query("x6_x7_global", """WITH t AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM documents), l AS (SELECT line FROM t WHERE line <> ''),
+p AS (SELECT a.line AS part, b.line AS whole FROM l a JOIN l b ON length(a.line) < length(b.line) AND contains(b.line, a.line))
+SELECT line, line NOT IN (SELECT part FROM p) AS maximal, line NOT IN (SELECT whole FROM p) AS minimal FROM l""")
+def x6g(spark: SparkSession, d: str) -> DataFrame:
+    """All distinct lines of all documents."""
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("text"))
+    return containment.containment(lines, scratch(spark, "containment")).withColumnRenamed("text", "line")
+
+
 # Joins ------------------------------------------------------------------------------------------------------------------
 
 
@@ -378,11 +406,25 @@ def z1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("z2_running_pass", f"WITH {ATTEMPTS} SELECT id, bool_or(is_correct) AS any_correct, min(CASE WHEN is_correct THEN attempt_idx END) AS first_success FROM attempts WHERE is_correct IS NOT NULL GROUP BY id")
 def z2(spark: SparkSession, d: str) -> DataFrame:
+    return streams.progress(spark, remembered(spark, d)[1])
+
+
+def remembered(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """The attempts of events, which arrive in three lots, late ones first and one lot twice: (what the stream has appended, its checkpoint)."""
     src, out, mark = (scratch(spark, x) for x in ("in", "out", "mark"))
-    for half in (0, 1):
-        attempts(spark, d).where(F.col("attempt_idx") % 2 == half).write.mode("append").json(src)
-        streams.keep_running(streams.read_attempts(spark, src, ATTEMPT_ROWS), out, mark).awaitTermination()
-    return streams.current(spark, out)
+    for lot in (1, 0, 1):
+        attempts(spark, d).where(F.col("attempt_idx") % 2 == lot).write.mode("append").json(src)
+        streams.remember(streams.read_attempts(spark, src, ATTEMPT_ROWS), out, mark, 5).awaitTermination()
+    return spark.read.parquet(out), mark
+
+
+@query("w1_w2_stream", f"""WITH {ATTEMPTS}, f AS (SELECT id, min(CASE WHEN is_correct THEN attempt_idx END) AS first FROM attempts GROUP BY id), w AS (SELECT a.*, first FROM attempts a JOIN f USING (id) WHERE attempt_idx <= coalesce(first, attempt_idx))
+SELECT a.id, a.attempt_idx, a.answer, coalesce(array_to_string(list_sort(list_distinct(list(b.answer) FILTER (NOT coalesce(b.is_correct, false)))), '|'), '') AS wrong, a.attempt_idx > 5 AS received_tips, coalesce(a.is_correct, false) AND a.attempt_idx <= {K} OR a.attempt_idx = {K} AS kept
+FROM w a JOIN w b ON b.id = a.id AND b.attempt_idx <= a.attempt_idx GROUP BY ALL""")
+def w1_w2_stream(spark: SparkSession, d: str) -> DataFrame:
+    rows = remembered(spark, d)[0]
+    kept_ = streams.first_or_kth(rows, K).select("id", "attempt_idx", F.lit(True).alias("kept"))
+    return rows.join(kept_, ["id", "attempt_idx"], "left").select("id", "attempt_idx", "answer", F.array_join("tips_wrong_answer", "|").alias("wrong"), "received_tips", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 @query("z3_once_by_key", f"WITH {ATTEMPTS} SELECT id, attempt_idx, answer FROM attempts")
@@ -402,6 +444,22 @@ def u3(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "predict", plugins.token_counter(lambda t: len(t.split()))(F.col("ans")).alias("tokens"))
 
 
+@query("u3_j3_resumed", f"WITH {TURNS} SELECT id, CASE WHEN len(ans) % 11 = 3 THEN 'ERROR: bad prompt' ELSE reverse(ans) END AS predict FROM turns")
+def u3_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the rows is predicted by an earlier run, whose answers a second run does not ask for again."""
+    def setup():
+        def reverse(prompts: list[str]) -> list[str]:
+            if any(len(p) % 11 == 3 for p in prompts):
+                raise ValueError("bad prompt")
+            return [p[::-1] for p in prompts]
+
+        return reverse
+
+    path, rows = scratch(spark, "predictions"), turns(spark, d).select("id", F.col("ans").alias("prompt"))
+    plugins.predict_into(rows.where("cast(id as long) % 3 = 0"), setup, path, shards=2)
+    return plugins.predict_into(rows, setup, path, shards=2).select("id", "predict")
+
+
 @query("s1_json_documents", "SELECT doc_id, source FROM documents")
 def s1(spark: SparkSession, d: str) -> DataFrame:
     path, row = scratch(spark, "json"), F.struct("doc_id", "source")

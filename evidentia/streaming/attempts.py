@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 
 def read_attempts(spark: SparkSession, path: str, schema: str, fmt: str = "json") -> DataFrame:
@@ -43,3 +46,83 @@ def current(spark: SparkSession, out: str) -> DataFrame:
     """The latest state of each id that ``keep_running`` has saved."""
     rows = spark.read.parquet(out)
     return rows.groupBy("id").agg(F.max_by(F.struct("any_correct", "first_success"), "batch").alias("s")).select("id", "s.*")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+REMEMBERED = "id string, attempt_idx int, answer string, is_correct boolean, tips_wrong_answer array<string>, tips_used boolean, received_tips boolean"
+
+
+class Memory(StatefulProcessor):
+    """State of one id: how far its attempts have come, its wrong answers so far, and attempts that wait for earlier ones."""
+
+    def __init__(self, threshold: int):
+        self.threshold = threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.progress = handle.getValueState("progress", "upto int, judged boolean, first_success int")
+        self.wrong = handle.getMapState("wrong", "answer string", "attempt_idx int")
+        self.waiting = handle.getMapState("waiting", "attempt_idx int", "answer string, is_correct boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        upto, judged, success = self.progress.get() if self.progress.exists() else (0, False, None)
+        ready = {int(k[0]): v for k, v in self.waiting.iterator()}
+        new = {}
+        for batch in rows:
+            for idx, answer, correct in zip(batch["attempt_idx"], batch["answer"], batch["is_correct"], strict=True):
+                if success is None and idx > upto and idx not in ready and idx not in new:  # else delivered again, or after the id has ended
+                    new[int(idx)] = (answer, None if correct is None else bool(correct))
+        ready |= new
+        wrong = {k[0] for k, _ in self.wrong.iterator()} if ready else set()
+        out = []
+        while success is None and upto + 1 in ready:
+            upto += 1
+            answer, correct = ready.pop(upto)
+            judged = judged or correct is not None
+            if correct:
+                success = upto
+            elif (answer or "").strip(" ") and answer not in wrong:
+                wrong.add(answer)
+                self.wrong.updateValue((answer,), (upto,))
+            out.append((key[0], upto, answer, correct, sorted(wrong), upto >= self.threshold, upto > self.threshold))
+            if upto not in new:
+                self.waiting.removeKey((upto,))
+        for idx in new.keys() & ready.keys():
+            self.waiting.updateValue((idx,), new[idx])
+        if success is not None:
+            self.wrong.clear()
+            self.waiting.clear()
+        self.progress.update((upto, judged, success))
+        yield pd.DataFrame(out, columns=["id", "attempt_idx", "answer", "is_correct", "tips_wrong_answer", "tips_used", "received_tips"]).astype({"is_correct": object})
+
+    def close(self) -> None:
+        pass
+
+
+def remember(attempts: DataFrame, out: str, checkpoint: str, threshold: int) -> StreamingQuery:
+    """W1, W2, Z2 and Z3 on the stream: attempts (id, attempt_idx from 1 on, answer, is_correct) with the wrong answers so far, appended to ``out``.
+
+    Attempts of an id leave in order, each once: one that comes early waits for those before it, one that comes again is ignored. An id
+    ends with its first correct attempt; later ones are dropped, and its state shrinks to one row. So state holds a row for each id
+    and the wrong answers of those still open, however many micro-batches there are.
+    """
+    spark = attempts.sparkSession
+    rows = attempts.select("id", "attempt_idx", "answer", "is_correct").groupBy("id").transformWithStateInPandas(Memory(threshold), REMEMBERED, "Append", "None")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)  # a query keeps the provider that it began with
+    try:
+        return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def first_or_kth(remembered: DataFrame, k: int) -> DataFrame:
+    """W1 of what ``remember`` has appended: the first correct attempt of each id, else attempt k."""
+    return remembered.where(F.coalesce("is_correct", F.lit(False)) & (F.col("attempt_idx") <= k) | (F.col("attempt_idx") == k))
+
+
+def progress(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(id, any_correct, first_success) of ids with a judged attempt, as the state store of ``remember`` has them now."""
+    state = spark.read.format("statestore").option("stateVarName", "progress").load(checkpoint)
+    rows = state.select("key.id", "value.*").where("judged")
+    return rows.select("id", F.col("first_success").isNotNull().alias("any_correct"), "first_success")
