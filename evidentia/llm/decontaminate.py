@@ -15,8 +15,9 @@ LEAST_SCORE = 10
 #: An overlap also counts if all but one in so many of the item's tokens are equal. That is less than LEAST_SCORE asks for up to
 #: PLAIN_BELOW tokens; such items are also looked for by plain seeds: one piece more than tokens may differ, so one is whole.
 EACH, PLAIN_BELOW = 6, 14
-#: A seed index is broadcast up to so many seeds (two numbers and a hash each); beyond that the join shuffles.
-BROADCAST_SEEDS = 300_000
+#: A seed index is broadcast up to so many seeds (two numbers and a hash each). Beyond that a bitmap of its hashes is, which
+#: has 2 ** MAP_BITS bits however many seeds there are (at most 2 ** 20 rows of 64), and what it lets through is shuffled.
+BROADCAST_SEEDS, MAP_BITS = 300_000, 26
 #: Hashes of overlapping texts (8 bytes each) are broadcast up to so many; beyond that the join shuffles.
 BROADCAST_TEXTS = 500_000
 
@@ -73,12 +74,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     suffices or, for a short item, enough of its tokens are equal (all of them below EACH). Null and empty texts overlap
     with nothing; repeated rows give one result; null ids are kept as null; other columns are ignored; empty tables give no rows.
     """
-    scored = scored_diagonals(docs, benchmark, id_col, text_col, item_col, item_text_col, least_score)
+    scored = scored_diagonals(docs, benchmark, id_col, text_col, item_col, item_text_col, least_score, Scratch(docs.sparkSession, "decontaminate"))
     top = scored.groupBy("_id", "_item", "_n").agg(F.max(F.struct("_score", (-F.col("_d")).alias("_d"))).alias("_m"))
     return top.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), F.col("_m._score").cast("long").alias("score"), F.col("_n").cast("long").alias("item_tokens"), (-F.col("_m._d")).cast("long").alias("offset"))
 
 
-def scored_diagonals(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, least_score: int) -> DataFrame:
+def scored_diagonals(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, least_score: int, scratch: Scratch) -> DataFrame:
     """(_id, _t, _item, _n, _d, _score): the diagonals that count, of each text (by its hash _t)."""
     items = benchmark.select(F.col(item_col).alias("_item"), tokens(F.col(item_text_col)).alias("_its")).where(F.get("_its", F.lit(0)) != "").dropDuplicates(["_item", "_its"])
     spread = items.where(F.size("_its") >= len(MASKS[0])).select("_item", "_its", F.explode_outer(positions(F.col("_its"))).alias("_p"))
@@ -91,14 +92,19 @@ def scored_diagonals(docs: DataFrame, benchmark: DataFrame, id_col: str, text_co
     split = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), tokens(F.col(text_col)).alias("_w"))
     at = split.select("*", F.explode_outer(positions(F.col("_w"), min([len(MASKS[0]), *lengths]))).alias("_i"))
     hashes = F.array(*seed_hashes(F.col("_w"), F.col("_i")), *(plain_hash(F.col("_w"), F.col("_i"), k) for k in lengths))
-    seeds = at.select("*", F.explode(hashes).alias("_h"))
-    hits = seeds.join(F.broadcast(index) if few else index, "_h").where((F.col("_k") < 0) | inside(F.col("_i"), F.col("_k"), F.col("_w")))
-    # Where all tokens from the one before on are equal, the hit of the same mask there speaks for this one: a whole copy is one hit a mask.
-    hits = hits.where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(run_before(F.col("_w"), F.col("_i"), F.col("_k"))))
+    if few:
+        hits = at.select("*", F.explode(hashes).alias("_h")).join(F.broadcast(index), "_h").where((F.col("_k") < 0) | inside(F.col("_i"), F.col("_k"), F.col("_w")))
+        # Where all tokens from the one before on are equal, the hit of the same mask there speaks for this one: a whole copy is one hit a mask.
+        hits = hits.where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(run_before(F.col("_w"), F.col("_i"), F.col("_k"))))
+        hits = hits.withColumn("_d", F.col("_i") - F.col("_p"))
+    else:
+        met = scratch.keep(thin_hits(at, hashes, index), "met")
+        again = docs.select(F.xxhash64(text_col).alias("_t"), F.col(text_col).alias("_text")).join(only(met.select("_t").distinct()), "_t", "left_semi").dropDuplicates(["_t"])
+        hits = met.join(again.select("_t", tokens(F.col("_text")).alias("_w")), "_t")
     start = F.greatest(F.col("_d"), F.lit(0))
     window = F.array_join(F.slice("_w", start + 1, F.greatest(F.col("_n") - F.greatest(-F.col("_d"), F.lit(0)), F.lit(0))), " ")
     # The window is cut out first, so that what is sorted and grouped holds no whole texts.
-    near = hits.withColumn("_d", F.col("_i") - F.col("_p")).select("_id", "_t", "_item", "_n", "_d", window.alias("_near"))
+    near = hits.select("_id", "_t", "_item", "_n", "_d", window.alias("_near"))
     # The same text of the same id is scored once.
     laid = near.groupBy("_id", "_t", "_item", "_n", "_d").agg(F.min("_near").alias("_near"))
     own = F.slice("_its", F.greatest(-F.col("_d"), F.lit(0)) + 1, F.size("_its"))
@@ -111,6 +117,28 @@ def scored_diagonals(docs: DataFrame, benchmark: DataFrame, id_col: str, text_co
     return scored.where((F.col("_score") >= F.least(F.lit(least_score), F.col("_n"))) | ((F.col("_n") < PLAIN_BELOW) & (F.col("_same") >= F.col("_n") - F.floor(F.col("_n") / EACH))))
 
 
+def thin_hits(at: DataFrame, hashes: Column, index: DataFrame) -> DataFrame:
+    """(_id, _t, _item, _n, _d): diagonals with a hit, for an index of any size.
+
+    Of each position only hashes that the bitmap knows go on, with numbers and no tokens, to the shuffled join with the index.
+    """
+    bit = F.pmod(F.col("_h"), F.lit(1 << MAP_BITS))
+    known = index.select(F.shiftright(bit, 6).alias("_at"), bit.bitwiseAND(F.lit(63)).cast("int").alias("_bit"))
+    known = known.groupBy("_at").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_map"))
+    seeds = at.select("*", F.posexplode(hashes).alias("_s", "_h")).withColumn("_at", F.shiftright(bit, 6))
+    seeds = seeds.join(F.broadcast(known), "_at").where(F.getbit("_map", bit.bitwiseAND(F.lit(63))) == 1)
+    masked = F.col("_s") < len(MASKS)
+    seeds = seeds.where(~masked | inside(F.col("_i"), F.col("_s"), F.col("_w")))
+    thin = seeds.select("_id", "_t", "_i", "_h", F.when(masked, run_before(F.col("_w"), F.col("_i"), F.col("_s"))).alias("_run"))
+    hits = thin.join(index, "_h").where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.col("_run")))
+    return hits.select("_id", "_t", "_item", "_n", (F.col("_i") - F.col("_p")).alias("_d")).distinct()
+
+
+def only(names: DataFrame) -> DataFrame:
+    """Text hashes, broadcast up to BROADCAST_TEXTS of them."""
+    return F.broadcast(names) if names.count() <= BROADCAST_TEXTS else names
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """docs without the documents whose text overlaps with a benchmark item.
 
@@ -118,10 +146,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     their own text. The hashes of overlapping texts are written first; up to BROADCAST_TEXTS of them are broadcast.
     """
     scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
-    bad = scratch.keep(scored_diagonals(docs, benchmark, id_col, text_col, item_col, item_text_col, LEAST_SCORE).select("_t").distinct(), "bad")
-    few, name = bad.count() <= BROADCAST_TEXTS, free_name(docs, "_t")
-    bad = bad.withColumnRenamed("_t", name)
-    return docs.join(F.broadcast(bad) if few else bad, F.xxhash64(text_col) == F.col(name), "left_anti").select(docs.columns)
+    bad = scratch.keep(scored_diagonals(docs, benchmark, id_col, text_col, item_col, item_text_col, LEAST_SCORE, scratch).select("_t").distinct(), "bad")
+    name = free_name(docs, "_t")
+    return docs.join(only(bad).withColumnRenamed("_t", name), F.xxhash64(text_col) == F.col(name), "left_anti").select(docs.columns)
 
 
 def oracle() -> str:

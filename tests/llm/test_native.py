@@ -5,6 +5,7 @@ import textwrap
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from evidentia.llm import decontaminate, license
 
@@ -100,6 +101,19 @@ def test_shuffled_index_gives_the_same(spark, monkeypatch):
     assert decontaminate.overlaps(docs, bench).collect() == want and want[0].score == 20
 
 
+def test_large_index_on_the_given_tables(spark, monkeypatch):
+    """The path for an index of any size gives the same rows, stays free of Python and broadcasts a bounded bitmap only."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.unionByName(docs.limit(40).withColumn("text", F.concat_ws(" ", F.col("text"), F.lit(bench.first().text)))).withColumn("_t", F.lit("clash"))
+    few = decontaminate.overlaps(docs, bench)
+    want = sorted(map(tuple, few.collect()), key=repr)
+    kept = sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    many = decontaminate.overlaps(docs, bench)
+    assert sorted(map(tuple, many.collect()), key=repr) == want and len(want) >= 40 and "Python" not in plan(many)
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == kept
+
+
 def seedless(doc, item):
     """Whether some diagonal of the two token lists passes verification."""
     n = len(item)
