@@ -134,40 +134,44 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & fine & F.exists(v, lambda c: c != 0)).select(F.col(id_col).alias("_id"), v.cast("array<double>").alias("_v"))
 
 
-def sampled(rows: DataFrame, sample: int) -> tuple[pd.DataFrame, int]:
-    """The rows with the smallest hashes of their ids, at most ``sample`` of them, and the most frequent vector length among them (ties: the smallest)."""
-    got = rows.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id", "_v").limit(sample).toPandas()
-    return got, int(got["_v"].map(len).mode()[0]) if len(got) else 0
+def widest(rows: DataFrame) -> tuple[int, int]:
+    """(rows, length of the longest vector)."""
+    return tuple(rows.agg(F.count("*"), F.coalesce(F.max(F.size("_v")), F.lit(0))).first())
+
+
+def padded(rows: DataFrame, dim: int) -> DataFrame:
+    """Vectors of one length: shorter ones are filled up with zeros, which no inner product feels."""
+    return rows.withColumn("_v", F.concat("_v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("_v"))))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, probes: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank, <id_col>, score): each query's k nearest rows found, by inner product in double precision.
 
-    All rows are indexed: each goes to its most probable partition, dealt to blocks of about BLOCK vectors, so a hot
-    partition is many blocks and no task holds more than two. A query is sent to its most probable partitions; each block gives its
-    k best for each query, and a window takes the k best of those. Ties go to the smaller id; a query never finds its
-    own id. Rows that repeat an id with the same vector count once; of several vectors of one id, among candidates or
-    queries, the largest inner product counts; null ids and vectors that are null, zero or not finite take no part;
-    vectors of another length than the first sampled one's (the most frequent length of the sample) take no part
-    either. Other columns are ignored; empty tables give no rows.
+    All rows are indexed: each goes to its most probable partition, dealt to blocks of about BLOCK vectors. A query is sent to its
+    most probable partitions, and there to every block: blocks of queries are joined with blocks of vectors by the
+    names of both, so a hot partition is as many keys as it has blocks. Each block gives its k best for each query, and a window takes the k best
+    of those. Ties go to the smaller id; a query never finds its own id. Rows that repeat an id with the same vector count once; of
+    several vectors of one id, among candidates or queries, the largest inner product counts; null ids and vectors that are null,
+    zero or not finite take no part; a shorter vector counts as filled up with zeros. Other columns are ignored; empty tables give no rows.
     """
     spark, scratch = vectors.sparkSession, scratch or Scratch(vectors.sparkSession, "ann")
     kind = vectors.select(id_col).schema[0].dataType.simpleString()
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
-    total = rows.count()
-    got, dim = sampled(rows, sample)
-    if not len(got):
+    total, dim = widest(rows)
+    dim = max(dim, widest(asked)[1])
+    if not total:
         return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
-    x = np.array(got["_v"][got["_v"].map(len) == dim].tolist(), np.float64)
+    rows, asked = padded(rows, dim), padded(asked, dim)
+    got = rows.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id", "_v").limit(sample).toPandas()
+    x = np.array(got["_v"].tolist(), np.float64)
     router = learn(x, total, k)
     few = probes or router.probes
 
     def routed(width: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                own = batch[batch["_v"].map(len) == dim]
-                for at in range(0, len(own), 2048):
-                    some = own.iloc[at : at + 2048]
+                for at in range(0, len(batch), 2048):
+                    some = batch.iloc[at : at + 2048]
                     best = np.argsort(-router.scores(np.array(some["_v"].tolist(), np.float64)), axis=1, kind="stable")[:, :width]
                     for k in range(best.shape[1]):
                         yield some.assign(part=best[:, k].astype(np.int32))
@@ -176,7 +180,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_id", kind="stable")
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "ids": [pdf["_id"].tolist()], "vs": [np.array(pdf["_v"].tolist(), "<f8").tobytes()]})
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "block": pdf["block"].iloc[:1], "ids": [pdf["_id"].tolist()], "vs": [np.array(pdf["_v"].tolist(), "<f8").tobytes()]})
 
     def blocks(df: DataFrame, width: int, size: int, name: str) -> DataFrame:
         """One row for about ``size`` vectors of a partition: a partition is dealt to as many blocks as its count asks for."""
@@ -184,12 +188,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         counts = {r["part"]: r["count"] for r in sent.groupBy("part").count().collect()}  # MOST_PARTITIONS rows at most
         share = F.try_element_at(F.create_map(*(F.lit(x) for p, n in counts.items() for x in (p, -(-n // size)))), F.col("part")) if counts else F.lit(1)
         groups = sent.withColumn("block", F.pmod(F.xxhash64("_id"), share)).groupBy("part", "block")
-        out = scratch.keep(groups.applyInPandas(block, f"part int, ids array<{kind}>, vs binary"), name)
+        out = scratch.keep(groups.applyInPandas(block, f"part int, block long, ids array<{kind}>, vs binary"), name)
         scratch.drop(f"{name}-routed")
         return out
 
-    index, wanted = blocks(rows, 1, BLOCK, "index"), blocks(asked, few, BLOCK // 4, "queries")
-    pairs = index.join(wanted.select("part", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs")), "part")
+    index, wanted = blocks(rows, 1, BLOCK, "index"), blocks(asked, few, BLOCK // 4, "queries").withColumnRenamed("block", "q_block")
+    # Names of blocks first, then queries to each block of vectors: the last join's keys are as many as blocks of vectors.
+    names = index.select("part", "block").join(wanted.select("part", "q_block"), "part")
+    sent = names.join(wanted.select("part", "q_block", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs")), ["part", "q_block"])
+    pairs = index.join(sent, ["part", "block"])
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -220,11 +227,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 def recall(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
     """Share of the true k nearest that were found, against brute force on the given (small) query set, in blocks.
 
-    Vectors of another length than ``search`` would take are left out, as they are there. Without queries it is 1.
+    Without queries it is 1.
     """
-    rows = usable(vectors, id_col, vector_col)
-    _, dim = sampled(rows, SAMPLE)
-    asked = usable(queries, id_col, vector_col).where(F.size("_v") == dim).toPandas()
+    rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
+    dim = max(widest(rows)[1], widest(asked)[1])
+    rows, asked = padded(rows, dim), padded(asked, dim).toPandas()
     if not len(asked):
         return 1.0
     q, q_ids = np.array(asked["_v"].tolist(), np.float64), asked["_id"].to_numpy()
@@ -241,7 +248,7 @@ def recall(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 20
             r = np.repeat(np.arange(len(q)), c.shape[1])
             yield pd.DataFrame({"query_id": q_ids[r], "_id": ids[c.ravel()], "score": s[r, c.ravel()]})
 
-    true = rows.where(F.size("_v") == dim).dropDuplicates(["_id", "_v"]).mapInPandas(run, f"query_id {kind}, _id {kind}, score double")
+    true = rows.dropDuplicates(["_id", "_v"]).mapInPandas(run, f"query_id {kind}, _id {kind}, score double")
     true = true.where("score > -1e300").groupBy("query_id", "_id").agg(F.max("score").alias("score")).withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, _id)")).where(F.col("rank") <= k)
     hit = true.join(found.select("query_id", F.col(id_col).alias("_id")).distinct(), ["query_id", "_id"], "left_semi").count()
     return hit / max(true.count(), 1)
