@@ -53,8 +53,9 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The tables label documents, not pages: the rules' verdicts are the labels.
-    return urls.filter_urls(table(spark, sf_dir, "pages"))
+    # The tables label documents, not pages: pages are labelled by the lines they share with documents, and by the rules.
+    pages = table(spark, sf_dir, "pages")
+    return urls.filter_urls(pages, urls.labels_by_text(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

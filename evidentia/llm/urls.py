@@ -17,10 +17,13 @@ MOST_CHILDREN, LIGHT_PART, LIGHT_SHARE = 8, 50, 0.9
 #: Branches are merged unless their shares of bad pages differ beyond the 95 % of a two-sided normal test, or the shares of pages
 #: that end at them beyond Hoeffding's bound at that level.
 SIMILAR_Z, SIMILAR_ALPHA = 1.96, 0.05
-#: Smoothing: a template counts its host's rate as so many labelled pages, a host that of all pages; a template with labelled
-#: pages is rejected from this smoothed share of bad ones.
+#: Smoothing: a template counts the rate of the branch above it as so many labelled pages, a host that of all pages; a template
+#: is rejected from this smoothed share of bad ones.
 PRIOR_PAGES, REJECT_FROM = 4.0, 0.5
 
+#: Characters of a line that is looked for in other texts.
+LINE = 40
+
 WILD = "*"
 #: A merged branch is named by its leader and this sign, which no path segment can hold (shown as "leader|...").
 MERGED = "/+"
@@ -137,23 +140,60 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return tree
 
 
+def smoothed(bad: Column, labelled: Column, rate: Column) -> Column:
+    return (bad + PRIOR_PAGES * rate) / (labelled + PRIOR_PAGES)
+
+
 def judged(tree: DataFrame) -> DataFrame:
-    """(host, segs, labelled, bad_share) of every template: its share of bad pages, smoothed towards its host's, which is smoothed towards that of all pages."""
-    leaf = tree.groupBy("host", "segs").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    """(host, segs, labelled, bad_share) of every template.
+
+    A template's share of bad pages is smoothed towards that of the branch above it, this one towards the next, and so on to its
+    host's, which is smoothed towards that of all pages: without labelled pages a template is judged by its nearest labelled ancestor.
+    """
+    leaf = tree.groupBy("host", "segs").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).withColumn("key", F.xxhash64("segs"))
     hosts = leaf.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
     base = F.coalesce(F.col("all_bad") / F.nullif(F.col("all_labelled"), F.lit(0)), F.lit(0.0))
     total = hosts.agg(F.sum("host_labelled").alias("all_labelled"), F.sum("host_bad").alias("all_bad"))
-    host_rate = (F.col("host_bad") + PRIOR_PAGES * base) / (F.col("host_labelled") + PRIOR_PAGES)
+    heads = F.transform(F.sequence(F.lit(1), F.size("segs")), lambda k: F.xxhash64(F.slice("segs", F.lit(1), k)))
+    every = leaf.where(F.size("segs") > 0).select("host", "key", "labelled", "bad", F.size("segs").alias("own"), F.posexplode(heads).alias("level", "head"))
+    counts = every.groupBy("host", "head").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    chain = every.where(F.col("level") < F.col("own") - 1).join(counts, ["host", "head"]).groupBy("host", "key").agg(F.array_sort(F.collect_list(F.struct("level", "l", "b"))).alias("chain"))
     # total is one row of two numbers.
-    return leaf.join(hosts, "host").crossJoin(F.broadcast(total)).select("host", "segs", "labelled", ((F.col("bad") + PRIOR_PAGES * host_rate) / (F.col("labelled") + PRIOR_PAGES)).alias("bad_share"))
+    out = leaf.join(hosts, "host").crossJoin(F.broadcast(total)).join(chain, ["host", "key"], "left")
+    host_rate = smoothed(F.col("host_bad"), F.col("host_labelled"), base)
+    down = F.coalesce(F.aggregate("chain", host_rate, lambda r, x: smoothed(x["b"], x["l"], r)), host_rate)
+    return out.select("host", "segs", "labelled", smoothed(F.col("bad"), F.col("labelled"), down).alias("bad_share"))
+
+
+def lines_of(html: Column) -> Column:
+    """Hashes of the distinct lines of LINE characters or more of a page's visible text, or of a plain text."""
+    plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"(?i)<(br|/?(p|div|li|td|tr|h[1-6]|title|ul|table))\b[^>]*>", "\n")
+    cut = F.transform(F.split(F.regexp_replace(plain, "<[^>]*>", ""), "\n"), F.trim)
+    return F.array_distinct(F.transform(F.filter(cut, lambda x: F.length(x) >= LINE), lambda x: F.xxhash64(x)))
+
+
+def labels_by_text(pages: DataFrame, docs: DataFrame, labels: DataFrame, id_col: str = "page_id", html_col: str = "html", doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(<id_col>, bad 0/1) of the pages that share lines with labelled documents: bad where at least half of what they share is with bad ones.
+
+    labels has (doc_id, quality, toxic); a document is bad if its quality is 0 or it is toxic. A line that n documents hold
+    counts 1/n for each of them, so lines that many share say little. Lines are counted before they meet pages; no pair of a page
+    and a document is made. Pages without an id or without such lines have no label.
+    """
+    # explode_outer: a plain explode would make the optimizer test the arrays first and so cut every text twice.
+    own = docs.select(F.col(doc_col).alias("_d"), F.explode_outer(lines_of(F.col(text_col))).alias("_h")).where("_h is not null")
+    one = labels.groupBy(F.col(doc_col).alias("_d")).agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("_bad"))
+    counts = own.join(one, "_d", "left").groupBy("_h").agg(F.count("*").alias("_n"), F.count("_bad").alias("_l"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("_b")).where("_l > 0")
+    met = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_p"), F.explode_outer(lines_of(F.col(html_col))).alias("_h")).join(counts, "_h")
+    share = F.sum(F.col("_b") / F.col("_n")) / F.sum(F.col("_l") / F.col("_n"))
+    return met.groupBy("_p").agg((share >= 0.5).cast("int").alias("bad")).select(F.col("_p").alias(id_col), "bad")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", label_col: str = "bad", scratch: Scratch | None = None) -> DataFrame:
     """Per row of pages: id, host, path, rule (or null), verdict (allow or block), template, labelled (pages of it) and bad_share.
 
-    labels has (id, bad 0/1) for some pages. Pages that a rule decides also count as labelled, by the rule's verdict,
-    where labels says nothing. A fitting rule decides (the longest wins); else the page's template is blocked where it has
-    labelled pages and their smoothed share of bad ones reaches REJECT_FROM; a template without labelled pages is allowed.
+    labels has (id, bad 0/1) for some pages, see ``labels_by_text``. Pages that a rule decides also count as labelled, by the rule's
+    verdict, where labels says nothing. A fitting rule decides (the longest wins); else the page's template is blocked where its
+    smoothed share of bad pages, or without labelled pages that of its nearest labelled ancestor, reaches REJECT_FROM.
     Null urls and urls without :// have empty host and path and form a host of their own; repeated rows are judged
     alike; null ids are kept and count as unlabelled; a page with several labels counts as bad if one says so; other
     columns are ignored, also those named like results; an empty table gives no rows.
@@ -168,7 +208,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules: list[t
     tree = templates(base, scratch or Scratch(pages.sparkSession, "urls"))
     paths = tree.select("host", "raw", "segs").join(judged(tree), ["host", "segs"]).select("host", F.col("raw").alias("segs"), F.col("segs").alias("template"), "labelled", "bad_share")
     out = base.join(paths, ["host", "segs"], "left")
-    learned = F.when((F.col("labelled") > 0) & (F.col("bad_share") >= REJECT_FROM), "block").otherwise("allow")
+    learned = F.when(F.col("bad_share") >= REJECT_FROM, "block").otherwise("allow")
     template = F.concat(F.lit("/"), F.array_join(F.transform("template", lambda s: F.replace(s, F.lit(MERGED), F.lit("|..."))), "/"))
     return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", learned).alias("verdict"), template.alias("template"), "labelled", F.round("bad_share", 9).alias("bad_share"))
 

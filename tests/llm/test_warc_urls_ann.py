@@ -196,9 +196,10 @@ def plain_tree(rows):
                     if not apart and abs(x[3] / x[0] - ended / n) <= bound:
                         names[host, head, s] = names[host, head, lead] = lead + urls.MERGED
         rename(level, names)
-    leaf, hosts, total = {}, {}, [0, 0]
+    leaf, hosts, total, under = {}, {}, [0, 0], {}
     for k, segs in now.items():
-        for at in (leaf.setdefault((k[0], tuple(segs)), [0, 0]), hosts.setdefault(k[0], [0, 0]), total):
+        above = [under.setdefault((k[0], tuple(segs[:j])), [0, 0]) for j in range(1, len(segs) + 1)]
+        for at in (leaf.setdefault((k[0], tuple(segs)), [0, 0]), hosts.setdefault(k[0], [0, 0]), total, *above):
             at[0] += paths[k][1]
             at[1] += paths[k][2]
     base = total[1] / total[0] if total[0] else 0
@@ -206,6 +207,9 @@ def plain_tree(rows):
     for k, segs in now.items():
         labelled, bad = leaf[k[0], tuple(segs)]
         rate = (hosts[k[0]][1] + urls.PRIOR_PAGES * base) / (hosts[k[0]][0] + urls.PRIOR_PAGES)
+        for j in range(1, len(segs)):
+            n, b = under[k[0], tuple(segs[:j])]
+            rate = (b + urls.PRIOR_PAGES * rate) / (n + urls.PRIOR_PAGES)
         share[k] = "/" + "/".join(s.replace(urls.MERGED, "|...") for s in segs), labelled, (bad + urls.PRIOR_PAGES * rate) / (labelled + urls.PRIOR_PAGES)
     return share
 
@@ -229,10 +233,26 @@ def test_tree_equals_a_plain_one(spark, seed):
     assert len(got) == len(rows)
     for x in got:
         template, labelled, share = want[cut(by[x.page_id])]
-        assert (x.template, x.labelled, x.verdict) == (template, labelled, "block" if labelled and share >= urls.REJECT_FROM else "allow") and abs(x.bad_share - share) < 1e-8
+        assert (x.template, x.labelled, x.verdict) == (template, labelled, "block" if share >= urls.REJECT_FROM else "allow") and abs(x.bad_share - share) < 1e-8
     assert {x.verdict for x in got} == {"allow", "block"} and any("|..." in x.template for x in got) and any("*" in x.template for x in got)
 
 
+def test_unlabelled_templates_follow_their_nearest_labelled_ancestor(spark):
+    rows = [(k, f"http://h.org/a/x/{'p' if k % 2 else 'q'}", "", "", "") for k in range(40)] + [(100 + k, f"http://h.org/b/{'p' if k % 2 else 'q'}", "", "", "") for k in range(40)]
+    labels = spark.createDataFrame([(k, 1) for k in range(1, 40, 2)] + [(100 + k, 0) for k in range(1, 40, 2)], "page_id long, bad int")
+    got = {x.page_id: x.verdict for x in urls.filter_urls(spark.createDataFrame(rows, PAGES), labels, rules=[]).collect()}
+    assert got == {k: "block" if k < 100 else "allow" for k in got}
+
+
+def test_labels_by_shared_text(spark):
+    line = lambda k: f"line number {k} of a text that is long enough to be looked for"
+    docs = spark.createDataFrame([(1, line(1) + "\n" + line(9)), (2, line(2) + "\nshort\n" + line(9)), (3, line(3)), (4, None), (None, line(1))], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0), (3, 1, 1), (1, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    pages = [(1, f"<html><p>{line(1)}</p></html>"), (2, f"<div>{line(2)}<br/>{line(2)}</div>"), (3, f"<script>{line(1)}</script><p>{line(3)}</p>"), (4, "<p>short</p>"), (5, None), (None, f"<p>{line(1)}</p>"), (6, f"<p>{line(7)}"), (7, f"<p>{line(2)}</p><p>{line(1)}</p><p><b>{line(3)}</b></p>")]
+    got = urls.labels_by_text(spark.createDataFrame(pages, "page_id long, html string"), docs, labels).collect()
+    assert {(r.page_id, r.bad) for r in got} == {(1, 1), (2, 0), (3, 1), (7, 1)}
+
+
 VECTORS = "vec_id long, embedding array<float>, score string"
 
 
@@ -247,17 +267,41 @@ def test_search_against_brute_force(spark):
     by = {}
     for r in got:
         by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    assert set(by) == set(range(0, 900, 20))
-    d = x.astype(float)
+    # The shorter vector counts as filled up with zeros.
+    own = {k: v.astype(float) for k, v in enumerate(x)} | {2080: np.eye(16)[0]}
+    assert set(by) == {*range(0, 900, 20), 2080}
     for q, found in by.items():
         found.sort()
-        s = d @ d[q]
-        want = sorted((k for k in range(900) if k != q), key=lambda k: (-s[k], k))[:20]
+        s = {k: v @ own[q] for k, v in own.items()}
+        want = sorted((k for k in own if k != q), key=lambda k: (-s[k], k))[:20]
         assert [v for _, v, _ in found] == want and [r for r, _, _ in found] == list(range(1, 21))
-        assert np.allclose([c for _, _, c in found], s[want], rtol=0, atol=1e-12)
+        assert np.allclose([c for _, _, c in found], [s[k] for k in want], rtol=0, atol=1e-12)
     assert ann.recall(ann.search(df, ask), df, ask) >= 0.9
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, [float(np.float32(c)) for c in rng.normal(size=3 + k % 2)], "") for k in range(60)]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(df, df.where("vec_id % 20 = 0"), k=5, probes=8).collect())
+    s = lambda a, b: sum(c * d for c, d in zip(rows[a][1], rows[b][1], strict=False))
+    want = [(q, r + 1, k) for q in range(0, 60, 20) for r, k in enumerate(sorted((k for k in range(60) if k != q), key=lambda k: (-s(q, k), k))[:5])]
+    assert got == want
+
+
+def test_blocks_of_a_hot_partition_are_keys_of_their_own(spark, monkeypatch):
+    """One partition holds all vectors; the search's join is keyed by partition and block, and gives the same rows."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(k, [1.0 + float(c) for c in rng.normal(size=4) * 0.01], "") for k in range(300)], VECTORS)
+    ask = df.where("vec_id % 20 = 0")
+    want = sorted(map(tuple, ann.search(df, ask, probes=8).collect()))
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    out = ann.search(df, ask, probes=8)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in x and "part" in x and "block" in x.split("q_block")[0] for x in plan.split("\n"))
+    assert sorted(map(tuple, out.collect())) == want
+
+
 def test_search_of_little(spark):
     none = spark.createDataFrame([], VECTORS)
     assert ann.search(none, none).count() == 0
