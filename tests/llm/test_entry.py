@@ -18,12 +18,15 @@ COLUMNS = {
     "op8_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op9_ann": {"query_id", "rank", "vec_id", "score"},
     "op10_url_filter": {"page_id", "host", "path", "rule", "verdict"},
+    "op11_hard_negatives": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
+    "op12_quality_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
+    "op13_collocations": {"lang", "rank", "phrase", "a", "l", "r", "n", "score"},
 }
 
 
 def test_names():
     own = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in own if k.startswith("op") and k[2].isdigit()} and "pipeline" in own
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in own if k.startswith("op") and k[2].isdigit()} and "pipeline" in own
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
@@ -36,7 +39,7 @@ def test_runs(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_twin(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
         p = Path(DATA, f"{t}.parquet")
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p}{'/*.parquet' if p.is_dir() else ''}'")
     out = c.execute(queries.oracle_sql()[name])
