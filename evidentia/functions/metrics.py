@@ -82,14 +82,17 @@ def best_f1(pred: Column, golds: Column) -> Column:
     return let(normalize_answer(F.coalesce(pred, F.lit(""))), lambda p: best_normal_f1(p, normal_golds(golds)))
 
 
+def normal_answer_scores(p: Column, golds: Column, filled: Column) -> Column:
+    """M6 on normal forms: struct(em, hit, f1, precision, recall); zeros where the prediction is not filled."""
+    one = lambda c: F.when(F.coalesce(filled & c, F.lit(False)), 1.0).otherwise(0.0)
+    best = lambda b: [F.when(filled, b[m]).otherwise(0.0).alias(m) for m in ("f1", "precision", "recall")]
+    return let(best_normal_f1(p, golds), lambda b: F.struct(one(F.array_contains(golds, p)).alias("em"), one(F.exists(golds, lambda g: p.contains(g))).alias("hit"), *best(b)))
+
+
 def answer_scores(pred: Column, golds: Column) -> Column:
-    """M6: struct(em, hit, f1); zeros where the prediction is empty."""
-    some = F.coalesce(pred, F.lit("")) != ""
-    return F.struct(
-        F.when(some & exact_match(pred, golds), 1.0).otherwise(0.0).alias("em"),
-        F.when(some & hit(pred, golds), 1.0).otherwise(0.0).alias("hit"),
-        F.when(some, best_f1(pred, golds)["f1"]).otherwise(0.0).alias("f1"),
-    )
+    """M6: struct(em, hit, f1, precision, recall) of a prediction against gold answers."""
+    filled = F.coalesce(pred, F.lit("")) != ""
+    return let(normalize_answer(F.coalesce(pred, F.lit(""))), lambda p: let(normal_golds(golds), lambda g: normal_answer_scores(p, g, filled)))
 
 
 def supporting_fact_scores(preds: Column, golds: Column) -> Column:

@@ -101,9 +101,45 @@ def last_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
 
 
-def sample_rows(rows: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
-    """N rows if 0 < n, chosen by a seeded hash of the key; the limit is the feature."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n) if n > 0 else rows
+#: Rows that may be sorted in one task at the edge of a sample.
+EDGE = 100_000
+
+
+def shuffled(rows: DataFrame, seed: int = 42, key: str = "id") -> DataFrame:
+    """Rows in the order of a seeded hash of the key, by ranges of it."""
+    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key)
+
+
+def sample_rows(rows: DataFrame, n: int, seed: int = 42, key: str = "id", edge: int = EDGE) -> DataFrame:
+    """If 0 < n < all rows, the n rows with the smallest seeded hashes of their key (ties: by key); else all, shuffled.
+
+    The hash up to which rows are taken is found by quantiles of it: each round brackets the n-th hash by two quantiles and counts what
+    lies below, until few enough rows are left between them to be sorted. So no task sorts or holds n rows.
+    """
+    if n <= 0 or n >= rows.count():
+        return shuffled(rows, seed, key)
+    name = "_h"
+    while name in rows.columns:
+        name += "_"
+    hashed, need = rows.withColumn(name, F.xxhash64(key, F.lit(seed))), n
+    low, high = -(2**63), 2**63 - 1
+    while True:
+        band = hashed.where(F.col(name).between(low, high))
+        left = band.count()
+        if left <= edge or low == high:
+            break
+        share = need / left
+        a, b = band.agg(F.percentile_approx(name, [max(share - 0.01, 0.0), min(share + 0.01, 1.0)], 10_000)).first()[0]
+        below, upto = band.agg(F.count_if(F.col(name) < a), F.count_if(F.col(name) <= b)).first()
+        if below >= need:
+            high = a - 1
+        elif upto < need:
+            low, need = b + 1, need - upto
+        elif (a, b) == (low, high):
+            low = high = a  # one hash, whose rows are alike
+        else:
+            low, high, need = a, b, need - below
+    return hashed.where(F.col(name) < low).union(band.orderBy(name, key).limit(need)).drop(name)
 
 
 def answerable_samples(samples: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentia.functions.metrics import best_normal_f1, failed, joint_scores, normal_golds, row_lengths, supporting_fact_scores
+from evidentia.functions.metrics import failed, joint_scores, normal_answer_scores, normal_golds, row_lengths, supporting_fact_scores
 from evidentia.functions.text import extract_answer, extract_answer_tagged, extract_evidence, noise_coordinate, normalize_answer, relative_delta
 
 
@@ -24,11 +24,10 @@ def scored(rows: DataFrame, legacy_unpack: bool = False) -> DataFrame:
     answer, golds = F.col("answer"), F.col("answers")
     normal = rows.withColumns({"_p": normalize_answer(F.coalesce(answer, F.lit(""))), "_g": normal_golds(golds), "_s": supporting_fact_scores(F.col("pred_facts"), F.col("facts")), "_l": row_lengths(answer, golds, F.col("pred_facts"), F.col("predict"))})
     some = F.coalesce(answer, F.lit("")) != ""
-    one = lambda c: F.when(F.coalesce(some & c, F.lit(False)), 1.0).otherwise(0.0)
-    out = normal.withColumns({"_b": best_normal_f1(F.col("_p"), F.col("_g")), "_em": one(F.array_contains("_g", F.col("_p"))), "_hit": one(F.exists("_g", lambda g: F.col("_p").contains(g)))})
-    out = out.withColumn("_j", joint_scores(F.col("_em"), F.col("_b"), F.col("_s"), F.col("_l.answer_parsed") & F.col("_l.facts_parsed"), legacy_unpack))
+    out = normal.withColumn("_a", normal_answer_scores(F.col("_p"), F.col("_g"), some))
+    out = out.withColumn("_j", joint_scores(F.col("_a.em"), F.col("_a"), F.col("_s"), F.col("_l.answer_parsed") & F.col("_l.facts_parsed"), legacy_unpack))
     return out.select(
-        *rows.columns, F.col("_em").alias("em"), F.col("_hit").alias("hit"), *(F.when(some, F.col(f"_b.{m}")).otherwise(0.0).alias(n) for m, n in (("f1", "f1"), ("precision", "prec"), ("recall", "recall"))),
+        *rows.columns, *(F.col(f"_a.{m}").alias(n) for m, n in (("em", "em"), ("hit", "hit"), ("f1", "f1"), ("precision", "prec"), ("recall", "recall"))),
         *(F.col(f"_s.{m}").alias(f"sp_{n}") for m, n in (("em", "em"), ("f1", "f1"), ("precision", "prec"), ("recall", "recall"))),
         *(F.col(f"_j.{m}").alias(f"joint_{n}") for m, n in (("em", "em"), ("f1", "f1"), ("precision", "prec"), ("recall", "recall"))), "_l.*",
     )
@@ -130,3 +129,21 @@ def length_report(rows: DataFrame, tokens: Column) -> DataFrame:
 def too_long(rows: DataFrame, tokens: Column, limit: int = 28 * 1024) -> DataFrame:
     """Rows over the token limit; callers that want a hard stop raise when it is not empty."""
     return rows.where(tokens > limit)
+
+
+def sample_text(context: Column, query: Column, facts: Column) -> Column:
+    """What a sample's length is counted over."""
+    return F.concat_ws("\n", context, query, F.array_join(facts, "\n"))
+
+
+def write_within_limit(rows: DataFrame, tokens: Column, path: str, limit: int = 28 * 1024) -> dict[str, float]:
+    """Writes rows below path and returns n, mean_tokens and max_tokens of the same job; a row over the limit stops it, and nothing is committed."""
+    name = "_tokens"
+    while name in rows.columns:
+        name += "_"
+    own = Observation("lengths")
+    checked = F.when(F.col(name) > limit, F.raise_error(F.concat(F.lit("a sample has "), F.col(name).cast("string"), F.lit(f" tokens; the limit is {limit}"))).cast("long")).otherwise(F.col(name))
+    seen = rows.withColumn(name, tokens.cast("long")).withColumn(name, checked).observe(own, F.count(F.lit(1)).alias("n"), F.avg(name).alias("mean_tokens"), F.max(name).alias("max_tokens"))
+    # The lengths are a column of what is written, else the plan would not compute them.
+    seen.write.mode("overwrite").parquet(path)
+    return own.get

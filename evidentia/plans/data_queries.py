@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.stem import english_stem, plural_stem
 from evidentia.operators import attempts as A
 from evidentia.operators import containment, lookups, plugins, retrieval
-from evidentia.plans.base import ATTEMPTS, PREDICTIONS, TURNS, attempts, predictions, query, rounded, strip, table, turns
+from evidentia.plans.base import ATTEMPTS, PREDICTIONS, TURNS, attempts, predictions, query, rounded, scratch, strip, table, turns
 from evidentia.sources import adapters, readers
 from evidentia.streaming import attempts as streams
 
 K = 40
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder, or a local one in local mode."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        local = spark.sparkContext.master.startswith("local[")
-        where = "file://" + tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    return f"{where}/{name}-{uuid.uuid4().hex}"
-
-
 @query("a10_pass_at_k", f"WITH {ATTEMPTS}, a AS (SELECT id, bool_or(is_correct) AS ok FROM attempts WHERE is_correct IS NOT NULL GROUP BY id) SELECT count(*) FILTER (ok) AS n_correct, count(*) AS n_ids FROM a")
 def a10(spark: SparkSession, d: str) -> DataFrame:
     return A.pass_at_k(attempts(spark, d))
@@ -177,12 +165,34 @@ def c6(spark: SparkSession, d: str) -> DataFrame:
     return gold_and_distractors(spark, d)[2].select("query_id", "doc", F.col("rank").cast("long").alias("rank"))
 
 
-@query("c7_contexts", f"WITH {GOLD}, used AS (SELECT query_id, doc FROM x WHERE rank <= 5 UNION SELECT query_id, doc FROM gold) SELECT query_id, count(*)::INT AS n_docs, (sum(len(text)) + 2 * (count(*) - 1))::INT AS n_chars FROM used JOIN docs USING (doc) GROUP BY query_id")
+_TEXT = "sha256(string_agg(text, chr(10) || chr(10) ORDER BY md5(doc || ':42'), doc)) AS context_sha256"
+
+
+@query("c7_contexts", f"WITH {GOLD}, used AS (SELECT query_id, doc FROM x WHERE rank <= 5 UNION SELECT query_id, doc FROM gold) SELECT query_id, count(*)::INT AS n_docs, (sum(len(text)) + 2 * (count(*) - 1))::INT AS n_chars, {_TEXT} FROM used JOIN docs USING (doc) GROUP BY query_id")
 def c7(spark: SparkSession, d: str) -> DataFrame:
     index, gold, extra = gold_and_distractors(spark, d)
     used = gold.select("query_id", "doc").union(extra.select("query_id", "doc")).distinct()
     context = retrieval.assemble(gold, extra, index.corpus)
-    return context.join(used.groupBy("query_id").agg(F.count("*").cast("int").alias("n_docs")), "query_id").select("query_id", "n_docs", F.length("context").alias("n_chars"))
+    return context.join(used.groupBy("query_id").agg(F.count("*").cast("int").alias("n_docs")), "query_id").select("query_id", "n_docs", F.length("context").alias("n_chars"), F.sha2("context", 256).alias("context_sha256"))
+
+
+@query("c7_unanswerable", f"WITH {GOLD} SELECT query_id, {_TEXT} FROM x JOIN docs USING (doc) WHERE rank <= 5 GROUP BY query_id")
+def c7b(spark: SparkSession, d: str) -> DataFrame:
+    index, gold, extra = gold_and_distractors(spark, d)
+    return retrieval.assemble(gold, extra, index.corpus, answerable=False).select("query_id", F.sha2("context", 256).alias("context_sha256"))
+
+
+@query("c5_gold_facts", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), g AS (SELECT doc_id, list_filter(l, lambda x: len(x) % 3 = 0) AS g FROM l)
+SELECT doc_id, len(g)::INT AS n_gold, sha256(array_to_string(list_transform(g, lambda x: x || chr(1) || x || '!'), chr(2))) AS facts FROM g""")
+def c5g(spark: SparkSession, d: str) -> DataFrame:
+    """A paragraph for each line; a third of them, by length, holds two facts, the others none or null."""
+    facts = lambda x, k: F.when(F.length(x) % 3 == 0, F.array(x, F.concat(x, F.lit("!")))).when(k % 2 == 0, F.array().cast("array<string>"))
+    corpus = F.transform(F.split("text", "\n"), lambda x, k: F.struct(F.lit("t").alias("title"), F.array(x).alias("sentences"), facts(x, k).alias("facts")))
+    rows = table(spark, d, "documents").select("doc_id", corpus.alias("corpus"))
+    pairs = F.array_join(retrieval.gold_facts(F.col("corpus")), "\x01")
+    # Pairs of facts are told apart as in the twin.
+    joined = F.array_join(F.transform(retrieval.gold_paragraphs(F.col("corpus")), lambda p: F.array_join(p["facts"], "\x01")), "\x02")
+    return rows.select("doc_id", F.size(retrieval.gold_paragraphs(F.col("corpus"))).alias("n_gold"), F.when(F.replace(joined, F.lit("\x02"), F.lit("\x01")) == pairs, F.sha2(joined, 256)).alias("facts"))
 
 
 @query("x6_x7_global", """WITH t AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM documents), l AS (SELECT line FROM t WHERE line <> ''),
@@ -340,6 +350,19 @@ def n15(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.bool_and(F.coalesce("again", F.lit(False))).alias("again"))
 
 
+@query("n15_half", """WITH n AS (SELECT count(*) AS n FROM documents) SELECT n // 2 AS half, n // 2 AS half_ids, n AS shuffled, n AS beyond, n > 1 AS moved FROM n""")
+def n15b(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the rows by rounds of quantiles, and all of them shuffled (n = 0, and n beyond the rows)."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id")
+    half = lookups.sample_rows(rows, rows.count() // 2, edge=64).agg(F.count("*").alias("half"), F.countDistinct("id").alias("half_ids"))
+    # A shuffle keeps the rows and changes their order: ids no longer rise from one row to the next.
+    place = F.monotonically_increasing_id()
+    order = lookups.sample_rows(rows, 0).withColumn("p", place)
+    rising = order.agg(F.count("*").alias("shuffled"), (F.corr("p", "doc_id") < 0.9).alias("moved"))
+    beyond = lookups.sample_rows(rows, 2**40).agg(F.count("*").alias("beyond"))
+    return half.join(rising).join(beyond).select("half", "half_ids", "shuffled", "beyond", "moved")
+
+
 # Sources and sinks: written to the shared folder and read back ------------------------------------------------------------
 
 
@@ -373,6 +396,22 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_formatted(spark, path, dataset="set1", noise=2).select("id", "ans", "noise")
 
 
+@query("s6_versions", f"WITH {TURNS} SELECT noise, count(*) AS n, CASE WHEN noise = 2 THEN 'new' ELSE 'old' END AS version, count(DISTINCT ans) AS n_answers FROM turns WHERE noise IN (2, 4) GROUP BY noise")
+def s6b(spark: SparkSession, d: str) -> DataFrame:
+    """Two keys are cached, one of them is reloaded (as gzipped json), the other is asked again and stays."""
+    path, rows = scratch(spark, "versions"), turns(spark, d)
+
+    def cached(noise: int, version: str, reload: bool) -> DataFrame:
+        key = {"dataset": "a/b", "subset": "all sets", "split": "test", "noise": noise, "answerable": True}
+        build = lambda: rows.where(F.col("noise") == noise).select("id", "ans", F.lit(version).alias("version"))
+        return readers.formatted(spark, path, key, build, "id string, ans string, version string", reload, fmt="json" if noise == 2 else "parquet").withColumn("noise", F.lit(noise))
+
+    for noise in (2, 4):
+        cached(noise, "old", False)
+    both = cached(2, "new", True).union(cached(4, "new", False))
+    return both.groupBy("noise", "version").agg(F.count("*").alias("n"), F.countDistinct("ans").alias("n_answers"))
+
+
 @query("s9_legacy_result", f"WITH {PREDICTIONS} SELECT model AS model_name, prompt_type, dataset, id, predict, array_to_string(answers, '|') AS answers, array_to_string(facts, '|') AS facts FROM predictions")
 def s9(spark: SparkSession, d: str) -> DataFrame:
     path, item = scratch(spark, "legacy"), F.struct("predict", F.col("answers").alias("answer"), F.col("facts").alias("sfs"), F.col("t").alias("context"))

@@ -10,7 +10,7 @@ from evidentia.functions import rewards as R
 from evidentia.functions.text import extract_evidence
 from evidentia.operators import attempts as A
 from evidentia.operators import lookups, reports, squad
-from evidentia.plans.base import ANSWERS, ATTEMPTS, METHODS, PREDICTIONS, SCORED, TAGGED, answers_table, attempts, method_scores, norm, predictions, query, rounded, strip, table
+from evidentia.plans.base import ANSWERS, ATTEMPTS, METHODS, PREDICTIONS, SCORED, TAGGED, answers_table, attempts, method_scores, norm, predictions, query, rounded, scratch, strip, table
 
 LANGS = ["de", "en", "es", "fr"]
 
@@ -182,6 +182,14 @@ def n16(spark: SparkSession, d: str) -> DataFrame:
     return rounded(reports.length_report(table(spark, d, "documents"), F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))))
 
 
+@query("n16_write_report", "WITH t AS (SELECT len(regexp_extract_all(text || chr(10) || source || chr(10) || lang || chr(10) || source, '\\S+')) AS k FROM documents) SELECT count(*) AS n, round(avg(k), 6) AS mean_tokens, max(k) AS max_tokens FROM t")
+def n16c(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as samples of context, query and facts, written with their report in one job; none is over the limit."""
+    words = F.size(F.regexp_extract_all(reports.sample_text(F.col("text"), F.col("source"), F.array("lang", "source")), F.lit(r"\S+"), F.lit(0)))
+    seen = reports.write_within_limit(table(spark, d, "documents"), words, scratch(spark, "samples"), 1_000_000)
+    return rounded(spark.createDataFrame([(seen["n"], seen["mean_tokens"], seen["max_tokens"])], "n long, mean_tokens double, max_tokens long"))
+
+
 @query("n16_too_long", "SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '\\S+')) > 1000")
 def n16b(spark: SparkSession, d: str) -> DataFrame:
     return reports.too_long(table(spark, d, "documents"), F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))), 1000).select("doc_id")
@@ -240,6 +248,14 @@ def r11(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rewarded(spark, d).select("id", R.answer_f1_reward(c, a).alias("f1"), R.answer_em_reward(c, a).alias("em"), R.answer_hit_reward(c, a).alias("hit"), R.combined_reward(c, a, g).alias("combined"), R.curriculum_reward(c, a, g, "answer_only").alias("answer_phase")))
 
 
+@query("r9_exact_copy", f"""WITH {_COPY}, e AS (SELECT *, len(sp) >= len(facts) AND ev1 AS ev_all, coalesce(h, 0) / nullif(len(pfacts), 0) AS xp, coalesce(h, 0) / nullif(len(facts), 0) AS xr FROM cf), x AS (SELECT *, CASE WHEN xp + xr > 0 THEN 2 * xp * xr / (xp + xr) ELSE 0 END AS xf FROM e)
+SELECT id, round(CASE WHEN valid AND ev1 THEN CASE WHEN xf = 1 THEN 1.5 ELSE xf END ELSE 0 END, 6) AS dense, CASE WHEN valid AND ev_all AND xf = 1 THEN 1.0::DOUBLE ELSE 0 END AS sparse FROM x""")
+def r9_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Without the small terms an F1 of 1 occurs, with its bonus and the sparse reward."""
+    c, g = F.col("predict"), F.col("golds")
+    return rounded(rewarded(spark, d).select("id", R.copy_reward(c, g, "dense", eps=0).alias("dense"), R.copy_reward(c, g, "sparse", eps=0).alias("sparse")))
+
+
 @query("r22_weighted_reward", f"""WITH {_COPY}, {_f1('answers')} SELECT id, round(0.1 * (0.5 * valid::INT + 0.25 * (coalesce(think, '') <> '')::INT + 0.25 * (coalesce(rans, '') <> '')::INT) + 0.4 * CASE WHEN valid AND ev1 THEN cf1 ELSE 0 END + 0.5 * CASE WHEN valid THEN bf ELSE 0 END, 6) AS reward FROM an""")
 def r22(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rewarded(spark, d).select("id", R.weighted_reward({"format": 0.1, "dense_copy": 0.4, "answer_f1": 0.5}, F.col("predict"), F.col("answers"), F.col("golds")).alias("reward")))
@@ -263,9 +279,13 @@ def r17(spark: SparkSession, d: str) -> DataFrame:
     return rounded(plain_style(spark, d).select("id", R.unified_reward(c, F.col("facts"), F.col("ans")).alias("unified"), R.answer_only_reward(c, F.col("ans")).alias("answer_only")))
 
 
-@query("r16_blended_reward", f"WITH {SCORED}, b AS (SELECT scored.*, think, valid, ev1, pfacts FROM scored JOIN (WITH {REWARDED} SELECT id AS bid, think, valid, ev1, pfacts FROM st) ON bid = id) SELECT id, round(CASE WHEN valid AND ev1 AND len(pfacts) > 0 AND {strip('facts[1]')} <> '' THEN sp_recall ELSE 0 END, 6) AS blended FROM b")
+@query("r16_blended_reward", f"""WITH {SCORED}, b AS (SELECT scored.*, think, valid, ev1, pfacts FROM scored JOIN (WITH {REWARDED} SELECT id AS bid, think, valid, ev1, pfacts FROM st) ON bid = id),
+c AS (SELECT *, list_transform(pfacts, lambda s: lower({strip('s')})) AS pl, list_transform(string_split(t, ''), lambda s: lower({strip('s')})) AS cl FROM b),
+f AS (SELECT *, len(list_filter(pl, lambda x: contains(array_to_string(cl, ' '), x))) AS ctp, len(list_filter(cl, lambda x: NOT contains(array_to_string(pl, ' '), x))) AS cfn FROM c),
+y AS (SELECT *, CASE WHEN len(pl) > 0 AND {strip("t[1]")} <> '' AND ctp > 0 THEN 2 * (ctp / len(pl)) * (ctp / (ctp + cfn)) / (ctp / len(pl) + ctp / (ctp + cfn)) ELSE 0 END AS y FROM f)
+SELECT id, round(CASE WHEN valid AND ev1 THEN 0.95 * CASE WHEN len(pfacts) > 0 AND {strip('facts[1]')} <> '' THEN sp_recall ELSE 0 END + 0.05 * y ELSE 0 END, 6) AS blended FROM y""")
 def r16(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rewarded(spark, d).select("id", R.blended_copy_reward(F.col("predict"), F.col("golds"), F.col("t"), context_share=0.0).alias("blended")))
+    return rounded(rewarded(spark, d).select("id", R.blended_copy_reward(F.col("predict"), F.col("golds"), F.col("t")).alias("blended")))
 
 
 @query("r8_evidence_counts", "WITH " + PREDICTIONS + " SELECT id, len(regexp_extract_all(predict, '<\\|EVIDENCE\\|>'))::INT AS n FROM predictions")

@@ -88,6 +88,32 @@ def t12(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", *(F.sha2(P.user_prompt(k, F.col("question"), F.col("context")), 256).alias(k) for k in PROMPTS))
 
 
+_LISTED = lambda a: f"array_to_string(list_transform({a}, lambda x: '- ' || x), chr(10))"
+_LEGACY = {"direct": "Answer:", "reasoning": "Reason, then answer.", "reasoning_with_evidence": "Reason with copied evidence, then answer.", "reasoning_with_evidence_old": "Reason with copied evidence, then answer between tags."}
+_OTHER_COLUMNS = ", ".join([
+    f"sha256({_BLOCK}) AS attempt", f"sha256(CASE WHEN conv_id % 2 = 0 THEN {_BLOCK} || chr(10) || chr(10) || '## Answers known to be wrong' || chr(10) || {_LISTED('wrong')} ELSE {_BLOCK} END) AS attempt_with_tips",
+    f"sha256({_C} || {_NL} || {_Q} || {_NL} || '## Facts' || chr(10) || {_LISTED('facts')} || {_NL} || '## Answers' || chr(10) || {_LISTED('[ans]')} || {_NL} || 'Do the facts support the answers? Reply yes or no.') AS judge",
+    *(f"sha256('Context: ' || context || chr(10) || 'Question: ' || question || chr(10) || '{v}') AS {k}" for k, v in _LEGACY.items()), *(f"sha256('{v.replace(chr(39), chr(39) * 2)}') AS system_{k}" for k, v in P.SYSTEM.items() if k in ("rag", "cot", "rag_rep_2")),
+])
+
+
+@query("t12_other_prompts", f"WITH {TURNS}, p AS (SELECT id, conv_id, q AS question, t AS context, ans, [ans, 'no ' || ans] AS wrong, string_split(t, chr(10)) AS facts FROM turns) SELECT id, {_OTHER_COLUMNS} FROM p")
+def t12b(spark: SparkSession, d: str) -> DataFrame:
+    """Attempt prompts (with earlier wrong answers for every other conversation), judge prompts, older layouts and system texts."""
+    q, c, ans = F.col("q"), F.col("t"), F.col("ans")
+    wrong = F.when(F.col("conv_id") % 2 == 0, F.array(ans, F.concat(F.lit("no "), ans)))
+    made = {"attempt": P.attempt_prompt(q, c), "attempt_with_tips": P.attempt_prompt(q, c, wrong), "judge": P.judge_prompt(q, c, F.split("t", "\n"), F.array("ans"))}
+    made |= {k: P.legacy_prompt(k, q, c) for k in _LEGACY} | {f"system_{k}": P.prompt(k, q, c)["system"] for k in ("rag", "cot", "rag_rep_2") if k in P.SYSTEM}
+    return turns(spark, d).select("id", *(F.sha2(v, 256).alias(k) for k, v in made.items()))
+
+
+@query("t18_delta_text", """WITH m AS (SELECT source, lang, avg(n_chars) AS a, count(*) AS n FROM documents GROUP BY 1, 2), d AS (SELECT *, CASE WHEN a = 0 THEN 0 ELSE (n * 40 - a) / a * 100 END AS delta FROM m)
+SELECT source, lang, CASE WHEN delta >= 0 THEN '+' ELSE '' END || printf('%.1f%%', delta) AS delta FROM d""")
+def t18(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, D).groupBy("source", "lang").agg(F.avg("n_chars").alias("a"), F.count("*").alias("n"))
+    return m.select("source", "lang", T.delta_text(T.relative_delta(F.col("a"), F.col("n") * 40)).alias("delta"))
+
+
 @query("t13_dataset_names", """WITH n AS (SELECT DISTINCT source, lang FROM documents) SELECT source, lang, CASE lang WHEN 'en' THEN 'HotpotQA' WHEN 'fr' THEN 'MuSiQue' WHEN 'de' THEN '2WikiMultiHopQA' ELSE source END AS name FROM n""")
 def t13(spark: SparkSession, d: str) -> DataFrame:
     raw = F.when(F.col("lang") == "en", "hotpot-QA").when(F.col("lang") == "fr", "mu_siQUE").when(F.col("lang") == "de", "2wiki_dev").otherwise(F.col("source"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,8 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 CACHE_KEYS = ["dataset", "split", "noise", "answerable"]
+#: Keys of a versioned cache.
+FORMATTED_KEYS = ["dataset", "subset", "split", "noise", "answerable"]
 
 
 def write_formatted(samples: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -74,6 +79,32 @@ def read_formatted(spark: SparkSession, path: str, **wanted: str | int | bool) -
     return df
 
 
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Committed versions below a folder of ``formatted``, oldest first."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where.suffix("/version=*/_SUCCESS"))
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+
+def formatted(spark: SparkSession, path: str, key: dict[str, str | int | bool], build: Callable[[], DataFrame], schema: str, reload: bool = False, fmt: str = "parquet") -> DataFrame:
+    """The cached samples of one key (dataset, subset, split, noise, answerable), built if there are none or reload is set.
+
+    A build is a new version in a folder of its own, which counts once its commit marker is there: readers of the old one go on, one that fails
+    leaves nothing behind that is read, and other keys stay. fmt is parquet or json (gzipped, one object a line). Columns of the key are not stored.
+    """
+    if sorted(key) != sorted(FORMATTED_KEYS):
+        raise ValueError(f"a key has {', '.join(FORMATTED_KEYS)}")
+    if fmt not in ("parquet", "json"):
+        raise ValueError("fmt is parquet or json")
+    folder = "/".join([path, *(f"{k}={re.sub('[^A-Za-z0-9_.-]', lambda c: f'%{ord(c[0]):02X}', str(key[k]))}" for k in FORMATTED_KEYS)])
+    known = versions(spark, folder)
+    if reload or not known:
+        known.append(max(known, default=0) + 1)
+        # A version that was begun and not committed may be in the way.
+        build().write.mode("overwrite").option("compression", "gzip" if fmt == "json" else "snappy").format(fmt).save(f"{folder}/version={known[-1]}")
+    return spark.read.schema(schema).format(fmt).load(f"{folder}/version={known[-1]}")
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """S7."""
     return spark.read.parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions.stem import english_stem
-from evidentia.operators import lookups, plugins, retrieval
+from evidentia.operators import lookups, plugins, reports, retrieval
 from evidentia.sources import adapters, readers
 
 
@@ -142,3 +142,47 @@ def test_missing_and_sampling(spark):
 def test_verdicts(spark, exact):
     v = spark.createDataFrame([("1", "yes"), ("2", " YES "), ("3", "no")], "id string, llm_response string")
     assert {r.id for r in lookups.keep_yes(v, exact).collect()} == ({"1"} if exact else {"1", "2"})
+
+
+def test_versions_of_a_cache(spark, tmp_path):
+    key = {"dataset": "a/b", "subset": "x y", "split": "test", "noise": 8, "answerable": True}
+    calls = []
+
+    def build(text):
+        def run():
+            calls.append(text)
+            return spark.createDataFrame([("1", text)], "id string, text string")
+
+        return run
+
+    path, schema = f"file://{tmp_path}/cache", "id string, text string"
+    read = lambda text, key=key, **more: readers.formatted(spark, path, key, build(text), schema, **more)
+    old = read("one")
+    assert read("two").first().text == "one" and read("other", {**key, "subset": "z"}).first().text == "other"
+    assert read("three", reload=True, fmt="json").first().text == "three" and read("four", fmt="json").first().text == "three"
+    assert old.first().text == "one" and calls == ["one", "other", "three"]
+    assert list(tmp_path.rglob("version=2/*.json.gz")) and read("five", {**key, "subset": "z"}).first().text == "other"
+    # A version without its commit marker is not read.
+    (tmp_path / next(p for p in tmp_path.rglob("version=2") if p.is_dir()) / "_SUCCESS").unlink()
+    assert read("six").first().text == "one"
+
+
+def test_length_limit_stops_the_write(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "w " * k) for k in range(1, 11)], "id int, text string")
+    words = F.size(F.split(F.trim("text"), " "))
+    seen = reports.write_within_limit(rows, words, f"file://{tmp_path}/ok", 10)
+    assert (seen["n"], seen["mean_tokens"], seen["max_tokens"]) == (10, 5.5, 10)
+    with pytest.raises(Exception, match="10 tokens; the limit is 9"):
+        reports.write_within_limit(rows, words, f"file://{tmp_path}/no", 9)
+    assert not (tmp_path / "no" / "_SUCCESS").exists()
+
+
+def test_samples_by_rounds_of_quantiles(spark):
+    rows = spark.createDataFrame([(str(k % 900), k) for k in range(1000)], "id string, _h int")
+    key = sorted(((r.h, r.id) for r in rows.select(F.xxhash64("id", F.lit(42)).alias("h"), "id").collect()))
+    for n, edge in ((1, 10), (333, 10), (500, 1), (999, 50), (500, 10**6)):
+        got = lookups.sample_rows(rows, n, edge=edge)
+        assert got.columns == ["id", "_h"] and sorted(r.id for r in got.collect()) == sorted(k for _, k in key[:n]), (n, edge)
+    assert lookups.sample_rows(rows, 0).count() == lookups.sample_rows(rows, 5000).count() == 1000
+    assert [r.id for r in lookups.sample_rows(rows, 0).collect()] == [k for _, k in key]
+    assert lookups.sample_rows(spark.createDataFrame([], "id string"), 3).count() == 0
