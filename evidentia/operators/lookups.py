@@ -136,7 +136,7 @@ def sample_rows(rows: DataFrame, n: int, seed: int = 42, key: str = "id", edge:
         elif upto < need:
             low, need = b + 1, need - upto
         elif (a, b) == (low, high):
-            low = high = a  # one hash, whose rows are alike
+            break  # few different hashes, each with many rows
         else:
             low, high, need = a, b, need - below
     return hashed.where(F.col(name) < low).union(band.orderBy(name, key).limit(need)).drop(name)
