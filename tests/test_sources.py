@@ -178,7 +178,7 @@ def test_length_limit_stops_the_write(spark, tmp_path):
 
 
 def test_samples_by_rounds_of_quantiles(spark):
-    rows = spark.createDataFrame([(str(k % 900), k) for k in range(1000)], "id string, _h int")
+    rows = spark.createDataFrame([(str(k % 900), k) for k in range(1000)], "id string, _h int").coalesce(1)
     key = sorted(((r.h, r.id) for r in rows.select(F.xxhash64("id", F.lit(42)).alias("h"), "id").collect()))
     for n, edge in ((1, 10), (333, 10), (500, 1), (999, 50), (500, 10**6)):
         got = lookups.sample_rows(rows, n, edge=edge)
