@@ -231,6 +231,6 @@ REWARDS: dict[str, Callable[[Column, Column, Column], Column]] = {
 }
 
 
-def weighted_reward(weights: dict[str, float], text: Column, answers: Column, golds: Column) -> Column:
+def weighted_reward(weights: dict[str, float], text: Column, answers: Column, golds: Column, rewards: dict[str, Callable[[Column, Column, Column], Column]] = REWARDS) -> Column:
     """The weighted sum of registered rewards."""
-    return reduce(lambda x, y: x + y, (F.lit(float(w)) * REWARDS[name](text, answers, golds) for name, w in weights.items()), F.lit(0.0))
+    return reduce(lambda x, y: x + y, (F.lit(float(w)) * rewards[name](text, answers, golds) for name, w in weights.items()), F.lit(0.0))

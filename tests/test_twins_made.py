@@ -36,3 +36,7 @@ def talk(*texts):
 
 def test_answers_without_tokens(differs):
     assert differs("r11_r16_answer_rewards", conversations=talk("The the the ersh.\nHaes to.", "A the, the", "Ersh the haes.")) == ([], [])
+
+
+def test_weighted_answers_without_tokens(differs):
+    assert differs("r22_weighted_reward", conversations=talk("The the the ersh.\nHaes to.", "Ersh the haes.")) == ([], [])
