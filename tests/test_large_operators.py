@@ -83,6 +83,15 @@ def test_containment_equals_all_pairs(spark, tmp_path):
     assert got == {t: (not any(t != u and t in u for u in texts), not any(t != u and u in t for u in texts)) for t in texts}
 
 
+def test_containment_asks_for_few_candidates(spark, tmp_path):
+    """Texts of the same words share short runs everywhere; only a text's own place may be left as a candidate."""
+    words = ["thereby", "station", "ringing", "another", "hundred", "meadows", "lantern", "bishops"]
+    texts = [" ".join(words[(k // 8**i + i) % 8] for i in range(8)) for k in range(300)]
+    got = containment.containment(spark.createDataFrame([(t,) for t in texts], "text string"), f"file://{tmp_path}/c")
+    assert all(r.maximal and r.minimal for r in got.collect())
+    assert spark.read.parquet(f"file://{tmp_path}/c/places").count() <= len(texts)
+
+
 def test_containment_of_nothing(spark, tmp_path):
     assert containment.containment(spark.createDataFrame([], "text string"), f"file://{tmp_path}/c").count() == 0
 
