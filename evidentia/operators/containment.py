@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 LEVELS = [*range(1, 25)]
 while LEVELS[-1] < 1 << 30:
     LEVELS.append(LEVELS[-1] * 5 // 4)
+#: Keys of at most so many bytes are whole texts; one of 24 bytes may be the beginning of a text of up to 29.
+WHOLE = 23
 #: Beginnings of so many bytes are known, too: where none of them stands, no longer one is looked for.
 STEPS = [2, 3, 4, 6, 8, 12, 16, 24]
 #: A bitmap of 2 ** BITS bits (16 MB), or of up to 2 ** MOST_BITS (128 MB) for many texts, tells hashes that are looked for from others.
@@ -83,32 +85,36 @@ def marks(bits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
     return run
 
 
+def standing(bitmap: np.ndarray, bits: int, levels: list[int], data: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, numbers of texts, places, keys) where a key that is looked for stands in one of the texts that data holds one after the other."""
+
+    def known(h: np.ndarray) -> np.ndarray:
+        at = h & np.uint64((1 << bits) - 1)
+        return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    hashes, which, ends, at = Hashes(data), np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes), np.arange(len(data))
+    for n in sorted({*levels, *STEPS}):
+        at = at[at + n <= ends[which[at]]]
+        if not len(at):
+            return
+        h = hashes.of(at, n)
+        if n in levels:
+            key = mixed(h, KEY)
+            hit = np.flatnonzero(known(key))
+            hit = hit[known(mixed(h[hit], AGAIN))]
+            yield n, which[at[hit]], at[hit], key[hit].astype(np.int64)
+        if n in STEPS:
+            at = at[known(mixed(h, STEP))]
+
+
 def places(sought: Broadcast, bits: int, levels: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """(id, h) of (id, text): keys of shorter texts that stand in the text. levels are the lengths of keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap = np.frombuffer(sought.value, np.uint8)
-
-        def known(h: np.ndarray) -> np.ndarray:
-            at = h & np.uint64((1 << bits) - 1)
-            return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
         for batch in batches:
             for ids, data, sizes in slices(batch):
-                hashes, which = Hashes(data), np.repeat(np.arange(len(ids)), sizes)
-                ends, at, found = np.cumsum(sizes), np.arange(len(data)), []
-                for n in sorted({*levels, *STEPS}):
-                    at = at[at + n <= ends[which[at]]]
-                    if not len(at):
-                        break
-                    h = hashes.of(at, n)
-                    if n in levels:
-                        key = mixed(h, KEY)
-                        hit = np.flatnonzero(known(key))
-                        hit = hit[known(mixed(h[hit], AGAIN)) & (sizes[which[at[hit]]] > n)]
-                        found.append(np.stack([which[at[hit]], key[hit].astype(np.int64)], axis=1))
-                    if n in STEPS:
-                        at = at[known(mixed(h, STEP))]
+                found = [np.stack([text, key], axis=1)[sizes[text] > n] for n, text, _, key in standing(bitmap, bits, levels, data, sizes)]
                 if found:
                     rows = np.unique(np.concatenate(found), axis=0)
                     yield pd.DataFrame({"id": ids[rows[:, 0]], "h": rows[:, 1]})
@@ -116,6 +122,34 @@ def places(sought: Broadcast, bits: int, levels: list[int]) -> Callable[[Iterato
     return run
 
 
+def firsts(sought: Broadcast, bits: int, levels: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(found, h, para, sent_id) of (para, sent_id, sentence): where a key of at most WHOLE bytes stands, its bytes and the first of a batch; longer keys in every sentence."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bitmap = np.frombuffer(sought.value, np.uint8)
+        for batch in batches:
+            batch = batch.sort_values(["para", "sent_id"], ignore_index=True)
+            short, long_ = {}, []
+            for ids, data, sizes in slices(pd.DataFrame({"id": np.arange(len(batch)), "text": batch["sentence"]})):
+                raw = data.astype(np.uint8).tobytes()
+                for n, text, at, key in standing(bitmap, bits, levels, data, sizes):
+                    if n <= WHOLE:
+                        # Places rise, so the first of each key comes first; keys of other bytes with the same hash are told apart.
+                        segments = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), n)[at]
+                        _, first = np.unique(segments, axis=0, return_index=True)
+                        for i in first:
+                            short.setdefault(raw[at[i] : at[i] + n], ids[text[i]])
+                    else:
+                        rows = np.unique(np.stack([ids[text], key], axis=1), axis=0)
+                        long_.append(rows)
+            rows = np.concatenate([np.zeros((0, 2), np.int64), *long_])
+            at = np.concatenate([np.array(list(short.values()), np.int64), rows[:, 0]])
+            out = pd.DataFrame({"found": [*short, *[None] * len(rows)], "h": [*[0] * len(short), *rows[:, 1]]})
+            yield out.assign(para=batch["para"].to_numpy()[at], sent_id=batch["sent_id"].to_numpy()[at])
+
+    return run
+
+
 def bitmap_of(marked: DataFrame, bits: int) -> bytes:
     """The bounded bitmap of (bit), made on the executors in parts of 4 KB: bits are dealt by their part first, so that no task holds them all."""
     bit = marked.select((F.col("bit") + 1).alias("bit")).withColumn("bucket", F.bitmap_bucket_number("bit")).repartition("bucket")

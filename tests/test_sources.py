@@ -97,6 +97,17 @@ def test_locate_across(spark):
     assert {tuple(r) for r in retrieval.locate_across(texts, sents).collect()} == {(1, 0, 0), (3, 1, 2)}
 
 
+def test_locate_across_shuffles_no_runs_of_words(spark):
+    """Sentences are not cut into runs that are shuffled; texts of every length around 24 bytes are found."""
+    long_ = "From one small harbour to the other they went by boat."
+    rows = [(k, 0, f"A sentence about number {k} of the harbour, which no text is part of") for k in range(200)] + [(500, 3, f"x{long_}y"), (501, 0, long_)]
+    sents = spark.createDataFrame(rows, "para long, sent_id int, sentence string")
+    texts = spark.createDataFrame([(n, long_[:n]) for n in range(18, len(long_) + 1) if long_[n - 1] != " "] + [(0, "harbour, that"), (1, long_[:20] + "no")], "text_id long, text string")
+    out = retrieval.locate_across(texts, sents)
+    assert {tuple(r) for r in out.collect()} == {(n, 500, 3) for n in range(18, len(long_) + 1) if long_[n - 1] != " "}
+    assert "Generate explode" not in out._jdf.queryExecution().toString()
+
+
 def test_locate_across_finds_short_texts(spark):
     lines = ["Paris is in France", "In New  York and New York, too", "a b", "", "x", "fox jumps"]
     texts = ["Paris", "New York", "aris", "w  Yo", "w York", "k and N", "x", "a b", " too ", "b a", "", "ox jump", "In", "jumps"]
