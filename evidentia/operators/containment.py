@@ -136,8 +136,9 @@ def firsts(sought: Broadcast, bits: int, levels: list[int]) -> Callable[[Iterato
                     if n <= WHOLE:
                         # Places rise, so the first of each key comes first; keys of other bytes with the same hash are told apart.
                         segments = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), n)[at]
-                        _, first = np.unique(segments, axis=0, return_index=True)
-                        for i in first:
+                        codes, first = pd.factorize(key)[0], np.flatnonzero(~pd.Series(key).duplicated().to_numpy())
+                        other = np.flatnonzero((segments != segments[first][codes]).any(axis=1)) if len(first) else first
+                        for i in [*first, *other]:
                             short.setdefault(raw[at[i] : at[i] + n], ids[text[i]])
                     else:
                         rows = np.unique(np.stack([ids[text], key], axis=1), axis=0)
