@@ -111,7 +111,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_run_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Predictions of all runs below path with columns of their folder's metadata; rows without an id are dropped."""
+    """Predictions of all runs below path with columns of their folder's metadata; a file holds a sample or an array of them. Rows without an id are dropped."""
     reader = spark.read.option("multiLine", True).option("recursiveFileLookup", True)
     folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
     rows = reader.schema(PREDICTION).option("pathGlobFilter", "[!m]*.json").json(path).select("*", folder.alias("folder"))

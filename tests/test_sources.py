@@ -42,6 +42,16 @@ def test_run_folder(spark, tmp_path):
     assert (rows["1"].model_name, rows["1"].prompt_type, rows["1"].dataset, rows["1"].noise, rows["1"].answerable, rows["1"].run_ts) == ("big", "rag", "PopQA", 8, True, "20250102030405")
 
 
+def test_run_folders_have_few_files(spark, tmp_path, monkeypatch):
+    """Samples are written once, many to a file: a file for each run and metadata, more only as rows need them."""
+    from evidentia.plans import data_queries
+
+    monkeypatch.setattr(data_queries, "scratch", lambda spark, name: f"file://{tmp_path}/{name}")
+    n = data_queries.s8(spark, "/root/testdata/sf0.01").count()
+    files = [p for p in tmp_path.glob("runs/**/*.json") if not p.name.startswith(".")]
+    assert n > 200 and sum(p.name == "metadata.json" for p in files) <= 6 and len(files) <= 12 and not list(tmp_path.glob("runs-*"))
+
+
 def test_eval_summaries_take_the_latest(spark, tmp_path):
     for ts, em in (("20250101000000", 0.1), ("20250201000000", 0.2)):
         p = tmp_path / "prompt_rag" / "PopQA-noise_8-answerable"
