@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space as a text's strip and split take it, beyond what \s matches in Java.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: The characters of SPACE: a trim by them looks at the ends of a text only.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 ARTICLE = r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])"
 EVIDENCE = r"(?s)<\|EVIDENCE\|>(.*?)</\|EVIDENCE\|>"
 TAGGED_ANSWER = r"(?s)<\|answer\|>(.*?)</\|answer\|>"
@@ -21,7 +23,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
@@ -61,8 +63,12 @@ def extract_evidence(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """Sentences by closing punctuation, blanks dropped (rule based)."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?。！？])\s+"), strip), lambda s: s != "")
+    """Sentences by closing punctuation, blanks dropped (rule based).
+
+    The text is stripped as a whole, and a cut takes all white space up to the next sentence, so none is left at the ends of a sentence.
+    The pattern begins with a blank, so it looks back at blanks only.
+    """
+    return F.filter(F.split(strip(c), rf"\s(?<=[.!?。！？]\s){SPACE}*"), lambda s: s != "")
 
 
 def quoted(c: Column) -> Column:

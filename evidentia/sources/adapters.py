@@ -33,6 +33,12 @@ def _sample(df: DataFrame, dataset: str, id_: Column, query: Column, answers: Co
     return df.select(F.lit(dataset).alias("dataset"), id_.cast("string").alias("id"), query.alias("query"), F.coalesce(answers, F.expr(NO_STRINGS)).alias("answers"), corpus.alias("corpus"), extra.alias("extra"), *keep)
 
 
+def _passages(column: str, text: str, holds: str) -> Column:
+    """Paragraphs of passages; those that hold an answer have all sentences as facts. A text is split once."""
+    split = F.transform(column, lambda p: F.struct(p["title"].alias("t"), sentences(p[text]).alias("s"), p[holds].alias("holds")))
+    return F.transform(split, lambda p: _paragraph(p["t"], p["s"], F.when(p["holds"], p["s"])))
+
+
 def finish(samples: DataFrame) -> DataFrame:
     """Adds context (all paragraphs, N14, blank lines between) and facts (of all paragraphs, in order)."""
     context = F.array_join(F.transform("corpus", lambda p: canonical_paragraph(p["title"], p["sentences"])), "\n\n")
@@ -62,7 +68,7 @@ def two_wiki(raw: DataFrame) -> DataFrame:
 
 def musique(raw: DataFrame) -> DataFrame:
     """N3."""
-    corpus = F.transform("paragraphs", lambda p: _paragraph(p["title"], sentences(p["paragraph_text"]), F.when(p["is_supporting"], sentences(p["paragraph_text"]))))
+    corpus = _passages("paragraphs", "paragraph_text", "is_supporting")
     return _sample(raw, "MuSiQue", F.col("id"), F.col("question"), F.concat(F.array("answer"), F.coalesce("answer_aliases", F.expr(NO_STRINGS))), corpus, _extra())
 
 
@@ -76,7 +82,7 @@ def multirc(raw: DataFrame) -> DataFrame:
 
 def popqa(raw: DataFrame) -> DataFrame:
     """N5."""
-    corpus = F.transform("ctxs", lambda c: _paragraph(c["title"], sentences(c["text"]), F.when(c["hasanswer"], sentences(c["text"]))))
+    corpus = _passages("ctxs", "text", "hasanswer")
     return _sample(raw, "PopQA", F.col("id"), F.col("question"), F.col("answers"), corpus, _extra(s_pop=F.col("s_pop"), o_pop=F.col("o_pop")))
 
 
@@ -84,7 +90,7 @@ def pubmedqa(raw: DataFrame) -> DataFrame:
     """N6."""
     s = F.flatten(F.transform("context.contexts", sentences))
     extra = _extra(long_answer=F.array_join(sentences(F.col("long_answer")), "\n"), options=F.lit("yes|no|maybe"))
-    return _sample(raw, "PubMedQA", F.col("pubid"), F.col("question"), F.array("final_decision"), F.array(_paragraph(F.lit("Abstract"), s, s)), extra)
+    return _sample(raw, "PubMedQA", F.col("pubid"), F.col("question"), F.array("final_decision"), F.transform(F.array(s), lambda s: _paragraph(F.lit("Abstract"), s, s)), extra)
 
 
 def qasper(raw: DataFrame) -> DataFrame:

@@ -52,6 +52,23 @@ def test_run_folders_have_few_files(spark, tmp_path, monkeypatch):
     assert n > 200 and sum(p.name == "metadata.json" for p in files) <= 6 and len(files) <= 12 and not list(tmp_path.glob("runs-*"))
 
 
+def test_sentences_are_stripped_without_a_pass_for_each(spark):
+    """White space of every kind at the ends of a text and between sentences, also where sentences are empty."""
+    import random
+
+    from evidentia.functions.text import SPACE, sentences, strip as ends
+
+    strip = lambda c: F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    every = spark.range(0, 0x10000).where("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    assert every.where((ends(F.col("c")) == "") != F.col("c").rlike(f"^{SPACE}$")).count() == 0
+    r = random.Random(7)
+    texts = ["", " ", ".", ". ", " . x", "a.\u00a0b", "a. \u00a0 b", "a.\u2028 b. ", None] + ["".join(r.choice(["a", "b", ".", "!", "。", " ", " ", "\n", "\u00a0", "\u2003", "\x1c", "\x85"]) for _ in range(r.randrange(30))) for _ in range(400)]
+    each = F.filter(F.transform(F.split("t", r"(?<=[.!?。！？])\s+"), strip), lambda s: s != "")
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", sentences(F.col("t")).alias("got"), each.alias("want"))
+    assert [x for x in df.collect() if x.got != x.want] == []
+    assert "transform" not in df.select("got")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_eval_summaries_take_the_latest(spark, tmp_path):
     for ts, em in (("20250101000000", 0.1), ("20250201000000", 0.2)):
         p = tmp_path / "prompt_rag" / "PopQA-noise_8-answerable"
