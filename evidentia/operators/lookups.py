@@ -129,7 +129,9 @@ def sample_rows(rows: DataFrame, n: int, seed: int = 42, key: str = "id", edge:
         if left <= edge or low == high:
             break
         share = need / left
-        a, b = band.agg(F.percentile_approx(name, [max(share - 0.01, 0.0), min(share + 0.01, 1.0)], 10_000)).first()[0]
+        # Quantiles are doubles: they are taken of the upper 53 bits of a hash, which stay whole, and stand for all hashes that begin with them.
+        a, b = band.agg(F.percentile_approx(F.shiftright(name, 11), [max(share - 0.01, 0.0), min(share + 0.01, 1.0)], 10_000)).first()[0]
+        a, b = a << 11, (b << 11) + 2047
         below, upto = band.agg(F.count_if(F.col(name) < a), F.count_if(F.col(name) <= b)).first()
         if below >= need:
             high = a - 1

@@ -224,3 +224,12 @@ def test_samples_by_rounds_of_quantiles(spark):
     assert lookups.sample_rows(rows, 0).count() == lookups.sample_rows(rows, 5000).count() == 1000
     assert [r.id for r in lookups.sample_rows(rows, 0).collect()] == [k for _, k in key]
     assert lookups.sample_rows(spark.createDataFrame([], "id string"), 3).count() == 0
+
+
+def test_samples_of_ids_with_many_rows_end(spark):
+    # Hashes with more rows than may be sorted, whose quantiles as doubles lie beside them.
+    rows = spark.createDataFrame([(str(k % 3),) for k in range(300)], "id string").coalesce(1)
+    order = [r.id for r in rows.distinct().orderBy(F.xxhash64("id", F.lit(42))).collect()]
+    for n in (50, 100, 150, 299):
+        got = [r.id for r in lookups.sample_rows(rows, n, edge=10).collect()]
+        assert [got.count(k) for k in order] == [min(max(n - 100 * i, 0), 100) for i in range(3)], n
